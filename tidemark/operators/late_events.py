@@ -57,7 +57,8 @@ def low_watermarks(records: DataFrame, idle_batches: int, punctuated: bool = Tru
     """
     shown = records.where("arrival_ms IS NOT NULL AND batch IS NOT NULL").groupBy("source", "batch").agg(F.min("arrival_ms").alias("lo"), F.max("arrival_ms").alias("hi"))
     order = Window.partitionBy("source").orderBy("batch")
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    # what is delivered later, from the end backwards: a frame that ends with the partition would be summed up anew for each row
+    later = Window.partitionBy("source").orderBy(F.col("batch").desc()).rowsBetween(Window.unboundedPreceding, -1)
     promised = F.coalesce(F.min("lo").over(later), F.lit(_AFTER)) if punctuated else F.lit(_AFTER)
     steps = shown.select(
         "source",
