@@ -34,7 +34,7 @@ class Store:
         there = F.col("value").isNotNull() & ((F.length("value") > 0) if kind in ("binary", "string") else F.lit(True))
         df = df.where(F.col("key").isNotNull() & there)
         if ttl_ms is not None:
-            df = df.where(~expired(df, F.col(written), ttl_ms, now if now is not None else F.current_timestamp()))
+            df = df.where(~expired(F.col(written), ttl_ms, now if now is not None else F.current_timestamp()))
         self.df = df
 
     @staticmethod

@@ -99,11 +99,11 @@ def compact(changes: DataFrame, key: str = "key", order: str = "offset", deleted
     return latest(changes, key, order, deleted)
 
 
-def expired(df: DataFrame, written: Column, ttl_ms: int, now: Column) -> Column:
+def expired(written: Column, ttl_ms: int, now: Column) -> Column:
     """Whether a row is older than its time to live at ``now``; rows without time never expire."""
-    return F.coalesce(F.unix_millis(now) - F.unix_millis(written) > ttl_ms, F.lit(False))
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(written) > ttl_ms * 1000, F.lit(False))
 
 
 def live(df: DataFrame, written: Column, ttl_ms: int, now: Column) -> DataFrame:
     """The rows that haven't expired."""
-    return df.where(~expired(df, written, ttl_ms, now))
+    return df.where(~expired(written, ttl_ms, now))
