@@ -46,10 +46,15 @@ def deletions(placed: DataFrame, identity: Sequence[str], unique_order: bool = F
     """
     if unique_order:
         winners = placed.groupBy(*identity).agg(F.min("_order").alias("_order")).select("_order")
-        return placed.join(winners, "_order", "left_anti")
+        return _without(placed, winners, ["_order"])
     place = F.struct(F.coalesce("_order", F.lit(LONG_MAX)).alias("o"), F.col("_order").isNull().alias("n"), F.col("_file").alias("f"), F.col("_row").alias("r"))
     winners = placed.groupBy(*identity).agg(F.min(place).alias("w")).select(F.col("w.f").alias("_file"), F.col("w.r").alias("_row"))
-    return placed.join(winners, ["_file", "_row"], "left_anti")
+    return _without(placed, winners, ["_file", "_row"])
+
+
+def _without(placed: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
+    """An anti-join that isn't pushed below a union of logs, where each of them would meet all winners."""
+    return placed.join(winners.withColumn("_first", F.lit(True)), on, "left").where("_first IS NULL").drop("_first")
 
 
 def deletion_vectors(lost: DataFrame) -> DataFrame:
