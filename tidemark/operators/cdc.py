@@ -41,7 +41,7 @@ def _fold(ordered: Column, pos_type: str) -> Column:
     return F.aggregate(ordered, nothing, lambda a, x: _compose(a, x["patch"]))
 
 
-def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, is_delete: str, place: str, tie: str | None = None, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, is_delete: str, place: str, tie: str | None = None, chunk: int = CHUNK, fan_in: int = FAN_IN, top: int | None = None) -> DataFrame:
     """One patch per key: ``keys``, ``reset``, ``ver``, ``pos``.
 
     ``changes``: ``order`` (bigint, the feed's order within a key), ``version``
@@ -50,7 +50,8 @@ def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, i
     is greater than the row's; a delete always counts and forgets the version.
     Changes of equal order are ordered by ``tie``, then by place.  Changes
     without order come first (-1); without version they are left out unless
-    they delete.  NULL keys are a key.
+    they delete.  NULL keys are a key.  ``top`` is an upper bound of the
+    orders, which sets the number of levels; without it a job finds it.
     """
     kind = changes.schema[place].dataType.simpleString()
     at = F.coalesce(F.col(order), F.lit(-1)).cast("bigint")
@@ -62,7 +63,9 @@ def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, i
     usable = changes.where(F.col(is_delete) | F.col(version).isNotNull())
     # orders of one chunk share an array: its length is bounded by the chunk, however hot the key
     level = usable.select(*keys, at.alias("_at"), F.struct(at.alias("at"), (F.col(tie) if tie else F.lit(0)).alias("tie"), F.col(place).alias("place"), own.alias("patch")).alias("_op"))
-    top = usable.agg(F.max(at).alias("m")).first()["m"] or 0
+    if top is None:
+        top = usable.agg(F.max(at).alias("m")).first()["m"]
+    top = max(0, top or 0)
     width = chunk
     level = level.groupBy(*keys, F.expr(f"_at div {width}").alias("_c")).agg(F.array_sort(F.collect_list("_op")).alias("ops")).select(*keys, "_c", _fold(F.col("ops"), kind).alias("patch"))
     chunks = top // width + 1

@@ -183,7 +183,9 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _state(spark: SparkSession, folder: str) -> DataFrame:
     changes = _changes(spark, folder).withColumn("place", F.struct("offset", "delivery_id"))
-    return cdc.apply_patches(cdc.patches(changes, ["topic", "key"], "offset", "version", "is_delete", "place", tie="delivery_id"), ["topic", "key"])
+    # the greatest offset of the feeds as they are, from one column each
+    top = max(table(spark, folder, log).agg(F.max("offset").alias("m")).first()["m"] or 0 for log in FEEDS)
+    return cdc.apply_patches(cdc.patches(changes, ["topic", "key"], "offset", "version", "is_delete", "place", tie="delivery_id", top=top), ["topic", "key"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
