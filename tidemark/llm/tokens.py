@@ -164,6 +164,19 @@ def _repaired(parts: list[np.ndarray], path: str) -> np.ndarray:
     return np.concatenate([*out, ids[done:]])
 
 
+def _wide(path: str) -> bool:
+    return len(token_facts(path)[0]) > 1 << 16
+
+
+def _packed(rows: list[list[int]], path: str) -> pa.Array:
+    """Ids as bytes, two each where the vocabulary allows it."""
+    ends = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(r) for r in rows], out=ends[1:])
+    kind = np.dtype(np.uint32 if _wide(path) else np.uint16)
+    flat = np.fromiter(chain.from_iterable(rows), kind, int(ends[-1]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends * kind.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
+
+
 def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None = None, bits: int = CUT_BITS) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of every row of ``documents``, each distinct chunk of the corpus encoded once.
 
@@ -174,8 +187,7 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
     splits that partition.
     """
     path = path or vocabulary_path()
-    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = documents.select(F.col(key).alias("key"), digest.alias("digest"), F.col(text).alias("text"))
+    rows = documents.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text))).alias("digest"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,27 +198,28 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([e.encode_ordinary(t) for t in texts_of(b.column(1))], pa.int32())], ["chunk_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed([e.encode_ordinary(t) for t in texts_of(b.column(1))], path)], ["chunk_id", "packed"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.uint32 if _wide(path) else np.uint16
         for b in batches:
-            parts = b.column(2)
-            inner = parts.flatten().field("ids")
-            flat, ends = inner.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.list_value_length(inner).to_numpy(zero_copy_only=False))]
-            bounds, at = [], 0
-            for n in pc.list_value_length(parts).to_pylist():
-                bounds.append((at, at + n))
-                at += n
-            ids = [_repaired([flat[ends[i] : ends[i + 1]] for i in range(a, z)], path) for a, z in bounds]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(ids, pa.int32())], ["key", "digest", "ids"])
+            row, ids = [], []
+            for i, parts in enumerate(b.column(1)):
+                numbers = parts.values.field("number").to_numpy(zero_copy_only=False)
+                packed = parts.values.field("packed")
+                # equal rows have their chunks as often as there are rows
+                copies = int((numbers == 0).sum())
+                own = _repaired([np.frombuffer(packed[k].as_buffer(), width).astype(np.int32) for k in range(0, len(numbers), copies)], path)
+                row += [i] * copies
+                ids += [own] * copies
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), _lists(ids, pa.int32())], [key, "ids"])
 
     place = [T.StructField("key", kind), T.StructField("digest", T.BinaryType())]
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    out = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     cut = rows.where(F.col("text") != "").mapInArrow(chunks, T.StructType([*place, T.StructField("number", T.IntegerType()), T.StructField("chunk", T.StringType())]))
     chunk_id = F.unhex(F.md5("chunk")).alias("chunk_id")
-    dictionary = cut.select("chunk").distinct().select(chunk_id, "chunk").mapInArrow(encoded, T.StructType([T.StructField("chunk_id", T.BinaryType()), ids]))
-    parts = cut.select("key", "digest", "number", chunk_id).join(dictionary, "chunk_id").groupBy("key", "digest").agg(F.array_sort(F.collect_set(F.struct("number", "ids"))).alias("parts"))
-    whole = parts.mapInArrow(joined, T.StructType([*place, ids]))
-    r, w = rows.select("key", "digest").alias("r"), whole.alias("w")
-    match = F.col("r.digest").eqNullSafe(F.col("w.digest")) & F.col("r.key").eqNullSafe(F.col("w.key"))
-    return r.join(w, match, "left").select(F.col("r.key").alias(key), F.coalesce(F.col("w.ids"), F.array().cast("array<int>")).alias("ids"))
+    dictionary = cut.select("chunk").distinct().select(chunk_id, "chunk").mapInArrow(encoded, T.StructType([T.StructField("chunk_id", T.BinaryType()), T.StructField("packed", T.BinaryType())]))
+    parts = cut.select("key", "digest", "number", chunk_id).join(dictionary, "chunk_id").groupBy("key", "digest").agg(F.array_sort(F.collect_list(F.struct("number", "packed"))).alias("parts"))
+    whole = parts.select("key", "parts").mapInArrow(joined, out)
+    empty = rows.where("text IS NULL OR text = ''").select(F.col("key").alias(key), F.array().cast("array<int>").alias("ids"))
+    return whole.unionByName(empty)
