@@ -51,20 +51,31 @@ def uuid_key_text(key: Column) -> Column:
 
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+_BROKEN = "␂broken"
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether the whole of a text is one valid JSON object; false for NULL.
+
+    The text is read as a member of an outer object with a member after it,
+    and taken over as it is, so nothing but its syntax can be wrong: text
+    that is cut off, goes on or isn't an object breaks the outer object, loses
+    the last member or begins otherwise.
+    """
+    whole = F.concat(F.lit('{"v":'), text, F.lit(f',"{_SENTINEL}":1}}'))
+    read = F.from_json(whole, f"v string, `{_SENTINEL}` int, `{_BROKEN}` string", _STRICT | {"columnNameOfCorruptRecord": _BROKEN})
+    return F.coalesce(read[_BROKEN].isNull() & (read[_SENTINEL] == 1) & read["v"].startswith("{"), F.lit(False))
 
 
 def strict_json(value: Column, schema: str) -> Column:
     """``value`` read as one JSON object of ``schema``; NULL unless the whole text is one valid object.
 
     ``from_json`` alone stops after the first token tree, unpacks one-element
-    arrays and turns broken text into a struct of NULLs.  The text is
-    therefore read as a member of an outer object with a member after it: cut
-    off text, trailing text and other roots lose one of the two members.
+    arrays, keeps what precedes an error and turns broken text into a struct
+    of NULLs.  Members of another type than the schema's are NULL.
     """
     text = value.cast("string")
-    whole = F.concat(F.lit('{"v":'), text, F.lit(f',"{_SENTINEL}":1}}'))
-    parsed = F.from_json(whole, f"v struct<{schema}>, `{_SENTINEL}` int", _STRICT)
-    return F.when(parsed[_SENTINEL] == 1, parsed["v"])
+    return F.when(is_json_object(text), F.from_json(text, schema, _STRICT))
 
 
 def payload_ms(number: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.records import LONG_MAX
-from tidemark.session import scratch_path
+from tidemark.session import columns, scratch_path
 
 #: A deletion vector is stored as words of so many rows.
 WORD = 64
@@ -24,9 +24,9 @@ def positions(df: DataFrame, identity: Sequence[Column], order: Column, carry: S
     """Identifier, order of delivery and file-row position of each row of a Parquet table."""
     return df.select(
         *identity,
-        order.cast("bigint").alias("_order"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
+        order.cast("bigint").alias("_tm_order"),
+        F.col("_metadata.file_path").alias("_tm_file"),
+        F.col("_metadata.row_index").alias("_tm_row"),
         *carry,
     )
 
@@ -34,7 +34,7 @@ def positions(df: DataFrame, identity: Sequence[Column], order: Column, carry: S
 def deletions(placed: DataFrame, identity: Sequence[str], unique_order: bool = False) -> DataFrame:
     """The rows of ``placed`` that are not the first delivery of their message.
 
-    The first delivery is the row with the smallest ``_order``; rows without
+    The first delivery is the row with the smallest ``_tm_order``; rows without
     an order come last, and ties go to the first file and row, so that exactly
     one row stays.  NULL identifiers are one message like any other value.
 
@@ -45,24 +45,24 @@ def deletions(placed: DataFrame, identity: Sequence[str], unique_order: bool = F
     shuffle as one row per input split, and the anti-join's key is unique.
     """
     if unique_order:
-        winners = placed.groupBy(*identity).agg(F.min("_order").alias("_order")).select("_order")
-        return _without(placed, winners, ["_order"])
-    place = F.struct(F.coalesce("_order", F.lit(LONG_MAX)).alias("o"), F.col("_order").isNull().alias("n"), F.col("_file").alias("f"), F.col("_row").alias("r"))
-    winners = placed.groupBy(*identity).agg(F.min(place).alias("w")).select(F.col("w.f").alias("_file"), F.col("w.r").alias("_row"))
-    return _without(placed, winners, ["_file", "_row"])
+        winners = placed.groupBy(*identity).agg(F.min("_tm_order").alias("_tm_order")).select("_tm_order")
+        return _without(placed, winners, ["_tm_order"])
+    place = F.struct(F.coalesce("_tm_order", F.lit(LONG_MAX)).alias("o"), F.col("_tm_order").isNull().alias("n"), F.col("_tm_file").alias("f"), F.col("_tm_row").alias("r"))
+    winners = placed.groupBy(*identity).agg(F.min(place).alias("w")).select(F.col("w.f").alias("_tm_file"), F.col("w.r").alias("_tm_row"))
+    return _without(placed, winners, ["_tm_file", "_tm_row"])
 
 
 def _without(placed: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
     """An anti-join that isn't pushed below a union of logs, where each of them would meet all winners."""
-    return placed.join(winners.withColumn("_first", F.lit(True)), on, "left").where("_first IS NULL").drop("_first")
+    return placed.join(winners.withColumn("_tm_first", F.lit(True)), on, "left").where("_tm_first IS NULL").drop("_tm_first")
 
 
 def deletion_vectors(lost: DataFrame) -> DataFrame:
-    """Deletion vectors as (``_file``, ``_word``, ``_mask``): bit i of a word stands for row 64 * word + i."""
+    """Deletion vectors as (``_tm_file``, ``_tm_word``, ``_tm_mask``): bit i of a word stands for row 64 * word + i."""
     return (
-        lost.select("_file", F.expr(f"_row div {WORD}").alias("_word"), F.expr(f"shiftleft(1L, CAST(_row % {WORD} AS INT))").alias("_bit"))
-        .groupBy("_file", "_word")
-        .agg(F.bit_or("_bit").alias("_mask"))
+        lost.select("_tm_file", F.expr(f"_tm_row div {WORD}").alias("_tm_word"), F.expr(f"shiftleft(1L, CAST(_tm_row % {WORD} AS INT))").alias("_tm_bit"))
+        .groupBy("_tm_file", "_tm_word")
+        .agg(F.bit_or("_tm_bit").alias("_tm_mask"))
     )
 
 
@@ -102,18 +102,18 @@ def read_without(spark: SparkSession, path: str, vectors: DataFrame, most_words:
     written = spark.read.parquet(kept)
     table = spark.read.parquet(path)
     # one row per file, as in the listing that the scan's driver holds anyway
-    sizes = sorted((r["_file"], r["n"]) for r in written.groupBy("_file").agg(F.count("*").alias("n")).collect())
+    sizes = sorted((r["_tm_file"], r["n"]) for r in written.groupBy("_tm_file").agg(F.count("*").alias("n")).collect())
     touched = {_plain(name) for name, _ in sizes}
     clean = [unquote(f) for f in table.inputFiles() if _plain(f) not in touched]
     groups, alone = _groups(sizes, most_words)
     parts = [spark.read.schema(table.schema).parquet(*clean)] if clean else []
     for files, small in [*((g, True) for g in groups), *(([f], False) for f in alone)]:
-        own = written.where(F.col("_file").isin(files))
+        own = written.where(F.col("_tm_file").isin(files))
         scan = spark.read.schema(table.schema).parquet(*map(unquote, files))
-        scan = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), F.expr(f"_metadata.row_index div {WORD}").alias("_word"))
-        joined = scan.join(F.broadcast(own) if small else own, ["_file", "_word"], "left")
-        gone = F.coalesce(F.expr(f"(shiftrightunsigned(_mask, CAST(_row % {WORD} AS INT)) & 1L) = 1L"), F.lit(False))
-        parts.append(joined.where(~gone).select(*(F.col(f"`{c}`") for c in table.columns)))
+        scan = scan.select("*", F.col("_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias("_tm_row"), F.expr(f"_metadata.row_index div {WORD}").alias("_tm_word"))
+        joined = scan.join(F.broadcast(own) if small else own, ["_tm_file", "_tm_word"], "left")
+        gone = F.coalesce(F.expr(f"(shiftrightunsigned(_tm_mask, CAST(_tm_row % {WORD} AS INT)) & 1L) = 1L"), F.lit(False))
+        parts.append(joined.where(~gone).select(*columns(table)))
     out = parts[0] if parts else table.where(F.lit(False))
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -33,17 +33,17 @@ def join_table(stream: KeyedStream, table: object, on: Expr | None = None, value
         raise TypeError("join_table joins a stream with a table")
     if how not in (LEFT, INNER):
         raise ValueError("how is 'left' or 'inner'")
-    mapped = stream.df.withColumn("_on", column(on) if on is not None else F.col("key"))
-    rows = table.df.select(F.col("key").alias("_table_key"), F.struct(F.col("value")).alias("_right"))
-    match = F.col("_on") == F.col("_table_key")
-    found = mapped.where("_on IS NOT NULL").join(rows, match, how)
-    found = found.withColumn("right", F.col("_right.value"))
-    joined = found.withColumn("value", column(value) if value is not None else F.struct(F.col("value").alias("left"), F.col("right"))).drop("_on", "_table_key", "_right", "right")
+    mapped = stream.df.withColumn("_tm_on", column(on) if on is not None else F.col("key"))
+    rows = table.df.select(F.col("key").alias("_tm_table_key"), F.struct(F.col("value")).alias("_tm_right"))
+    match = F.col("_tm_on") == F.col("_tm_table_key")
+    found = mapped.where("_tm_on IS NOT NULL").join(rows, match, how)
+    found = found.withColumn("right", F.col("_tm_right.value"))
+    joined = found.withColumn("value", column(value) if value is not None else F.struct(F.col("value").alias("left"), F.col("right"))).drop("_tm_on", "_tm_table_key", "_tm_right", "right")
     out = replace(stream, df=joined, node=Node("joiner", f"{name} ({how})", (stream.node, table.node)))
     if not stream.df.isStreaming:
-        out = out._with_errors(mapped.where("_on IS NULL"), name, F.lit("key mapping failed"))
+        out = out._with_errors(mapped.where("_tm_on IS NULL"), name, F.lit("key mapping failed"))
         if how == INNER:
-            out = out._with_errors(mapped.where("_on IS NOT NULL").join(rows, match, "left_anti"), name, F.lit("no row under the key"))
+            out = out._with_errors(mapped.where("_tm_on IS NOT NULL").join(rows, match, "left_anti"), name, F.lit("no row under the key"))
     return out
 
 
@@ -53,14 +53,14 @@ def star_join(stream: KeyedStream, tables: dict[str, tuple[Table, Expr]], how: s
     Rules of :func:`join_table` for each table; keys are mapped from the
     original record.
     """
-    named = stream.df.withColumn("_star", F.struct("value"))
+    named = stream.df.withColumn("_tm_star", F.struct("value"))
     for i, (_, on) in enumerate(tables.values()):
-        named = named.withColumn(f"_on{i}", column(on))
+        named = named.withColumn(f"_tm_on{i}", column(on))
     out = replace(stream, df=named)
     for i, (label, (t, _)) in enumerate(tables.items()):
-        out = join_table(out, t, F.col(f"_on{i}"), F.col("right"), how, label)
-        out = replace(out, df=out.df.withColumn("_star", F.struct("_star.*", F.col("value").alias(label))).withColumn("value", F.col("_star.value")))
-    return replace(out, df=out.df.withColumn("value", F.col("_star")).drop("_star", *(f"_on{i}" for i in range(len(tables)))))
+        out = join_table(out, t, F.col(f"_tm_on{i}"), F.col("right"), how, label)
+        out = replace(out, df=out.df.withColumn("_tm_star", F.struct("_tm_star.*", F.col("value").alias(label))).withColumn("value", F.col("_tm_star.value")))
+    return replace(out, df=out.df.withColumn("value", F.col("_tm_star")).drop("_tm_star", *(f"_tm_on{i}" for i in range(len(tables)))))
 
 
 def join_tables(left: Table, right: Table, on: Expr | None = None, value: Expr | None = None, how: str = INNER, name: str = "join_tables") -> Table:

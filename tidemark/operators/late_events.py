@@ -114,9 +114,10 @@ def close_periods(
     """Counts and sums per key and period, with corrections up to ``lateness_ms`` after the period's end.
 
     ``records`` has the columns ``keys``, ``source``, ``batch``, ``event_ms``
-    and ``arrival_ms`` (bigint milliseconds, arrival may be a decimal) and
-    what ``measures`` (name to numeric column, exact types for exact sums)
-    read.  Extra columns are ignored; their names don't matter.
+    and ``arrival_ms`` (bigint milliseconds, rounded down) and what
+    ``measures`` (name to numeric column, exact types for exact sums) read.
+    Extra columns are passed on to ``diverted`` only, but for those with
+    names that this gives: ``period_start``, ``closed_in``, ``reason``.
 
     * Records that arrive before their period ends are its first result;
       those up to the cut-off are corrections, counted per period in
@@ -129,6 +130,7 @@ def close_periods(
     """
     start = floor_to(F.col("event_ms"), period_ms)
     end = F.col("period_start") + period_ms
+    records = records.drop("period_start", "closed_in", "reason")
     timed = records.withColumn("period_start", start)
     known = F.col("period_start").isNotNull() & F.col("arrival_ms").isNotNull() & F.col("batch").isNotNull()
     in_time = F.col("arrival_ms") < end + lateness_ms

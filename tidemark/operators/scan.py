@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import columns
+
 #: Orders (offsets) of a key that are scanned in one task.
 WIDTH = 1 << 20
 
@@ -30,36 +32,36 @@ def running(
     """
     sums, lasts, firsts = sums or {}, lasts or {}, firsts or {}
     stretch = F.expr(f"`{order}` div {width}")
-    rows = df.withColumn("_stretch", stretch)
-    inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    rows = df.withColumn("_tm_stretch", stretch)
+    inside = Window.partitionBy(*keys, "_tm_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     at = F.col(order)
-    summary = rows.groupBy(*keys, "_stretch").agg(
-        *(F.sum(c).alias(f"_s_{n}") for n, c in sums.items()),
-        *(F.max(F.when(c.isNotNull(), F.struct(at, c.alias("v")))).alias(f"_l_{n}") for n, c in lasts.items()),
-        *(F.min(F.when(c.isNotNull(), F.struct(at, c.alias("v")))).alias(f"_f_{n}") for n, c in firsts.items()),
-        F.count(F.lit(1)).alias("_rows"),
+    summary = rows.groupBy(*keys, "_tm_stretch").agg(
+        *(F.sum(c).alias(f"_tm_s_{n}") for n, c in sums.items()),
+        *(F.max(F.when(c.isNotNull(), F.struct(at, c.alias("v")))).alias(f"_tm_l_{n}") for n, c in lasts.items()),
+        *(F.min(F.when(c.isNotNull(), F.struct(at, c.alias("v")))).alias(f"_tm_f_{n}") for n, c in firsts.items()),
+        F.count(F.lit(1)).alias("_tm_rows"),
     )
-    ahead = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy("_tm_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *(F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)),
-        F.col("_stretch").alias("_k_s"),
-        *(F.sum(f"_s_{n}").over(ahead).alias(f"_s_{n}") for n in sums),
-        *(F.last(f"_l_{n}", ignorenulls=True).over(ahead)["v"].alias(f"_l_{n}") for n in lasts),
-        *(F.first(f"_f_{n}", ignorenulls=True).over(ahead)["v"].alias(f"_f_{n}") for n in firsts),
+        *(F.col(k).alias(f"_tm_k_{i}") for i, k in enumerate(keys)),
+        F.col("_tm_stretch").alias("_tm_k_s"),
+        *(F.sum(f"_tm_s_{n}").over(ahead).alias(f"_tm_s_{n}") for n in sums),
+        *(F.last(f"_tm_l_{n}", ignorenulls=True).over(ahead)["v"].alias(f"_tm_l_{n}") for n in lasts),
+        *(F.first(f"_tm_f_{n}", ignorenulls=True).over(ahead)["v"].alias(f"_tm_f_{n}") for n in firsts),
     )
     own = rows.select(
         "*",
-        *(F.sum(c).over(inside).alias(f"_os_{n}") for n, c in sums.items()),
-        *(F.last(c, ignorenulls=True).over(inside).alias(f"_ol_{n}") for n, c in lasts.items()),
-        *(F.first(c, ignorenulls=True).over(inside).alias(f"_of_{n}") for n, c in firsts.items()),
+        *(F.sum(c).over(inside).alias(f"_tm_os_{n}") for n, c in sums.items()),
+        *(F.last(c, ignorenulls=True).over(inside).alias(f"_tm_ol_{n}") for n, c in lasts.items()),
+        *(F.first(c, ignorenulls=True).over(inside).alias(f"_tm_of_{n}") for n, c in firsts.items()),
     )
-    match = F.col("_stretch").eqNullSafe(F.col("_k_s"))
+    match = F.col("_tm_stretch").eqNullSafe(F.col("_tm_k_s"))
     for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"_tm_k_{i}"))
     joined = own.join(carry, match, "left")
     return joined.select(
-        *df.columns,
-        *((F.coalesce(F.col(f"_os_{n}"), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0))).alias(n) for n in sums),
-        *(F.coalesce(f"_ol_{n}", f"_l_{n}").alias(n) for n in lasts),
-        *(F.coalesce(f"_f_{n}", f"_of_{n}").alias(n) for n in firsts),
+        *columns(df),
+        *((F.coalesce(F.col(f"_tm_os_{n}"), F.lit(0)) + F.coalesce(F.col(f"_tm_s_{n}"), F.lit(0))).alias(n) for n in sums),
+        *(F.coalesce(f"_tm_ol_{n}", f"_tm_l_{n}").alias(n) for n in lasts),
+        *(F.coalesce(f"_tm_f_{n}", f"_tm_of_{n}").alias(n) for n in firsts),
     )

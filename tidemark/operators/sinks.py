@@ -52,12 +52,12 @@ def encoded(stream: KeyedStream, topic: str, key: Codec, value: Codec, options:
         df = df.withColumn("headers", column(options.headers).cast(HEADERS))
     gone = F.coalesce(column(options.tombstone), F.lit(False)) if options.tombstone is not None else F.lit(False)
     empty = F.col("value").isNull() | gone
-    marked = df.withColumns({"_key": key.encode(F.col("key")), "_value": F.when(~empty, value.encode(F.col("value"))), "_empty": empty})
-    bad = F.when(F.col("_key").isNull(), "unencodable key").when(~F.col("_empty") & F.col("_value").isNull(), "unencodable value")
-    marked = marked.withColumn("_bad", bad)
-    good = marked.where("_bad IS NULL").withColumns({"key": F.col("_key"), "value": F.col("_value")}).drop("_key", "_value", "_empty", "_bad")
+    marked = df.withColumns({"_tm_key": key.encode(F.col("key")), "_tm_value": F.when(~empty, value.encode(F.col("value"))), "_tm_empty": empty})
+    bad = F.when(F.col("_tm_key").isNull(), "unencodable key").when(~F.col("_tm_empty") & F.col("_tm_value").isNull(), "unencodable value")
+    marked = marked.withColumn("_tm_bad", bad)
+    good = marked.where("_tm_bad IS NULL").withColumns({"key": F.col("_tm_key"), "value": F.col("_tm_value")}).drop("_tm_key", "_tm_value", "_tm_empty", "_tm_bad")
     good = good.withColumn("topic", F.lit(topic_name(topic, options.prefix)))
-    return replace(stream, df=good, node=Node("sink", topic, (stream.node,)))._with_errors(marked.where("_bad IS NOT NULL"), f"sink {topic}", F.col("_bad"))
+    return replace(stream, df=good, node=Node("sink", topic, (stream.node,)))._with_errors(marked.where("_tm_bad IS NOT NULL"), f"sink {topic}", F.col("_tm_bad"))
 
 
 def to(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Codec, options: SinkOptions = SinkOptions(), checkpoint: str | None = None, errors: str | None = None) -> StreamingQuery | int:

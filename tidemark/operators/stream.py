@@ -61,12 +61,12 @@ class KeyedStream:
         for what, codec in (("value", value), ("key", key)):
             if codec:
                 bad = F.when(~codec.valid(F.col(what)), F.lit(f"undecodable {what}")).otherwise(bad)
-        marked = df.withColumn("_bad", bad)
-        good = marked.where("_bad IS NULL").drop("_bad")
+        marked = df.withColumn("_tm_bad", bad)
+        good = marked.where("_tm_bad IS NULL").drop("_tm_bad")
         for what, codec in (("key", key), ("value", value)):
             if codec:
                 good = good.withColumn(what, codec.decode(F.col(what)))
-        return replace(stream, df=good)._with_errors(marked.where("_bad IS NOT NULL"), "source", F.col("_bad"))
+        return replace(stream, df=good)._with_errors(marked.where("_tm_bad IS NOT NULL"), "source", F.col("_tm_bad"))
 
     def _with_errors(self, rows: DataFrame, stage: str, reason: Column) -> KeyedStream:
         have = set(rows.columns)
@@ -118,8 +118,8 @@ class KeyedStream:
         chosen = F.lit(None).cast("string")
         for label, p in reversed(predicates.items()):
             chosen = F.when(F.coalesce(column(p, "boolean"), F.lit(False)), F.lit(label)).otherwise(chosen)
-        split = self._next(self.df.withColumn("_branch", chosen), "branch", name)
-        return {label: split._next(split.df.where(F.col("_branch") == label).drop("_branch"), "predicate", label) for label in predicates}
+        split = self._next(self.df.withColumn("_tm_branch", chosen), "branch", name)
+        return {label: split._next(split.df.where(F.col("_tm_branch") == label).drop("_tm_branch"), "predicate", label) for label in predicates}
 
     def strict_siblings(self, filters: dict[str, Expr], name: str = "siblings") -> dict[str, KeyedStream]:
         """Filters as dependent siblings: a record reaches a filter only if all filters declared before it kept it."""

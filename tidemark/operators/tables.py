@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.operators import cdc
 from tidemark.operators.scan import running
 from tidemark.plans.topology import Node
+from tidemark.session import columns
 
 
 class TableMisuse(TypeError):
@@ -41,9 +42,9 @@ def latest(changes: DataFrame, key: str = "key", order: str = "offset", deleted:
     is one row per input split.  Equal orders: the greatest row wins.
     """
     gone = F.coalesce(deleted if deleted is not None else F.col("value").isNull(), F.lit(False))
-    rest = [c for c in changes.columns if c != key]
-    last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(gone.alias("_gone"), *(F.col(f"`{c}`") for c in rest)), F.coalesce(F.col(order), F.lit(-1))).alias("r"))
-    return last.where("NOT r._gone").select(key, *(F.col(f"r.`{c}`") for c in rest))
+    row = F.struct(gone.alias("_tm_gone"), F.struct(*columns(changes.drop(key))).alias("row"))
+    last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, F.coalesce(F.col(order), F.lit(-1))).alias("_tm_row"))
+    return last.where("NOT _tm_row._tm_gone").select(key, "_tm_row.row.*")
 
 
 def versioned(changes: DataFrame, version: Column, key: str = "key", order: str = "offset", deleted: Column | None = None) -> DataFrame:
@@ -88,9 +89,9 @@ def materialize(changes: DataFrame, key: str = "key", order: str = "offset", del
     be stored and are left out.
     """
     gone = F.coalesce(deleted if deleted is not None else F.col("value").isNull(), F.lit(False))
-    counted = running(changes.where(F.col(key).isNotNull()), [key], order, sums={"_n": F.lit(1)})
-    since = running(counted, [key], order, lasts={"_t": F.when(gone, F.col("_n"))}, before=True)
-    out = since.withColumn(version_column, F.col("_n") - F.coalesce(F.col("_t"), F.lit(0))).drop("_n", "_t")
+    counted = running(changes.where(F.col(key).isNotNull()), [key], order, sums={"_tm_n": F.lit(1)})
+    since = running(counted, [key], order, lasts={"_tm_t": F.when(gone, F.col("_tm_n"))}, before=True)
+    out = since.withColumn(version_column, F.col("_tm_n") - F.coalesce(F.col("_tm_t"), F.lit(0))).drop("_tm_n", "_tm_t")
     return out.withColumn("value", write(F.col(version_column), F.col("value"))) if write else out
 
 

@@ -14,11 +14,6 @@ FEEDS = LOGS[1:]
 TRANSACTION = "type string, body struct<amount: decimal(18,2)>, timestamp double"
 
 
-def _ms(column: str) -> F.Column:
-    """Milliseconds of a timestamp, rounded down."""
-    return F.floor(F.unix_micros(F.col(column)) / F.lit(1000).cast("decimal(4,0)"))
-
-
 # --- 1: late and out-of-order events
 
 
@@ -36,8 +31,8 @@ def first_transactions(spark: SparkSession, folder: str) -> DataFrame:
         account_number(F.col("key")).alias("account_no"),
         F.col("partition").alias("source"),
         F.col("batch_id").alias("batch"),
-        F.when(read, payload_ms(F.col("p.timestamp"))).otherwise(_ms("timestamp")).alias("event_ms"),
-        F.coalesce(_ms("block_timestamp"), _ms("timestamp")).alias("arrival_ms"),
+        F.when(read, payload_ms(F.col("p.timestamp"))).otherwise(F.unix_millis("timestamp")).alias("event_ms"),
+        F.coalesce(F.unix_millis("block_timestamp"), F.unix_millis("timestamp")).alias("arrival_ms"),
         F.when(read & F.col("p.type").isin("account_credited", "account_debited"), F.col("p.body.amount")).alias("amount"),
         F.when(read, F.col("p.type") == "account_credited").alias("is_credit"),
     )
@@ -146,7 +141,7 @@ def _lost(spark: SparkSession, folder: str, logs: tuple[str, ...] = LOGS) -> Dat
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that aren't the first delivery of their message."""
-    return _lost(spark, folder).select(F.col("_order").alias("delivery_id"))
+    return _lost(spark, folder).select(F.col("_tm_order").alias("delivery_id"))
 
 
 def p4_kept(spark: SparkSession, folder: str) -> DataFrame:

@@ -129,8 +129,8 @@ class VersionedTable:
         if not files:
             return None
         pairs = self.spark.createDataFrame([(f, v) for f, v in files.items()], "_file string, vector string")
-        read = self.spark.read.schema("_file string, _row bigint").parquet(*sorted(set(files.values()))).withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+|/[^/]*$", ""))
-        return read.join(pairs.withColumn("folder", F.regexp_replace("vector", "^file:/+", "")), ["_file", "folder"]).select("_file", "_row")
+        read = self.spark.read.schema("_file string, _row bigint").parquet(*sorted(set(files.values()))).withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "^(file:)?/+|/[^/]*$", ""))
+        return read.join(pairs.withColumn("folder", F.regexp_replace("vector", "^(file:)?/+", "")), ["_file", "folder"]).select("_file", "_row")
 
     def _scan(self, files: dict[str, str | None], placed: bool = False) -> DataFrame:
         if not files:
