@@ -4,7 +4,7 @@ Plain encoding (``count_tokens``, and the encoder that the other operators
 share) and encoding by content-defined chunks, where a chunk that occurs in
 several documents is encoded once:
 
-1. A rolling hash over 64 bytes cuts every document where its value says so,
+1. A rolling hash over 32 bytes cuts every document where its value says so,
    so equal passages are cut alike wherever they stand.
 2. The distinct chunks of the corpus are encoded, each once.
 3. The documents' chunks are put together again.  Tokens next to a join may
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 VOCABULARY = "byte_bpe_50k"
 #: A byte ends a chunk if the top bits of its hash are zero: 512 bytes a chunk on average.
 CUT_BITS = 9
-#: Bytes that the rolling hash looks back on.
-WINDOW = 64
+#: Bytes that the rolling hash looks back on: as many as the hash has bits.
+WINDOW = 32
 #: A cut is left out if another one would precede it by fewer bytes.
 LEAST = 32
 
@@ -96,15 +96,15 @@ def count_tokens(documents: DataFrame, key: str, text: str, path: str | None = N
 
 
 def _gear() -> np.ndarray:
-    """A random 64-bit number for each byte value; any fixed ones will do."""
-    return np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, 256, np.uint64)
+    """A random 32-bit number for each byte value; any fixed ones will do."""
+    return np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 32, 256, np.uint32)
 
 
 def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     """Places in ``data`` (UTF-8 bytes of many texts) before which a chunk begins; never a text's first byte.
 
     The hash of a byte sums up the random numbers of the WINDOW bytes up to
-    it, each shifted by its distance; doubling the window six times gives it
+    it, each shifted by its distance; doubling the window five times gives it
     for all bytes at once.  A cut needs its whole window inside its text, and
     lies between characters.
     """
@@ -113,11 +113,9 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int
     h = _gear()[data]
     width = 1
     while width < WINDOW:
-        shifted = np.zeros_like(h)
-        shifted[width:] = h[:-width] << np.uint64(width)
-        h += shifted
+        h[width:] += h[:-width] << np.uint32(width)
         width *= 2
-    at = np.flatnonzero(h >> np.uint64(64 - bits) == 0).astype(np.int64)
+    at = np.flatnonzero(h < np.uint32(1 << (WINDOW - bits))).astype(np.int64)
     at = at[np.diff(at, prepend=-LEAST - 1) >= LEAST] + 1
     for _ in range(3):
         inside = at < len(data)
