@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tidemark.queries import corpus_core, streams
+from tidemark.queries import corpus_core, running, streams
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = streams.QUERIES | corpus_core.QUERIES, streams.SQL | corpus_core.SQL
+QUERIES, SQL = streams.QUERIES | running.QUERIES | corpus_core.QUERIES, streams.SQL | running.SQL | corpus_core.SQL
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 
 
