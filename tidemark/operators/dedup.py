@@ -12,12 +12,16 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.records import LONG_MAX
-from tidemark.session import columns, scratch_path
+from tidemark.session import scratch_path
 
 #: A deletion vector is stored as words of so many rows.
 WORD = 64
+VECTORS = "_tm_file string, _tm_word bigint, _tm_mask bigint"
+#: Words that are broadcast at once.
+MOST_WORDS = 500_000
 
 
 def positions(df: DataFrame, identity: Sequence[Column], order: Column, carry: Sequence[Column] = ()) -> DataFrame:
@@ -82,39 +86,46 @@ def _groups(sizes: list[tuple[str, int]], most: int) -> tuple[list[list[str]], l
     return groups, alone
 
 
-def _plain(uri: str) -> str:
+def plain_name(uri: str) -> str:
     """A file's name without escapes; local ones come with one or three slashes after the scheme."""
     name = unquote(uri)
     return "/" + name[5:].lstrip("/") if name.startswith("file:") else name
 
 
-def read_without(spark: SparkSession, path: str, vectors: DataFrame, most_words: int = 500_000) -> DataFrame:
-    """The rows of the Parquet table at ``path`` that ``vectors`` doesn't delete.
+def read_without(spark: SparkSession, path: str, vectors: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of the Parquet table at ``path`` that ``vectors`` doesn't delete; see :func:`apply_vectors`."""
+    table = spark.read.parquet(path)
+    return apply_vectors(spark, table.schema, table.inputFiles(), vectors, most_words=most_words)
+
 
-    The vectors are written once to the shared folder.  The table's files are
-    then read in groups whose vectors have at most ``most_words`` words (about
+def apply_vectors(spark: SparkSession, schema: T.StructType, files: list[str], vectors: DataFrame, deleted: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of some Parquet files that their vectors leave (or, with ``deleted``, only those that they delete).
+
+    The vectors are written once to the shared folder.  The files are then
+    read in groups whose vectors have at most ``most_words`` words (about
     50 MB when broadcast, the proven bound of each broadcast); the plan is the
     union of the groups' scans, and no payload is shuffled.  A file with more
     words than that is joined by a shuffle of that file only.
     """
     kept = scratch_path(spark, "vectors")
     vectors.write.parquet(kept)
-    written = spark.read.parquet(kept)
-    table = spark.read.parquet(path)
+    written = spark.read.schema(VECTORS).parquet(kept)
+    wanted = {plain_name(f) for f in files}
     # one row per file, as in the listing that the scan's driver holds anyway
     sizes = sorted((r["_tm_file"], r["n"]) for r in written.groupBy("_tm_file").agg(F.count("*").alias("n")).collect())
-    touched = {_plain(name) for name, _ in sizes}
-    clean = [unquote(f) for f in table.inputFiles() if _plain(f) not in touched]
+    sizes = [(f, n) for f, n in sizes if plain_name(f) in wanted]
+    touched = {plain_name(f) for f, _ in sizes}
+    clean = [] if deleted else [unquote(f) for f in files if plain_name(f) not in touched]
     groups, alone = _groups(sizes, most_words)
-    parts = [spark.read.schema(table.schema).parquet(*clean)] if clean else []
-    for files, small in [*((g, True) for g in groups), *(([f], False) for f in alone)]:
-        own = written.where(F.col("_tm_file").isin(files))
-        scan = spark.read.schema(table.schema).parquet(*map(unquote, files))
+    parts = [spark.read.schema(schema).parquet(*clean)] if clean else []
+    for names, small in [*((g, True) for g in groups), *(([f], False) for f in alone)]:
+        own = written.where(F.col("_tm_file").isin(names))
+        scan = spark.read.schema(schema).parquet(*map(unquote, names))
         scan = scan.select("*", F.col("_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias("_tm_row"), F.expr(f"_metadata.row_index div {WORD}").alias("_tm_word"))
-        joined = scan.join(F.broadcast(own) if small else own, ["_tm_file", "_tm_word"], "left")
+        joined = scan.join(F.broadcast(own) if small else own, ["_tm_file", "_tm_word"], "inner" if deleted else "left")
         gone = F.coalesce(F.expr(f"(shiftrightunsigned(_tm_mask, CAST(_tm_row % {WORD} AS INT)) & 1L) = 1L"), F.lit(False))
-        parts.append(joined.where(~gone).select(*columns(table)))
-    out = parts[0] if parts else table.where(F.lit(False))
+        parts.append(joined.where(gone if deleted else ~gone).drop("_tm_file", "_tm_row", "_tm_word", "_tm_mask"))
+    out = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         out = out.unionByName(p)
     return out

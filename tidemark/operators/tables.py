@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -63,22 +63,31 @@ def versioned(changes: DataFrame, version: Column, key: str = "key", order: str
 def compared(changes: DataFrame, version: Column, accept: Callable[[int, int], bool], key: str = "key", order: str = "offset") -> DataFrame:
     """Like :func:`versioned` with a version comparator of the user's, ``accept(new, current)``.
 
-    Only an order-dependent fold can apply an arbitrary function; it runs
-    key by key over arrays of (order, version), without the values.
+    Only an order-dependent fold can apply an arbitrary function, so a key's
+    changes pass one task one after the other; they pass as a stream of
+    (order, version) in sorted batches, so a hot key takes time, not memory.
     """
     rows = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("order"), F.when(F.col("value").isNotNull(), version.cast("bigint")).alias("version"), F.col("value").isNull().alias("gone"))
     schema = T.StructType([rows.schema["key"], T.StructField("order", T.LongType()), T.StructField("version", T.LongType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for at, new, gone in pdf.sort_values("order", kind="stable")[["order", "version", "gone"]].itertuples(index=False):
-            if gone:
-                held = None
-            elif not pd.isna(new) and (held is None or accept(int(new), held[1])):
-                held = (at, int(new))
-        return pd.DataFrame([] if held is None else [(pdf["key"].iloc[0], *held)], columns=["key", "order", "version"])
-
-    return rows.groupBy("key").applyInPandas(fold, schema).select(F.col("key").alias(key), F.col("order").alias(order), "version")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, now, held = [], None, None
+        for pdf in batches:
+            for k, at, new, gone in pdf.itertuples(index=False):
+                if k != now:
+                    if held is not None:
+                        done.append((now, *held))
+                    now, held = k, None
+                if gone:
+                    held = None
+                elif not pd.isna(new) and (held is None or accept(int(new), held[1])):
+                    held = (at, int(new))
+            yield pd.DataFrame(done, columns=["key", "order", "version"])
+            done = []
+        yield pd.DataFrame([] if held is None else [(now, *held)], columns=["key", "order", "version"])
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "order")
+    return ordered.mapInPandas(fold, schema).select(F.col("key").alias(key), F.col("order").alias(order), "version")
 
 
 def materialize(changes: DataFrame, key: str = "key", order: str = "offset", deleted: Column | None = None, version_column: str = "version", write: Callable[[Column, Column], Column] | None = None) -> DataFrame:

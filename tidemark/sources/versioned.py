@@ -17,10 +17,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.dedup import VECTORS, apply_vectors, deletion_vectors, plain_name
+
 VERSIONS = "_versions"
 
 
@@ -116,33 +118,39 @@ class VersionedTable:
     def delete_where(self, condition: str) -> int:
         """Mark rows as deleted by new deletion vectors; data files stay as they are."""
         old = self.manifest()
-        hit = self._scan(old.files, placed=True).where(condition).select("_file", "_row")
-        gone = self._vectors({f: v for f, v in old.files.items() if v})
-        every = hit if gone is None else hit.unionByName(gone).distinct()
+        if not old.files:
+            return self.commit(base=old.version)
+        hit = self.spark.read.schema(self.schema).parquet(*old.files).where(condition).select(F.col("_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias("_tm_row"))
+        words = deletion_vectors(hit)
+        before = self._vectors(old.files)
+        if before is not None:
+            # of the files that are hit now, the vectors are joined; the others keep theirs
+            words = words.unionByName(before).groupBy("_tm_file", "_tm_word").agg(F.bit_or("_tm_mask").alias("_tm_mask"))
         folder = f"{self.path}/vectors/{uuid.uuid4().hex}"
-        every.write.parquet(folder)
-        touched = {r["_file"] for r in self.spark.read.schema("_file string, _row bigint").parquet(folder).select("_file").distinct().collect()}  # of the table's files
-        return self.commit(vectors={f: folder for f in old.files if f in touched}, base=old.version)
-
-    def _vectors(self, files: dict[str, str]) -> DataFrame | None:
-        """``_file``, ``_row`` of the deleted rows of these files."""
-        if not files:
-            return None
-        pairs = self.spark.createDataFrame([(f, v) for f, v in files.items()], "_file string, vector string")
-        read = self.spark.read.schema("_file string, _row bigint").parquet(*sorted(set(files.values()))).withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "^(file:)?/+|/[^/]*$", ""))
-        return read.join(pairs.withColumn("folder", F.regexp_replace("vector", "^(file:)?/+", "")), ["_file", "folder"]).select("_file", "_row")
+        words.write.parquet(folder)
+        touched = {plain_name(r["_tm_file"]) for r in self.spark.read.schema(VECTORS).parquet(folder).select("_tm_file").distinct().collect()}  # of the table's files
+        return self.commit(vectors={f: folder for f in old.files if plain_name(f) in touched}, base=old.version)
+
+    def _vectors(self, files: dict[str, str | None]) -> DataFrame | None:
+        """The words of these files' deletion vectors; a vectors folder may also hold older words of other files."""
+        by_folder: dict[str, list[str]] = {}
+        for f, v in files.items():
+            if v:
+                by_folder.setdefault(v, []).append(plain_name(f))
+        out = None
+        for folder, names in by_folder.items():
+            read = self.spark.read.schema(VECTORS).parquet(folder)
+            own = read.where(_plain("_tm_file").isin(names))
+            out = own if out is None else out.unionByName(own)
+        return out
 
-    def _scan(self, files: dict[str, str | None], placed: bool = False) -> DataFrame:
+    def _scan(self, files: dict[str, str | None]) -> DataFrame:
         if not files:
-            return self.spark.createDataFrame([], T.StructType([*self.schema, *([T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())] if placed else [])]))
-        # the manifest's names and the scan's differ in the slashes after the scheme
-        df = self.spark.read.schema(self.schema).parquet(*files)
-        names = self.spark.createDataFrame([(f, _plain(f)) for f in files], "_file string, _plain string")
-        df = df.select("*", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_plain"), F.col("_metadata.row_index").alias("_row")).join(names, "_plain").drop("_plain")
-        gone = self._vectors({f: v for f, v in files.items() if v})
-        if gone is not None:
-            df = df.join(gone, ["_file", "_row"], "left_anti")
-        return df.select(*self.schema.names, "_file", "_row") if placed else df.select(*self.schema.names)
+            return self.spark.createDataFrame([], self.schema)
+        vectors = self._vectors(files)
+        if vectors is None:
+            return self.spark.read.schema(self.schema).parquet(*files)
+        return apply_vectors(self.spark, self.schema, list(files), vectors)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._scan(self.manifest(version).files)
@@ -157,17 +165,22 @@ class VersionedTable:
         a, b = self.manifest(old).files, self.manifest(new).files
         added = {f: v for f, v in b.items() if f not in a}
         removed = {f: v for f, v in a.items() if f not in b}
-        other = {f: v for f, v in b.items() if f in a and a[f] != v}
+        other = [f for f, v in b.items() if f in a and a[f] != v]
         out = self._scan(added).withColumn("change", F.lit("added")).unionByName(self._scan(removed).withColumn("change", F.lit("removed")))
         if other:
-            before, after = self._scan({f: a[f] for f in other}, placed=True), self._scan(other, placed=True)
-            for x, y, kind in ((before, after, "removed"), (after, before, "added")):
-                out = out.unionByName(x.join(y.select("_file", "_row"), ["_file", "_row"], "left_anti").select(*self.schema.names).withColumn("change", F.lit(kind)))
+            none = self.spark.createDataFrame([], VECTORS)
+            before, after = (self._vectors({f: m[f] for f in other}) for m in (a, b))
+            before, after = none if before is None else before, none if after is None else after
+            for x, y, kind in ((after, before, "removed"), (before, after, "added")):
+                rest = x.join(y.withColumnRenamed("_tm_mask", "_tm_old"), ["_tm_file", "_tm_word"], "left")
+                words = rest.select("_tm_file", "_tm_word", F.expr("_tm_mask & ~coalesce(_tm_old, 0L)").alias("_tm_mask")).where("_tm_mask <> 0")
+                out = out.unionByName(apply_vectors(self.spark, self.schema, other, words, deleted=True).withColumn("change", F.lit(kind)))
         return out
 
 
-def _plain(path: str) -> str:
-    return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
+def _plain(column: str) -> Column:
+    """:func:`plain_name` of a column, for names without escapes."""
+    return F.regexp_replace(column, "^file:/+", "/")
 
 
 def run_incrementally(source: VersionedTable, sink: VersionedTable, process: Callable[[DataFrame], DataFrame], name: str | None = None) -> int | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ class LiveTable:
     touches, and commits them together with its number in one manifest, so
     that a repeated micro-batch changes nothing.  Rules as for
     :func:`tidemark.operators.tables.latest` and, with ``version``,
-    ``versioned``; the row's whole record is kept.
+    ``versioned``; the row's whole record is kept.  ``prepare`` is the user's
+    writer: what it makes of a micro-batch's changes is applied.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, version: Column | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, version: Column | None = None, buckets: int = BUCKETS, prepare: Callable[[DataFrame], DataFrame] | None = None):
+        self.prepare = prepare
         self.version, self.buckets, self.record = version, buckets, schema
         state = T.StructType([T.StructField("key", schema["key"].dataType), T.StructField("ver", T.DoubleType()), T.StructField("pos", T.StructType(schema.fields)), T.StructField("bucket", T.IntegerType())])
         self.store = VersionedTable(spark, path, state)
@@ -37,7 +40,7 @@ class LiveTable:
         done = self.store.manifest()
         if done.processed.get("micro-batch", -1) >= number:
             return
-        changes = changes.where(F.col("key").isNotNull())
+        changes = (self.prepare(changes) if self.prepare else changes).where(F.col("key").isNotNull())
         bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
         touched = [r[0] for r in changes.select(bucket).distinct().collect()]  # numbers below BUCKETS
         old = {f: v for f, v in done.files.items() if any(f"/bucket={b}/" in f for b in touched)}
