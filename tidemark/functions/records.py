@@ -50,7 +50,8 @@ def uuid_key_text(key: Column) -> Column:
     return F.when(s.rlike(r"\A[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"), s)
 
 
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+#: Options of from_json that leave only JSON by the standard.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 _BROKEN = "␂broken"
 
 
@@ -63,7 +64,7 @@ def is_json_object(text: Column) -> Column:
     the last member or begins otherwise.
     """
     whole = F.concat(F.lit('{"v":'), text, F.lit(f',"{_SENTINEL}":1}}'))
-    read = F.from_json(whole, f"v string, `{_SENTINEL}` int, `{_BROKEN}` string", _STRICT | {"columnNameOfCorruptRecord": _BROKEN})
+    read = F.from_json(whole, f"v string, `{_SENTINEL}` int, `{_BROKEN}` string", STRICT | {"columnNameOfCorruptRecord": _BROKEN})
     return F.coalesce(read[_BROKEN].isNull() & (read[_SENTINEL] == 1) & read["v"].startswith("{"), F.lit(False))
 
 
@@ -75,7 +76,7 @@ def strict_json(value: Column, schema: str) -> Column:
     of NULLs.  Members of another type than the schema's are NULL.
     """
     text = value.cast("string")
-    return F.when(is_json_object(text), F.from_json(text, schema, _STRICT))
+    return F.when(is_json_object(text), F.from_json(text, schema, STRICT))
 
 
 def payload_ms(number: Column) -> Column:

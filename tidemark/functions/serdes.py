@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.records import strict_json
+from tidemark.functions.records import STRICT, is_json_object, strict_json
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,9 @@ class JsonCodec(Codec):
     def decode(self, data: Column) -> Column:
         return strict_json(data, self.schema)
 
+    def valid(self, data: Column) -> Column:
+        return data.isNull() | is_json_object(data.cast("string"))
+
     def encode(self, value: Column) -> Column:
         return F.to_json(value).cast("binary")
 
@@ -90,10 +93,18 @@ class UnionCodec(Codec):
     kinds: Mapping[str, str]
     tag: str = "type"
 
+    def _kind(self, text: Column) -> Column:
+        return F.get_json_object(text, f"$['{self.tag}']")
+
     def decode(self, data: Column) -> Column:
-        kind = strict_json(data, f"`{self.tag}` string")[self.tag]
-        members = [F.when(kind == name, strict_json(data, schema)).alias(name) for name, schema in self.kinds.items()]
-        return F.when(kind.isin(*self.kinds), F.struct(kind.alias("kind"), *members))
+        text = data.cast("string")
+        kind = self._kind(text)
+        members = [F.when(kind == name, F.from_json(text, schema, STRICT)).alias(name) for name, schema in self.kinds.items()]
+        return F.when(kind.isin(*self.kinds) & is_json_object(text), F.struct(kind.alias("kind"), *members))
+
+    def valid(self, data: Column) -> Column:
+        text = data.cast("string")
+        return data.isNull() | (F.coalesce(self._kind(text).isin(*self.kinds), F.lit(False)) & is_json_object(text))
 
     def encode(self, value: Column) -> Column:
         return F.coalesce(*(F.to_json(value[name]) for name in self.kinds)).cast("binary")
