@@ -107,11 +107,10 @@ def unprocessed(deliveries: DataFrame, ledger: DataFrame, size: int = SLICE) ->
     """
     positions = log_positions(deliveries)
     committed = commits(ledger)
-    diff = manifest_diff(log_manifest(positions, size), committed, size).where("status <> 'current'").select(*_PLACE, "file", "processed", "status")
-    rows = positions.withColumn("file", F.expr(f"offset div {size}")).join(diff, [*_PLACE, "file"])
+    diff = manifest_diff(log_manifest(positions, size), committed, size).where("status <> 'current'").select(*_PLACE, "file", "processed")
+    # the rows of added and changed files; no part of a commit meets an added one
+    rows = positions.withColumn("file", F.expr(f"offset div {size}")).join(diff, [*_PLACE, "file"]).where("processed IS NULL OR processed < newest")
     # at most SLICE positions and SLICE^2 / 2 distinct parts meet in a file
     parts = processed_parts(committed, size).select(*_PLACE, "file", "from", "to", F.col("version").alias("v"))
-    changed = rows.where("status = 'changed' AND (processed IS NULL OR processed < newest)")
-    inside = [changed[c] == parts[c] for c in (*_PLACE, "file")] + [changed["offset"] >= parts["from"], changed["offset"] < parts["to"], parts["v"] >= changed["newest"]]
-    left = changed.join(parts, inside, "left_anti").select(*_PLACE, "offset")
-    return rows.where("status = 'added'").select(*_PLACE, "offset").unionByName(left)
+    inside = [rows[c] == parts[c] for c in (*_PLACE, "file")] + [rows["offset"] >= parts["from"], rows["offset"] < parts["to"], parts["v"] >= rows["newest"]]
+    return rows.join(parts, inside, "left_anti").select(*_PLACE, "offset")
