@@ -238,6 +238,12 @@ SQL = {
     "p2_found": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, min(batch_id) AS b FROM deliveries GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
         done AS (SELECT DISTINCT topic, partition, start_offset, next_offset, last_batch FROM run_ledger WHERE lower(trim(state)) = 'committed')
         SELECT topic, partition, "offset" FROM newest n WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.topic = n.topic AND d.partition = n.partition AND d.start_offset <= n."offset" AND n."offset" < d.next_offset AND d.last_batch >= n.b)""",
+    "p2_files": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, min(batch_id) AS b FROM deliveries GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
+        files AS (SELECT topic, partition, "offset" // 256 AS file, count(*) AS records, max(b) AS newest FROM newest GROUP BY ALL),
+        done AS (SELECT DISTINCT topic, partition, start_offset AS s, next_offset AS e, last_batch AS v FROM run_ledger WHERE lower(trim(state)) = 'committed' AND start_offset < next_offset AND last_batch IS NOT NULL),
+        met AS (SELECT f.topic, f.partition, f.file, f.records, f.newest, max(CASE WHEN d.s <= f.file * 256 AND d.e >= (f.file + 1) * 256 THEN d.v END) AS processed, bool_or(d.s > f.file * 256 OR d.e < (f.file + 1) * 256) AS in_part
+          FROM files f LEFT JOIN done d ON d.topic = f.topic AND d.partition = f.partition AND d.s < (f.file + 1) * 256 AND d.e > f.file * 256 GROUP BY ALL)
+        SELECT topic, partition, CASE WHEN processed >= newest THEN 'current' WHEN processed IS NULL AND NOT coalesce(in_part, false) THEN 'added' ELSE 'changed' END AS status, count(*) AS files, CAST(sum(records) AS BIGINT) AS records FROM met GROUP BY ALL""",
     "p3_found": f"SELECT account_no FROM (SELECT {_ACCOUNT} AS account_no, count(*) AS n FROM transaction_records GROUP BY ALL) WHERE account_no IS NOT NULL AND n * 100 >= 2 * (SELECT count(*) FROM transaction_records)",
     "p3_accounts": f"""SELECT account_no, count(*) AS n, count(*) FILTER (kind = 'account_credited') AS n_credits, count(*) FILTER (kind = 'account_debited') AS n_debits,
         CAST(coalesce(sum(CAST(amount * 100 AS BIGINT)) FILTER (kind = 'account_credited'), 0) AS BIGINT) AS credit_cents, CAST(coalesce(sum(CAST(amount * 100 AS BIGINT)) FILTER (kind = 'account_debited'), 0) AS BIGINT) AS debit_cents
