@@ -5,7 +5,8 @@ partition computes a lower bound of its containers from dual feasible
 functions; where the bound is met, no packing of these items is better and
 the partition is done.  Partitions with a gap give up the items of their
 unfilled containers, exchange them and pack again, round after round, as
-long as that saves containers.
+long as that saves containers.  At last all partitions exchange what is in
+their unfilled containers, so that their remainders share containers, too.
 """
 
 from __future__ import annotations
@@ -137,20 +138,25 @@ def pack_items(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY,
     used = max(1, -(-total // items_per_part))
     placed = checkpointed(_packed(spread(items, total, 0), columns, capacity, 0))
     containers = _containers(placed)
+    gaps = True
     for turn in range(1, rounds + 1):
         if containers <= bound:
             break
-        open_ = (F.col("gap") > 0) & (F.col("room") > 0)
-        state = placed.where(open_).agg(F.count(F.lit(1)).alias("items"), F.count_distinct("part").alias("parts")).first()
-        if state["parts"] == 0 or state["parts"] == 1 and turn > 1:
-            break
-        again = _packed(spread(placed.where(open_), state["items"], turn), columns, capacity, used)
-        used += max(1, -(-state["items"] // items_per_part))
-        tried = checkpointed(placed.where(~open_).unionByName(again))
-        now = _containers(tried)
-        if now >= containers:
+        # parts that aren't certified; once that saves nothing, what every part has left unfilled
+        open_ = (F.col("room") > 0) & (F.col("gap") > 0) if gaps else F.col("room") > 0
+        number = placed.where(open_).count()
+        now = containers
+        if number:
+            again = _packed(spread(placed.where(open_), number, turn), columns, capacity, used)
+            used += max(1, -(-number // items_per_part))
+            tried = checkpointed(placed.where(~open_).unionByName(again))
+            now = _containers(tried)
+        if now < containers:
+            placed, containers = tried, now
+        elif gaps:
+            gaps = False
+        else:
             break
-        placed, containers = tried, now
     return Packing(placed.select(key, "piece", "n_pieces", "size", "container"), containers, bound)
 
 
