@@ -15,7 +15,8 @@ LEDGER = "topic string, partition int, start_offset bigint, next_offset bigint,
 def brute(deliveries, ledger):
     seen = {}
     for t, p, o, m, v in deliveries:
-        if None not in (t, p, o, v):
+        if None not in (t, p, o):
+            v = float("inf") if v is None else v
             seen[t, p, o, m] = min(v, seen.get((t, p, o, m), v))
     done = [r for r in ledger if r[5] and r[5].strip().lower() == "committed" and None not in r[:5]]
     return sorted({(t, p, o) for (t, p, o, m), v in seen.items() if not any(r[0] == t and r[1] == p and r[2] <= o < r[3] and r[4] >= v for r in done)})
@@ -25,7 +26,7 @@ def brute(deliveries, ledger):
 @pytest.mark.parametrize("size", [4, 256])
 def test_equals_search(spark, seed, size):
     rng = random.Random(seed)
-    deliveries = [(rng.choice(["a", "b", None]), rng.choice([0, 1, 1, 1, None]), rng.choice([rng.randrange(80), rng.randrange(2000), None]), rng.choice(["x", "y", None]), rng.randrange(10)) for _ in range(400)]
+    deliveries = [(rng.choice(["a", "b", None]), rng.choice([0, 1, 1, 1, None]), rng.choice([rng.randrange(80), rng.randrange(2000), None]), rng.choice(["x", "y", None]), rng.choice([None, *range(10)])) for _ in range(400)]
     ledger = []
     for _ in range(60):
         s = rng.choice([rng.randrange(80), rng.randrange(2000), None])

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.records import LONG_MAX
+
 #: Offsets in a file of a log's manifest.
 SLICE = 256
 _PLACE = ["topic", "partition"]
@@ -26,11 +28,13 @@ def log_positions(deliveries: DataFrame) -> DataFrame:
     ``deliveries`` has ``topic``, ``partition``, ``offset``, ``message`` and
     ``version``.  A message at a position exists from the smallest version of
     its rows there; the position has ``newest``, that of its latest message.
-    Both steps aggregate before the shuffle.  Rows without a place or version
-    can't be processed by any run and aren't positions.
+    Both steps aggregate before the shuffle.  Rows without topic, partition or
+    offset are at no position.  A message without a version in any of its
+    rows is newer than every run, so it stays to be processed.
     """
-    placed = deliveries.where("topic IS NOT NULL AND partition IS NOT NULL AND offset IS NOT NULL AND version IS NOT NULL")
-    messages = placed.groupBy(*_PLACE, "offset", "message").agg(F.min("version").alias("version"))
+    placed = deliveries.where("topic IS NOT NULL AND partition IS NOT NULL AND offset IS NOT NULL")
+    version = F.coalesce(F.col("version").cast("bigint"), F.lit(LONG_MAX))
+    messages = placed.groupBy(*_PLACE, "offset", "message").agg(F.min(version).alias("version"))
     return messages.groupBy(*_PLACE, "offset").agg(F.max("version").alias("newest"))
 
 

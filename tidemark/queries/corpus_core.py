@@ -94,7 +94,8 @@ def p2_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _account_totals(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "transaction_records").select("key", strict_json(F.col("value"), TRANSACTION).alias("p"))
+    payload = strict_json(F.col("value"), TRANSACTION)
+    rows = table(spark, folder, "transaction_records").select("key", payload.alias("p")).select("key", F.when(F.col("p.timestamp").isNotNull(), F.col("p")).alias("p"))
     cents = (F.col("p.body.amount") * 100).cast("bigint")
     return hot_keys.key_totals(
         rows,
@@ -235,10 +236,10 @@ SQL = {
         CAST(sum(credit) FILTER (NOT late) AS DOUBLE) AS credits_on_time, CAST(sum(debit) FILTER (NOT late) AS DOUBLE) AS debits_on_time, CAST(sum(credit) AS DOUBLE) AS credits_total, CAST(sum(debit) AS DOUBLE) AS debits_total
         FROM (SELECT *, a >= (period_start + 3600000) * 1000 AS late, CASE WHEN kind = 'account_credited' THEN amount END AS credit, CASE WHEN kind = 'account_debited' THEN amount END AS debit {_PERIODS}) GROUP BY account_no, period_start""",
     "p1_diverted": f"WITH {_FIRST} SELECT CASE WHEN e IS NULL OR a IS NULL THEN 'no_time' ELSE 'past_cut_off' END AS reason, period_start, count(*) AS n FROM first WHERE e IS NULL OR a IS NULL OR a >= (period_start + 7 * 3600000) * 1000 GROUP BY ALL",
-    "p2_found": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, min(batch_id) AS b FROM deliveries GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
+    "p2_found": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, coalesce(min(batch_id), 2147483647) AS b FROM deliveries WHERE topic IS NOT NULL AND partition IS NOT NULL AND "offset" IS NOT NULL GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
         done AS (SELECT DISTINCT topic, partition, start_offset, next_offset, last_batch FROM run_ledger WHERE lower(trim(state)) = 'committed')
         SELECT topic, partition, "offset" FROM newest n WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.topic = n.topic AND d.partition = n.partition AND d.start_offset <= n."offset" AND n."offset" < d.next_offset AND d.last_batch >= n.b)""",
-    "p2_files": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, min(batch_id) AS b FROM deliveries GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
+    "p2_files": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, coalesce(min(batch_id), 2147483647) AS b FROM deliveries WHERE topic IS NOT NULL AND partition IS NOT NULL AND "offset" IS NOT NULL GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
         files AS (SELECT topic, partition, "offset" // 256 AS file, count(*) AS records, max(b) AS newest FROM newest GROUP BY ALL),
         done AS (SELECT DISTINCT topic, partition, start_offset AS s, next_offset AS e, last_batch AS v FROM run_ledger WHERE lower(trim(state)) = 'committed' AND start_offset < next_offset AND last_batch IS NOT NULL),
         met AS (SELECT f.topic, f.partition, f.file, f.records, f.newest, max(CASE WHEN d.s <= f.file * 256 AND d.e >= (f.file + 1) * 256 THEN d.v END) AS processed, bool_or(d.s > f.file * 256 OR d.e < (f.file + 1) * 256) AS in_part
