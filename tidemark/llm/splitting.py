@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.tokens import _lists, encoder, texts_of, token_facts, vocabulary_path
+from tidemark.llm.tokens import _lists, ids_of, texts_of, token_facts, vocabulary_path
 
 LIMIT = 512
 OVERLAP = 32
@@ -94,11 +94,11 @@ def split_documents(documents: DataFrame, key: str, text: str, limit: int = LIMI
     schema = T.StructType([rows.schema[key], *(T.StructField(n, T.IntegerType()) for n in names), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, length = encoder(path), token_facts(path)[0]
+        length = token_facts(path)[0]
         for b in batches:
             source, numbers, pieces = [], [], []
             for i, t in enumerate(texts_of(b.column(1))):
-                ids = np.array(e.encode_ordinary(t) if t else [], np.int32)
+                ids = ids_of(t, path).astype(np.int32)
                 firsts = [0]
                 if len(ids) > limit:
                     places = np.r_[0, np.cumsum(length[ids])]

@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ VOCABULARY = "byte_bpe_50k"
 CUT_BITS = 9
 #: Bytes that the rolling hash looks back on: as many as the hash has bits.
 WINDOW = 32
+#: Bytes that are hashed at once.
+BLOCK = 1 << 17
 #: A cut is left out if another one would precede it by fewer bytes.
 LEAST = 32
 
@@ -57,6 +58,11 @@ def encoder(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ids_of(text: str | None, path: str) -> np.ndarray:
+    """The ids of a text as an array; what reads like a special token is ordinary text. None has no ids."""
+    return encoder(path).encode_to_numpy(text, allowed_special=set(), disallowed_special=()) if text else np.zeros(0, np.uint32)
+
+
 @cache
 def token_facts(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each id: length in bytes, whether it begins with a blank, whether it ends with a visible ASCII character."""
@@ -74,11 +80,10 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
         yield x.as_py().decode("utf-8", "replace") if x.is_valid else None
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=ends[1:])
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1])) if not rows or not isinstance(rows[0], np.ndarray) else np.concatenate(rows).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), kind))
 
 
 def count_tokens(documents: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -87,9 +92,8 @@ def count_tokens(documents: DataFrame, key: str, text: str, path: str | None = N
     rows = documents.select(F.col(key).alias(key), F.col(text).alias("_text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for b in batches:
-            n = [len(e.encode_ordinary(t)) if t else 0 for t in texts_of(b.column(1))]
+            n = [len(ids_of(t, path)) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], [key, "n_tokens"])
 
     return rows.mapInArrow(counted, T.StructType([rows.schema[key], T.StructField("n_tokens", T.LongType())]))
@@ -100,6 +104,17 @@ def _gear() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 32, 256, np.uint32)
 
 
+def _hits(data: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """Bytes of the block from ``first`` on whose hash makes a cut; those before it are looked back on."""
+    back = min(first, WINDOW - 1)
+    h = _gear()[data[first - back : first + BLOCK]]
+    width = 1
+    while width < WINDOW:
+        h[width:] += h[:-width] << np.uint32(width)
+        width *= 2
+    return np.flatnonzero(h[back:] < np.uint32(1 << (WINDOW - bits))).astype(np.int64) + first
+
+
 def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     """Places in ``data`` (UTF-8 bytes of many texts) before which a chunk begins; never a text's first byte.
 
@@ -108,14 +123,7 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int
     for all bytes at once.  A cut needs its whole window inside its text, and
     lies between characters.
     """
-    if not len(data):
-        return np.zeros(0, np.int64)
-    h = _gear()[data]
-    width = 1
-    while width < WINDOW:
-        h[width:] += h[:-width] << np.uint32(width)
-        width *= 2
-    at = np.flatnonzero(h < np.uint32(1 << (WINDOW - bits))).astype(np.int64)
+    at = np.concatenate([np.zeros(0, np.int64), *(_hits(data, k, bits) for k in range(0, len(data), BLOCK))])
     at = at[np.diff(at, prepend=-LEAST - 1) >= LEAST] + 1
     for _ in range(3):
         inside = at < len(data)
@@ -143,35 +151,46 @@ def _chunked(keys: list[pa.Array], texts: pa.Array, bits: int) -> tuple[list[pa.
     return [k.take(take) for k in keys], pa.array(number.astype(np.int32)), chunk.cast(pa.string())
 
 
+def repair(ids: np.ndarray, joins: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts from those of their chunks, and the texts' new ends.
+
+    ``ids``: those of all chunks of all texts, in order; ``joins``: where a
+    chunk of the same text follows another; ``ends``: where texts end.
+    """
+    if not len(joins):
+        return ids, ends
+    _, blank, visible = token_facts(path)
+    agrees = np.zeros(len(ids) + 1, bool)
+    agrees[1:-1] = visible[ids[:-1]] & blank[ids[1:]]
+    agrees[0] = agrees[ends] = True
+    agree = np.flatnonzero(agrees)
+    after = np.searchsorted(agree, joins[~agrees[joins]])
+    after = after[np.diff(after, prepend=-1) != 0]
+    left, right = agree[after - 1], agree[after]
+    of = encoder(path).decode_bytes
+    fresh = [ids_of(of(ids[a:z].tolist()).decode("utf-8", "replace"), path).astype(ids.dtype) for a, z in zip(left.tolist(), right.tolist(), strict=True)]
+    kept = np.split(ids, np.ravel(np.column_stack([left, right])))
+    out = [x for pair in zip(kept[0::2], [*fresh, ids[:0]], strict=True) for x in pair]
+    grown = np.r_[0, np.cumsum([len(f) for f in fresh] - (right - left))]
+    return np.concatenate(out), ends + grown[np.searchsorted(right, ends, "right")]
+
+
 def _repaired(parts: list[np.ndarray], path: str) -> np.ndarray:
-    """The ids of a text from those of its chunks."""
+    """The ids of one text from those of its chunks."""
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    if len(parts) < 2:
-        return ids
-    _, blank, visible = token_facts(path)
-    agree = np.flatnonzero(visible[ids[:-1]] & blank[ids[1:]]) + 1
-    joins = np.cumsum([len(p) for p in parts])[:-1]
-    joins = joins[~np.isin(joins, agree)]
-    left = np.r_[0, agree][np.searchsorted(agree, joins)]
-    right = np.r_[agree, len(ids)][np.searchsorted(agree, joins)]
-    e, out, done = encoder(path), [], 0
-    for a, b in dict.fromkeys(zip(left.tolist(), right.tolist(), strict=True)):
-        text = e.decode_bytes(ids[a:b].tolist()).decode("utf-8", "replace")
-        out += [ids[done:a], np.array(e.encode_ordinary(text), np.int32)]
-        done = b
-    return np.concatenate([*out, ids[done:]])
+    return repair(ids, np.cumsum([len(p) for p in parts], dtype=np.int64)[:-1], np.array([len(ids)]), path)[0]
 
 
 def _wide(path: str) -> bool:
     return len(token_facts(path)[0]) > 1 << 16
 
 
-def _packed(rows: list[list[int]], path: str) -> pa.Array:
+def _packed(rows: list[np.ndarray], path: str) -> pa.Array:
     """Ids as bytes, two each where the vocabulary allows it."""
     ends = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) for r in rows], out=ends[1:])
     kind = np.dtype(np.uint32 if _wide(path) else np.uint16)
-    flat = np.fromiter(chain.from_iterable(rows), kind, int(ends[-1]))
+    flat = np.concatenate([np.zeros(0, kind), *rows]).astype(kind)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends * kind.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
 
 
@@ -194,23 +213,31 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
             yield pa.RecordBatch.from_arrays([*keys, number, chunk], ["key", "digest", "number", "chunk"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _packed([e.encode_ordinary(t) for t in texts_of(b.column(1))], path)], ["chunk_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed([ids_of(t, path) for t in texts_of(b.column(1))], path)], ["chunk_id", "packed"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.uint32 if _wide(path) else np.uint16
+        width = np.dtype(np.uint32 if _wide(path) else np.uint16)
         for b in batches:
-            row, ids = [], []
-            for i, parts in enumerate(b.column(1)):
-                numbers = parts.values.field("number").to_numpy(zero_copy_only=False)
-                packed = parts.values.field("packed")
-                # equal rows have their chunks as often as there are rows
-                copies = int((numbers == 0).sum())
-                own = _repaired([np.frombuffer(packed[k].as_buffer(), width).astype(np.int32) for k in range(0, len(numbers), copies)], path)
-                row += [i] * copies
-                ids += [own] * copies
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), _lists(ids, pa.int32())], [key, "ids"])
+            lists = b.column(1)
+            first = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+            parts = lists.flatten()
+            number, packed = parts.field("number").to_numpy(zero_copy_only=False), parts.field("packed")
+            text = np.repeat(np.arange(len(lists)), np.diff(first))
+            # equal rows have their chunks as often as there are rows: each is used once here
+            copies = np.bincount(text[number == 0], minlength=len(lists))
+            once = (np.arange(len(text)) - first[text]) % copies[text] == 0
+            if not once.all():
+                text, packed = text[once], packed.take(pa.array(np.flatnonzero(once)))
+            packed = packed.cast(pa.large_binary())
+            bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+            ids = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(width)
+            stops = (bounds[1:] - bounds[0]) // width.itemsize
+            last = np.r_[text[1:] != text[:-1], True]
+            ids, ends = repair(ids, stops[~last], stops[last], path)
+            rows_ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            again = pa.array(np.repeat(np.arange(len(lists)), copies))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(again), rows_ids.take(again)], [key, "ids"])
 
     place = [T.StructField("key", kind), T.StructField("digest", T.BinaryType())]
     out = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
