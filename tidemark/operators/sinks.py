@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.serdes import Codec
 from tidemark.operators.stream import Expr, KeyedStream, column
 from tidemark.plans.topology import Node
+from tidemark.sources.files import Files
 from tidemark.sources.topiclog import HEADERS, TopicLogs
 
 
@@ -88,13 +89,10 @@ def _once(put, checkpoint: str):
     """A foreachBatch function that skips a micro-batch which it has written before."""
 
     def write(df: DataFrame, number: int) -> None:
-        mark = f"{checkpoint.rstrip('/')}/written/{number}"
-        fs_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(mark)
-        fs = fs_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-        if fs.exists(fs_path):
-            return
-        put(df)
-        fs.create(fs_path, True).close()
+        marks = Files(df.sparkSession, f"{checkpoint.rstrip('/')}/written")
+        if not marks.exists(str(number)):
+            put(df)
+            marks.create(str(number), "")
 
     return write
 

@@ -87,7 +87,7 @@ def stream_table_versioned(spark, folder):
 def stream_through(spark, folder):
     """Into a topic, with tombstones, and read again from there."""
     base = scratch_path(spark, "topics")
-    logs = TopicLogs(spark, base.removeprefix("file:"))
+    logs = TopicLogs(spark, base)
     plain = _events(spark, folder).map_values(F.concat_ws(":", "event_type", F.round(F.col("value"), 1).cast("decimal(18,1)").cast("string")))
     sinks.to(plain, logs, "out", IntCodec(), StringCodec(), sinks.SinkOptions(tombstone="event_type = 'error'", prefix="app"), f"{base}/checkpoint").awaitTermination()
     return logs.read("app_out").groupBy("topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,14 +9,15 @@ folders.
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.scan import running
+from tidemark.sources.files import Files, NameTaken
+
 HEADERS = "array<struct<key:string,value:binary>>"
 RECORD = T.StructType(
     [
@@ -48,11 +49,10 @@ class TopicLogs:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.files = Files(spark, self.root)
 
     def _folder(self, topic: str) -> str:
-        if not topic or topic.startswith(("_", ".")) or "/" in topic:
-            raise ValueError(f"no name for a topic: {topic!r}")
-        return os.path.join(self.root, topic)
+        return f"{self.root}/{topic}"
 
     # administration
 
@@ -60,28 +60,26 @@ class TopicLogs:
         """A new topic; an existing one stays as it is (or raises)."""
         if partitions < 1:
             raise ValueError("a topic has at least one partition")
-        folder = self._folder(topic)
-        if os.path.exists(os.path.join(folder, _SETTINGS)):
+        if not topic or topic.startswith(("_", ".")) or "/" in topic:
+            raise ValueError(f"no name for a topic: {topic!r}")
+        try:
+            self.files.create(f"{topic}/{_SETTINGS}", json.dumps({"partitions": partitions, "replication": replication, "config": dict(config or {})}))
+        except NameTaken:
             if not exist_ok:
-                raise TopicExists(topic)
-            return
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, _SETTINGS), "x") as f:
-            json.dump({"partitions": partitions, "replication": replication, "config": dict(config or {})}, f)
+                raise TopicExists(topic) from None
 
     def info(self, topic: str) -> dict:
-        try:
-            with open(os.path.join(self._folder(topic), _SETTINGS)) as f:
-                return {"topic": topic} | json.load(f)
-        except FileNotFoundError:
-            raise UnknownTopic(topic) from None
+        text = self.files.text(f"{topic}/{_SETTINGS}")
+        if text is None:
+            raise UnknownTopic(topic)
+        return {"topic": topic} | json.loads(text)
 
     def topics(self) -> list[str]:
-        return sorted(t for t in os.listdir(self.root) if os.path.exists(os.path.join(self.root, t, _SETTINGS))) if os.path.exists(self.root) else []
+        return sorted(t for t in self.files.names() if self.files.exists(f"{t}/{_SETTINGS}"))
 
     def delete(self, topic: str) -> None:
         self.info(topic)
-        shutil.rmtree(self._folder(topic))
+        self.files.delete(topic)
 
     def offsets(self, topic: str) -> DataFrame:
         """``partition``, ``oldest``, ``latest``, ``records``: of the partitions that have records."""
@@ -99,15 +97,17 @@ class TopicLogs:
 
         ``hash``: equal keys share a partition, NULL keys are partition 0;
         ``manual``: the column ``partition``; ``random``: any.  Offsets go on
-        from the partition's last, in the order of ``order`` or as the rows
-        come.  ``uuid`` computes the records' uuid; default random.
+        from the partition's last, in the order of ``order`` (bigint) or as the
+        rows come; they are counted split by split, so a partition with a
+        third of all rows isn't numbered by one task.  ``uuid`` computes the
+        records' uuid; default random.
         """
         n = self.info(topic)["partitions"]
         have = set(records.columns)
         place = {
             HASH: F.coalesce(F.pmod(F.xxhash64("key"), F.lit(n)), F.lit(0)) if "key" in have else F.lit(0),
             MANUAL: F.col("partition") if "partition" in have else None,
-            RANDOM: F.floor(F.rand() * n),
+            RANDOM: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)),
         }.get(partitioner)
         if place is None:
             raise ValueError("partitioner is 'hash', 'random' or 'manual' with a column partition")
@@ -123,13 +123,14 @@ class TopicLogs:
         )
         ends = self.offsets(topic).select("partition", (F.col("latest") + 1).alias("_from"))
         batch = self._next_batch(topic)
-        placed = row.join(ends, "partition", "left").withColumn("offset", F.coalesce("_from", F.lit(0)) + F.row_number().over(Window.partitionBy("partition").orderBy("_order")) - 1)
+        counted = running(row, ["partition"], "_order", sums={"_n": F.lit(1)}, **({} if order is not None else {"width": 1 << 33}))
+        placed = counted.join(ends, "partition", "left").withColumn("offset", F.coalesce("_from", F.lit(0)) + F.col("_n") - 1)
         out = f"{self._folder(topic)}/batch={batch}"
         placed.select(*RECORD.names, "partition").sortWithinPartitions("offset").write.partitionBy("partition").parquet(out)
         return batch
 
     def _next_batch(self, topic: str) -> int:
-        return 1 + max([-1, *(int(d[6:]) for d in os.listdir(self._folder(topic)) if d.startswith("batch="))])
+        return 1 + max([-1, *(int(d[6:]) for d in self.files.names(topic) if d.startswith("batch="))])
 
     # consuming
 

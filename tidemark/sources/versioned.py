@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.dedup import VECTORS, apply_vectors, deletion_vectors, plain_name
+from tidemark.sources.files import Files, NameTaken
 
 VERSIONS = "_versions"
 
@@ -44,46 +45,25 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files = Files(spark, self.path)
         self.schema = schema or self._schema()
 
     def _schema(self) -> T.StructType:
         """The schema stored with the table's first version."""
-        text = self._text(f"{self.path}/{VERSIONS}/schema.json")
+        text = self.files.text(f"{VERSIONS}/schema.json")
         if text is None:
             raise ValueError(f"{self.path} is no versioned table; give a schema to create one")
         return T.StructType.fromJson(json.loads(text))
 
-    def _text(self, path: str) -> str | None:
-        p = self._path(path)
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    def _create(self, name: str, text: str) -> None:
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _create(self, path: str, text: str) -> None:
-        """Write a new file whose whole text appears at once; CommitConflict if the name is taken."""
-        hidden = self._path(f"{self.path}/{VERSIONS}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(hidden, False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        if self._fs.exists(self._path(path)) or not self._fs.rename(hidden, self._path(path)):
-            self._fs.delete(hidden, False)
-            raise CommitConflict(path)
+            self.files.create(name, text)
+        except NameTaken as e:
+            raise CommitConflict(str(e)) from None
 
     def latest(self) -> int:
         """The newest version; 0 of a table without versions."""
-        folder = self._path(f"{self.path}/{VERSIONS}")
-        if not self._fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        names = self.files.names(VERSIONS)
         return max([0, *(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())])
 
     def manifest(self, version: int | None = None) -> Manifest:
@@ -91,25 +71,25 @@ class VersionedTable:
         version = self.latest() if version is None else version
         if version == 0:
             return Manifest(0, {})
-        text = self._text(f"{self.path}/{VERSIONS}/{version:012d}.json")
+        text = self.files.text(f"{VERSIONS}/{version:012d}.json")
         if text is None:
             raise ValueError(f"{self.path} has no version {version}")
         return Manifest(version, **json.loads(text))
 
     def write_files(self, df: DataFrame) -> list[str]:
         """Data files with the rows of ``df``, not yet part of the table."""
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema)).write.parquet(folder)
-        return [s.getPath().toString() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
+        folder = f"data/{uuid.uuid4().hex}"
+        df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema)).write.parquet(f"{self.path}/{folder}")
+        return self.files.paths(folder, ".parquet")
 
     def commit(self, add: list[str] | None = None, remove: list[str] | None = None, vectors: dict[str, str] | None = None, processed: dict[str, int] | None = None, base: int | None = None) -> int:
         """A new version on top of ``base`` (the latest); CommitConflict if another writer was faster."""
         old = self.manifest(base)
         files = {f: v for f, v in old.files.items() if f not in set(remove or ())} | {f: None for f in add or ()}
         files |= {f: v for f, v in (vectors or {}).items() if f in files}
-        if old.version == 0 and self._text(f"{self.path}/{VERSIONS}/schema.json") is None:
-            self._create(f"{self.path}/{VERSIONS}/schema.json", self.schema.json())
-        self._create(f"{self.path}/{VERSIONS}/{old.version + 1:012d}.json", json.dumps({"files": files, "processed": old.processed | (processed or {})}))
+        if old.version == 0 and self.files.text(f"{VERSIONS}/schema.json") is None:
+            self._create(f"{VERSIONS}/schema.json", self.schema.json())
+        self._create(f"{VERSIONS}/{old.version + 1:012d}.json", json.dumps({"files": files, "processed": old.processed | (processed or {})}))
         return old.version + 1
 
     def append(self, df: DataFrame, processed: dict[str, int] | None = None) -> int:

@@ -51,22 +51,18 @@ class LiveTable:
         if self.version is None:
             base = base.withColumn("ver", F.lit(-1.0))
         state = cdc.apply_patches(cdc.patches(ops, ["key"], "offset", "ver", "gone", "place"), ["key"], base)
-        folder = f"{self.store.path}/data/{uuid.uuid4().hex}"
+        folder = f"data/{uuid.uuid4().hex}"
         kept = state.withColumn("bucket", bucket)
-        kept.withColumn("b", F.col("bucket")).repartition("b").write.partitionBy("b").parquet(folder)
-        files = self._files(folder)
-        self.store.commit(add=files, remove=list(old), processed={"micro-batch": number}, base=done.version)
+        kept.withColumn("b", F.col("bucket")).repartition("b").write.partitionBy("b").parquet(f"{self.store.path}/{folder}")
+        self.store.commit(add=self._files(folder), remove=list(old), processed={"micro-batch": number}, base=done.version)
 
     def _files(self, folder: str) -> list[str]:
         """Files of the folder ``b=<n>`` are moved to ``bucket=<n>``, so that the column in the file isn't one of the path."""
-        fs, path = self.store._fs, self.store._path
-        out = []
-        for s in fs.listStatus(path(folder)):
-            name = s.getPath().getName()
+        files, out = self.store.files, []
+        for name in files.names(folder):
             if name.startswith("b="):
-                target = path(f"{folder}/bucket={name[2:]}")
-                fs.rename(s.getPath(), target)
-                out += [f.getPath().toString() for f in fs.listStatus(target) if f.getPath().getName().endswith(".parquet")]
+                files.rename(f"{folder}/{name}", f"{folder}/bucket={name[2:]}")
+                out += files.paths(f"{folder}/bucket={name[2:]}", ".parquet")
         return out
 
     def table(self, name: str = "table") -> Table:
