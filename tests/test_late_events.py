@@ -19,7 +19,7 @@ def replay(records, idle, punctuated):
     timed = [r for r in records if r[4] is not None and r[2] is not None]
     batches = sorted({r[2] for r in timed})
     if not batches:
-        return {}, [], {}
+        return {}, [(r[0], "no_time") for r in records], {}
     closed, seen, last, promise = {}, {}, {}, {}
     sources = {r[1] for r in timed}
     periods = {r[3] - r[3] % P for r in timed if r[3] is not None and r[4] < r[3] - r[3] % P + P + LATE}

@@ -79,9 +79,14 @@ def strict_json(value: Column, schema: str) -> Column:
     return F.when(is_json_object(text), F.from_json(text, schema, STRICT))
 
 
+def payload_time(number: Column) -> Column:
+    """A payload time (double) in milliseconds: below SECONDS_BELOW it is in seconds."""
+    return F.when(number < SECONDS_BELOW, number * 1000).otherwise(number)
+
+
 def payload_ms(number: Column) -> Column:
-    """A payload time (double) in epoch milliseconds; NULL where missing or out of range."""
-    ms = F.when(number < SECONDS_BELOW, number * 1000).otherwise(number)
+    """A payload time (double) in whole epoch milliseconds; NULL where missing or out of range."""
+    ms = payload_time(number)
     return F.when(F.abs(ms) < TIME_LIMIT_MS, F.floor(ms))
 
 

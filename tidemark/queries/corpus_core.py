@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.records import IDENTITY, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, strict_json, uuid_key_text
+from tidemark.functions.records import IDENTITY, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, payload_time, strict_json, uuid_key_text
 from tidemark.operators import cdc, dedup, hot_keys, incremental, late_events
+from tidemark.operators.stream import KeyedStream
+from tidemark.operators.tables import Table
+from tidemark.plans.topology import Node
 from tidemark.session import table
 
 LOGS = ("transaction_records", "account_detail_records", "customer_profile_records")
@@ -169,7 +172,7 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
             "offset",
             "delivery_id",
             F.col("value").isNull().alias("is_delete"),
-            payload_ms(strict_json(F.col("value"), "timestamp double")["timestamp"]).alias("version"),
+            payload_time(strict_json(F.col("value"), "timestamp double")["timestamp"]).alias("version"),
         )
         out = own if out is None else out.unionByName(own)
     row = F.struct("offset", "delivery_id", "topic", "key", "is_delete", "version")
@@ -189,15 +192,45 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _state(spark, folder).select("topic", "key", F.col("pos.offset").alias("offset"))
 
 
+def _current(spark: SparkSession, folder: str, log: str, body: str) -> DataFrame:
+    """The current rows of a feed: ``key``, ``version_ms`` and the members of the payload's body."""
+    topic = log.removesuffix("_records")
+    current = _state(spark, folder).where(F.col("topic") == topic).select("key", F.col("pos.delivery_id").alias("delivery_id"), F.col("ver").cast("bigint").alias("version_ms"))
+    rows = table(spark, folder, log).select("delivery_id", "value")
+    return rows.join(current, "delivery_id").select("key", "version_ms", strict_json(F.col("value"), f"body struct<{body}>, timestamp double")["body"].alias("b")).select("key", "version_ms", "b.*")
+
+
 def p5_accounts(spark: SparkSession, folder: str) -> DataFrame:
     """The current row of each account."""
-    body = "body struct<account_type string, customer_id string, branch string, branch_code int, updated_at bigint>, timestamp double"
-    current = _state(spark, folder).where("topic = 'account_detail'").select("key", F.col("pos.delivery_id").alias("delivery_id"), F.col("ver").cast("bigint").alias("version_ms"))
-    rows = table(spark, folder, FEEDS[0]).select("delivery_id", "value")
-    return rows.join(current, "delivery_id").select("key", "version_ms", strict_json(F.col("value"), body)["body"].alias("b")).select("key", "version_ms", "b.account_type", "b.customer_id", "b.branch", "b.branch_code", "b.updated_at")
+    return _current(spark, folder, FEEDS[0], "account_type string, customer_id string, branch string, branch_code int, updated_at bigint")
+
+
+def p5_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """The current row of each customer."""
+    rows = _current(spark, folder, FEEDS[1], "customer_name string, nic string, contact_details struct<phone: string, email: string, address: string>, date_of_birth string, updated_at bigint")
+    return rows.select("key", "version_ms", "customer_name", "nic", "contact_details.phone", "contact_details.email", "contact_details.address", "date_of_birth", "updated_at")
+
+
+def message_flow(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole application: first deliveries, branches by type, two table joins, one topic of messages."""
+    payload = strict_json(F.col("value"), TRANSACTION)
+    rows = table(spark, folder, "transaction_records").select(*message_identity("transaction"), "delivery_id", account_number(F.col("key")).alias("key"), payload.alias("p"))
+    first = rows.groupBy(*IDENTITY).agg(F.min("delivery_id").alias("offset"), F.min_by("key", "delivery_id").alias("key"), F.min_by("p", "delivery_id").alias("p"))
+    records = first.where("key IS NOT NULL AND p.timestamp IS NOT NULL").select("key", "offset", F.struct("p.type", F.col("p.body.amount").alias("amount")).alias("value"))
+    branches = KeyedStream.source(records, name="transaction").branch({"credit": "value.type = 'account_credited'", "debit": "value.type = 'account_debited'"})
+    accounts = Table(p5_accounts(spark, folder).select(F.col("key").try_cast("bigint").alias("key"), F.struct(F.lower("customer_id").alias("customer_id")).alias("value")), "account_detail", Node("table", "account_detail"))
+    customers = Table(p5_customers(spark, folder).select("key", F.struct("customer_name", "phone").alias("value")), "customer_profile", Node("table", "customer_profile"))
+
+    def messages(s: KeyedStream, verb: str) -> KeyedStream:
+        owned = s.join_table(accounts, value=F.struct("value.amount", "right.customer_id"), name="account")
+        named = owned.join_table(customers, "value.customer_id", F.struct("value.*", "right.customer_name", "right.phone"), name="customer")
+        return named.map("value.customer_id", F.concat_ws(" ", "value.customer_name", F.lit(verb), F.col("value.amount").cast("string"), "value.phone"))
+
+    out = messages(branches["credit"], "received").union(messages(branches["debit"], "paid"))
+    return out.df.select("key", F.col("value").alias("text"), "offset")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p3_found, p3_accounts, p3_partitions, p4_found, p4_kept, p5_found, p5_accounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p3_found, p3_accounts, p3_partitions, p4_found, p4_kept, p5_found, p5_accounts, p5_customers, message_flow)}
 
 # --- the same results in SQL
 
@@ -254,6 +287,12 @@ SQL = {
     "p4_kept": f"""SELECT topic, partition, "offset", delivery_id, batch_id, octet_length(value) AS value_bytes, len(headers) AS n_headers FROM transaction_records
         WHERE delivery_id NOT IN (SELECT delivery_id FROM ({_marked("transaction_records", "transaction_records", "")}) QUALIFY row_number() OVER (PARTITION BY m ORDER BY delivery_id) > 1)""",
     "p5_found": f'WITH {_STATE} SELECT topic, key, "offset" FROM state',
+    "p5_customers": f"""WITH {_STATE} SELECT key, CAST(v AS BIGINT) AS version_ms, json_extract_string(t, '$.body.customer_name') AS customer_name, json_extract_string(t, '$.body.nic') AS nic, json_extract_string(t, '$.body.contact_details.phone') AS phone,
+        json_extract_string(t, '$.body.contact_details.email') AS email, json_extract_string(t, '$.body.contact_details.address') AS address, json_extract_string(t, '$.body.date_of_birth') AS date_of_birth, CAST(json_extract_string(t, '$.body.updated_at') AS BIGINT) AS updated_at FROM (SELECT *, decode(raw) AS t FROM state WHERE topic = 'customer_profile')""",
+    "message_flow": f"""WITH {_FIRST}, {_STATE}, acc AS (SELECT try_cast(key AS BIGINT) AS account, lower(json_extract_string(decode(raw), '$.body.customer_id')) AS customer_id FROM state WHERE topic = 'account_detail'),
+        cus AS (SELECT key, json_extract_string(decode(raw), '$.body.customer_name') AS customer_name, json_extract_string(decode(raw), '$.body.contact_details.phone') AS phone FROM state WHERE topic = 'customer_profile')
+        SELECT c.key AS key, concat_ws(' ', customer_name, CASE kind WHEN 'account_credited' THEN 'received' ELSE 'paid' END, CAST(amount AS VARCHAR), phone) AS text, f.delivery_id AS "offset"
+        FROM first f JOIN acc a ON a.account = f.account_no JOIN cus c ON c.key = a.customer_id WHERE kind IN ('account_credited', 'account_debited')""",
     "p5_accounts": f"""WITH {_STATE} SELECT key, CAST(v AS BIGINT) AS version_ms, json_extract_string(t, '$.body.account_type') AS account_type, json_extract_string(t, '$.body.customer_id') AS customer_id,
         json_extract_string(t, '$.body.branch') AS branch, CAST(json_extract_string(t, '$.body.branch_code') AS INT) AS branch_code, CAST(json_extract_string(t, '$.body.updated_at') AS BIGINT) AS updated_at FROM (SELECT *, decode(raw) AS t FROM state WHERE topic = 'account_detail')""",
 }
