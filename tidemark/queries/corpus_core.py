@@ -10,7 +10,7 @@ from tidemark.operators import cdc, dedup, hot_keys, incremental, late_events
 from tidemark.operators.stream import KeyedStream
 from tidemark.operators.tables import Table
 from tidemark.plans.topology import Node
-from tidemark.session import table
+from tidemark.session import table, written
 
 LOGS = ("transaction_records", "account_detail_records", "customer_profile_records")
 FEEDS = LOGS[1:]
@@ -47,7 +47,8 @@ def first_transactions(spark: SparkSession, folder: str) -> DataFrame:
 def _periods(spark: SparkSession, folder: str) -> late_events.Periods:
     credited = F.col("is_credit")
     return late_events.close_periods(
-        first_transactions(spark, folder),
+        # three passes: over the watermarks, the periods and the aggregates
+        written(first_transactions(spark, folder), "first"),
         ["account_no"],
         {"credits": F.when(credited, F.col("amount")), "debits": F.when(~credited, F.col("amount"))},
     )
