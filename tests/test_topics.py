@@ -86,9 +86,12 @@ def test_sink_through_and_dead_letters(spark, logs):
         sinks.encoded(s, "x", IntCodec(), StringCodec(), sinks.SinkOptions(rewrite={"topic": "key"}))
 
 
-def drained(query):
-    query.processAllAvailable()
-    query.awaitTermination(60)
+def test_materialize_to(spark, logs):
+    df = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("b", "z", 2), ("b", None, 3)], "key string, value string, offset bigint")
+    r = Registry()
+    s = sinks.materialize_to(KeyedStream.source(df), logs, "m", "latest", r, StringCodec(), StringCodec(), write=lambda n, v: F.when(v.isNotNull(), F.concat_ws("#", v, n)))
+    assert rows(s.df.select("key", "version")) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    assert r.store("latest").value("a") == "y#2" and r.store("latest").value("b") is None and logs.read("m").count() == 4
 
 
 def test_stateless_stream_equals_batch(spark, logs, tmp_path):

@@ -74,6 +74,13 @@ def _opened(table: pa.Table, n_measures: int) -> pa.Table:
     return pa.table({"key": columns["key"], "block": pa.array(np.repeat(whole["block"].to_numpy(), sizes).astype(np.int32))} | {k: v for k, v in columns.items() if k != "key"})
 
 
+def _splits(df: DataFrame) -> int:
+    """The number of input splits, by the planner's estimate of the input; nothing is run for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    return -(-size // each)
+
+
 def key_totals(df: DataFrame, key: Column, measures: dict[str, Column] | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """``key``, ``n`` (rows) and the sum of each measure (bigint, NULL counts as 0), a row per distinct key.
 
@@ -128,8 +135,8 @@ def key_totals(df: DataFrame, key: Column, measures: dict[str, Column] | None =
         return pa.table([m["key"], m["n"], *(m[f"m{i}"] for i in range(count))], names=["key", "n", *names])
 
     summed = rows.mapInArrow(split, arrays)
-    if df.rdd.getNumPartitions() > fan_in:
-        lanes = F.expr(f"lane div {fan_in}").cast("int")
+    if _splits(df) > fan_in:
+        lanes = F.expr(f"lane div {max(1, fan_in)}").cast("int")
         summed = summed.withColumn("lane", lanes).groupBy("block", "lane").applyInArrow(again, arrays)
     return summed.groupBy("block").applyInArrow(last, totals)
 

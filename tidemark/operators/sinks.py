@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.serdes import Codec
+from tidemark.operators.stores import Registry, Store
 from tidemark.operators.stream import Expr, KeyedStream, column
+from tidemark.operators.tables import latest
 from tidemark.plans.topology import Node
 from tidemark.sources.files import Files
 from tidemark.sources.topiclog import HEADERS, TopicLogs
@@ -109,3 +111,15 @@ def through(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value:
     to(stream, logs, topic, key, value, options)
     again = KeyedStream.source(logs.read(topic_name(topic, options.prefix)), key, value, topic)
     return replace(again, node=Node("through", topic, (stream.node,)))
+
+
+def materialize_to(stream: KeyedStream, logs: TopicLogs, topic: str, store: str, registry: Registry, key: Codec, value: Codec, options: SinkOptions = SinkOptions(), **versions: object) -> KeyedStream:
+    """Version the stream's values, keep the latest of each key as a registered store, and write all to a topic.
+
+    ``versions``: options of :func:`tidemark.operators.tables.materialize`.
+    The stream goes on with the versioned values.
+    """
+    kept = stream.materialize(store, **versions)
+    registry.register(Store(store, latest(kept.df).select("key", "value")))
+    to(kept, logs, topic, key, value, options)
+    return kept

@@ -137,6 +137,34 @@ class KeyedStream:
             errors = o.errors if errors is None else errors if o.errors is None else errors.unionByName(o.errors)
         return replace(self, df=df, errors=errors, node=Node("union", name, (self.node, *(o.node for o in others))), key_selected=any(x.key_selected for x in (self, *others)))
 
+    def deduplicate(self, *by: str, within: str | None = None, name: str = "deduplicate") -> KeyedStream:
+        """One record of those that agree in ``by`` (default: the uuid).
+
+        On a running query give ``within`` (as '2 hours'), for which copies
+        are remembered by event time; without it they are remembered forever.
+        For the first delivery in a log of wide records, see
+        :mod:`tidemark.operators.dedup`.
+        """
+        columns = list(by) or ["uuid"]
+        df = self.df.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(columns) if within and self.df.isStreaming else self.df.dropDuplicates(columns)
+        return self._next(df, "process", name)
+
+    def windowed(self, length: str, slide: str | None = None, late: str | None = None, name: str = "windowed", **aggregates: Column) -> KeyedStream:
+        """Aggregates per key and window of ``timestamp``: the value is the struct of window start and end (UTC) and the aggregates.
+
+        On a running query ``late`` is how long a window waits for late
+        records.  For corrections and per-source watermarks, see
+        :mod:`tidemark.operators.late_events`.
+        """
+        df = self.df.withWatermark("timestamp", late) if late and self.df.isStreaming else self.df
+        grouped = df.groupBy("key", F.window("timestamp", length, slide).alias("_tm_window")).agg(*(c.alias(n) for n, c in aggregates.items()))
+        value = F.struct(F.col("_tm_window.start").alias("start"), F.col("_tm_window.end").alias("end"), *aggregates)
+        return self._next(grouped.select("key", value.alias("value")), "window", name)
+
+    def ordered(self, name: str = "ordered") -> KeyedStream:
+        """Records of each partition in the order of their offsets, for a sink that needs it (static streams)."""
+        return self._next(self.df.repartition("partition").sortWithinPartitions("partition", "offset"), "process", name)
+
     def join_table(self, table: object, on: Expr | None = None, value: Expr | None = None, how: str = "inner", name: str = "join_table") -> KeyedStream:
         """See :func:`tidemark.operators.joins.join_table`."""
         from tidemark.operators.joins import join_table

@@ -84,6 +84,12 @@ def stream_table_versioned(spark, folder):
     return _table(spark, folder, F.floor("value")).select("key", "offset", F.floor("value").alias("version"))
 
 
+def stream_deduplicate(spark, folder):
+    """Copies are remembered for an hour of event time."""
+    e = _events(spark, folder)
+    return _result(e.union(e).deduplicate("offset", within="1 hour").df.select("key", "offset", "value"))
+
+
 def stream_through(spark, folder):
     """Into a topic, with tombstones, and read again from there."""
     base = scratch_path(spark, "topics")
@@ -93,8 +99,8 @@ def stream_through(spark, folder):
     return logs.read("app_out").groupBy("topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-NAMED = (stream_filter, stream_select_key, stream_branch, stream_join_table_inner, stream_join_table_left, stream_join_stream, stream_table_latest, stream_table_versioned, stream_through)
+NAMED = (stream_filter, stream_select_key, stream_branch, stream_join_table_inner, stream_join_table_left, stream_join_stream, stream_table_latest, stream_table_versioned, stream_deduplicate, stream_through)
 QUERIES = {f.__name__: f for f in NAMED}
-_SAME = {"stream_branch": "branch_first_match"}
+_SAME = {"stream_branch": "branch_first_match", "stream_deduplicate": "process_peek"}
 SQL = {n: streams.SQL[_SAME.get(n, n.removeprefix("stream_"))] for n in QUERIES if n != "stream_through"}
 SQL["stream_through"] = f"SELECT topic, key, value, count(*) AS n FROM ({streams.SQL['sink_tombstone']}) GROUP BY ALL"

@@ -351,8 +351,14 @@ def sink_rewrite(spark, folder):
 
 def uuid_dedup(spark, folder):
     """Records that came twice, once."""
-    r = records(spark, folder)
-    return r.unionByName(r).dropDuplicates(["offset"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    e = events(spark, folder)
+    return e.union(e).deduplicate("offset").df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def windowed_counts(spark, folder):
+    """Events per user and hour."""
+    w = events(spark, folder).windowed("1 hour", n=F.count(F.lit(1)), top=F.max("value"))
+    return w.df.select("key", F.unix_millis("value.start").alias("start_ms"), "value.n", "value.top")
 
 
 def uuid_messages(spark, folder):
@@ -365,7 +371,7 @@ NAMED = (
     filter_event_age, transform_value, transform, transform_python, select_key, process_peek, branch_first_match, branch_strict_siblings, flat_map, scalar_functions, union_sinks,
     join_table_inner, join_table_left, join_table_miss, join_table_chain, join_table_star, join_table_table, join_table_keyed, join_stream, join_stream_chain, join_stream_rekeyed,
     table_latest, table_versioned, table_compared, materialize_versions, changelog_compact, ttl_expired,
-    store_get, store_range, store_scan, index_lookup, index_dump, index_after_update, sink_tombstone, sink_headers, sink_rewrite, uuid_dedup, uuid_messages,
+    store_get, store_range, store_scan, index_lookup, index_dump, index_after_update, sink_tombstone, sink_headers, sink_rewrite, uuid_dedup, windowed_counts, uuid_messages,
 )
 QUERIES = {"filter": filter_} | {f.__name__: f for f in NAMED}
 
@@ -441,6 +447,7 @@ SQL = {
     "sink_headers": "SELECT event_id AS \"offset\", event_type AS kind, CAST(2 AS INT) AS n, CAST(NULL AS VARCHAR) AS missing FROM events",
     "sink_rewrite": f"SELECT event_id AS \"offset\", CAST(user_id + 1000 AS VARCHAR) AS key, upper({_PLAIN_V}) AS value FROM events",
     "uuid_dedup": "SELECT user_id AS key, count(*) AS n FROM events GROUP BY ALL",
+    "windowed_counts": "SELECT user_id AS key, epoch_ms(date_trunc('hour', ts)) AS start_ms, count(*) AS n, max(value) AS top FROM events GROUP BY ALL",
     "uuid_messages": """SELECT count(DISTINCT u) AS messages, count(*) FILTER (u IS NULL) AS without FROM (SELECT CASE WHEN u <> repeat('0', 32) THEN u END AS u FROM (
         SELECT replace(replace(replace(replace(lower(trim(uuid)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '') AS u FROM transaction_records))""",
 }
