@@ -16,7 +16,14 @@ from tidemark.llm.tokens import _lists, ids_of, texts_of, token_facts, vocabular
 LIMIT = 512
 OVERLAP = 32
 PARAGRAPH, LINE, SENTENCE, WORD, NONE, INSIDE = 4, 3, 2, 1, 0, -1
-_BLANKS = re.compile(rb"[ \t\r\n\x0b\x0c]+")
+
+
+def _bytes(values: bytes) -> np.ndarray:
+    """Whether each byte value is one of these."""
+    return np.isin(np.arange(256), np.frombuffer(values, np.uint8))
+
+
+_BLANK, _CLOSING, _MARK = _bytes(b" \t\r\n\x0b\x0c"), _bytes(b"\"')]}"), _bytes(b".!?")
 _WIDE_ENDS = re.compile("。|！|？".encode())
 
 
@@ -33,17 +40,17 @@ def boundary_strengths(data: bytes, places: np.ndarray) -> np.ndarray:
     strength = np.zeros(len(places), np.int64)
     inner = places < len(raw)
     strength[inner] = np.where((raw[places[inner]] & 0xC0) == 0x80, INSIDE, NONE)
-    spans = np.array([m.span() for m in _BLANKS.finditer(data)], np.int64).reshape(-1, 2)
-    if len(spans):
+    edges = np.flatnonzero(np.diff(_BLANK[raw].view(np.int8), prepend=0, append=0))
+    starts, stops = edges[0::2], edges[1::2]
+    if len(starts):
         line_end = (raw == 10) | ((raw == 13) & (np.r_[raw[1:], 0] != 10))
         lines = np.r_[0, np.cumsum(line_end)]
-        count = lines[spans[:, 1]] - lines[spans[:, 0]]
-        before = np.maximum(spans[:, 0] - 1, 0)
-        closed = np.isin(raw[before], np.frombuffer(b"\"')]}", np.uint8))
-        mark = raw[np.maximum(before - closed, 0)]
-        kind = np.where(count >= 2, PARAGRAPH, np.where(count == 1, LINE, np.where(np.isin(mark, np.frombuffer(b".!?", np.uint8)), SENTENCE, WORD)))
-        at = np.searchsorted(places, spans[:, 1], "right") - 1
-        usable = places[at] >= spans[:, 0]
+        count = lines[stops] - lines[starts]
+        before = np.maximum(starts - 1, 0)
+        mark = raw[np.maximum(before - _CLOSING[raw[before]], 0)]
+        kind = np.where(count >= 2, PARAGRAPH, np.where(count == 1, LINE, np.where(_MARK[mark], SENTENCE, WORD)))
+        at = np.searchsorted(places, stops, "right") - 1
+        usable = places[at] >= starts
         strength[at[usable]] = np.maximum(strength[at[usable]], kind[usable])
     ends = np.array([m.end() for m in _WIDE_ENDS.finditer(data)], np.int64)
     if len(ends):
