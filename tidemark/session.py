@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     lose data with its executor.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tidemark_shared", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tidemark_shared", None)
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
