@@ -90,6 +90,11 @@ def payload_ms(number: Column) -> Column:
     return F.when(F.abs(ms) < TIME_LIMIT_MS, F.floor(ms))
 
 
+def utc_instant(column: Column) -> Column:
+    """The instant of a timestamp without time zone that is meant in UTC, whatever the session's time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), column).cast("timestamp")
+
+
 def floor_to(ms: Column, step: int) -> Column:
     """The start of the step that holds ``ms``; exact for times before 1970, too."""
     return ms - F.pmod(ms, F.lit(step))

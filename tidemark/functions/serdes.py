@@ -112,4 +112,5 @@ class UnionCodec(Codec):
 
 def http_time(seconds: Column) -> Column:
     """Epoch seconds as RFC 1123 text."""
-    return F.date_format(F.timestamp_seconds(seconds), "EEE, dd MMM yyyy HH:mm:ss 'UTC'")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(seconds).cast("timestamp_ntz"))
+    return F.date_format(utc, "EEE, dd MMM yyyy HH:mm:ss 'UTC'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.records import canonical_uuid, header, record_id
+from tidemark.functions.records import canonical_uuid, header, record_id, utc_instant
 from tidemark.functions.serdes import IntCodec, JsonCodec, StringCodec, UnionCodec, http_time
 from tidemark.operators import sinks, tables
 from tidemark.operators.joins import join_tables, star_join
@@ -30,7 +30,7 @@ def as_records(events: DataFrame) -> DataFrame:
         F.lit("events").alias("topic"),
         F.pmod("user_id", F.lit(PARTITIONS)).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        (utc_instant(F.col("ts")) if events.schema["ts"].dataType.typeName() == "timestamp_ntz" else F.col("ts")).alias("timestamp"),
         "event_type",
         "props",
     )
