@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidemark.functions.records import IDENTITY, canonical_uuid, message_identity
 from tidemark.operators.dedup import deletion_vectors, deletions, positions, read_without
+from tidemark.queries import corpus_core
+from tidemark.queries.corpus_core import LOGS
 
 U = "0f8fad5b-d9cb-469f-a165-70867728950e"
 
@@ -65,3 +68,28 @@ def test_empty(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "e"))
     lost = deletions(positions(df, message_identity("e"), F.col("delivery_id")), IDENTITY, True)
     assert rows(lost) == [] and rows(read_without(spark, str(tmp_path / "e"), deletion_vectors(lost))) == []
+
+
+def test_all_logs_come_out_whole(spark, tmp_path):
+    rng = random.Random(7)
+    schema = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, block_timestamp timestamp, headers array<struct<key string, value binary>>, uuid string, delivery_id bigint, batch_id int"
+    at, want, n = datetime(2024, 5, 1), [], 0
+    for log in LOGS:
+        data = []
+        for _ in range(400):
+            n += 1
+            # the same uuids and positions in every log: messages of different logs are never copies
+            u = rng.choice([None, "0" * 32, f"{rng.randrange(1, 150):032x}"])
+            headers = rng.choice([None, [], [("h", bytes([n % 256]))]])
+            data.append((b"k%d" % n, rng.choice([None, b"", b"v%d" % n]), "t", rng.randrange(2), rng.randrange(60), rng.choice([None, at + timedelta(seconds=n)]), at + timedelta(hours=n), headers, u, n, n // 50))
+        kept, first = [], set()
+        for r in data:
+            m = r[8] if r[8] and set(r[8]) != {"0"} else r[2:5]
+            kept += [] if m in first else [r]
+            first.add(m)
+        want += kept
+        rng.shuffle(data)
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(str(tmp_path / f"{log}.parquet"))
+    out = corpus_core.QUERIES["p4_messages"](spark, str(tmp_path))
+    assert dict(out.dtypes) == dict(spark.createDataFrame([], schema).dtypes)
+    assert rows(out.select(*spark.createDataFrame([], schema).columns)) == rows(spark.createDataFrame(want, schema))

@@ -149,8 +149,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _lost(spark, folder).select(F.col("_tm_order").alias("delivery_id"))
 
 
+def p4_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The first delivery of each message of all logs: whole records, each log read once in place with one set of vectors."""
+    vectors = written(dedup.deletion_vectors(_lost(spark, folder)), "deleted")
+    out = None
+    for log in LOGS:
+        own = dedup.read_without(spark, f"{folder}/{log}.parquet", vectors)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The first delivery of each message of the transaction log, with its payload."""
+    """The first delivery of each message of the transaction log only, with the sizes of its payload; whole records of all logs: :func:`p4_messages`."""
     log = "transaction_records"
     kept = dedup.read_without(spark, f"{folder}/{log}.parquet", dedup.deletion_vectors(_lost(spark, folder, (log,))))
     return kept.select("topic", "partition", "offset", "delivery_id", "batch_id", F.octet_length("value").alias("value_bytes"), F.size("headers").alias("n_headers"))
@@ -231,7 +241,7 @@ def message_flow(spark: SparkSession, folder: str) -> DataFrame:
     return out.df.select("key", F.col("value").alias("text"), "offset")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p3_found, p3_accounts, p3_partitions, p4_found, p4_kept, p5_found, p5_accounts, p5_customers, message_flow)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p3_found, p3_accounts, p3_partitions, p4_found, p4_messages, p4_kept, p5_found, p5_accounts, p5_customers, message_flow)}
 
 # --- the same results in SQL
 
