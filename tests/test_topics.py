@@ -13,7 +13,7 @@ from tidemark.operators.joins import paired
 from tidemark.operators.stores import IndexedStore, Registry
 from tidemark.operators.stream import KeyedStream
 from tidemark.plans.config import EngineConfig, StreamConfig
-from tidemark.serving import answer, serve
+from tidemark.serving import PAGE, answer, serve
 from tidemark.sources import kafka
 from tidemark.sources.topiclog import LATEST, TopicExists, TopicLogs, UnknownTopic
 from tidemark.streaming.periods import PeriodCloser, open_and_closed
@@ -220,3 +220,26 @@ def test_http(spark):
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/stores/s/200") as f:
         assert json.load(f) == {"key": "200", "value": "111,222"}
     server.shutdown()
+
+
+def test_http_pages_of_indexes(spark):
+    n = PAGE + 205
+    df = spark.range(n).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("value"))
+    r = Registry()
+    r.register(IndexedStore("s", df, {"own": "key * 10", "text": "IF(key = 0, '', value)", "hot": "IF(key % 100 = 7, 'cold', 'hot')"}))
+
+    def pages(path, last):
+        out, after = [], ""
+        while len(out) < 4 and (page := answer(r, path + after)[1]):
+            out.append(page)
+            after = f"?after={last(page)}"
+        return out
+
+    for index, name in (("own", lambda i: str(i * 10)), ("text", lambda i: f"v{i}" if i else "")):
+        got = pages(f"/stores/s/indexes/{index}", lambda page: list(page)[-1])
+        assert [len(p) for p in got] == [PAGE, 205]
+        assert got[0] | got[1] == {name(i): [i] for i in range(n)}
+    assert answer(r, "/stores/s/indexes/text?after=&limit=1") == (200, {"v1": [1]})
+    got = pages("/stores/s/indexes/hot/hot", lambda page: page[-1]["key"])
+    assert len(got) == 2 and [x["key"] for p in got for x in p] == [i for i in range(n) if i % 100 != 7]
+    assert len(answer(r, "/stores/s/indexes/hot/cold?after=7")[1]) == 11

@@ -4,8 +4,8 @@
     GET /indexes                                names of all indexes
     GET /stores/{store}                         [{key, value}], at most ``limit`` rows a page (after=key for the next)
     GET /stores/{store}/indexes                 names
-    GET /stores/{store}/indexes/{index}         {index value: [keys]}, the same way in pages
-    GET /stores/{store}/indexes/{index}/{key}   [{key, value}] under an index value
+    GET /stores/{store}/indexes/{index}         {index value: [keys]}, the same way in pages (after=index value)
+    GET /stores/{store}/indexes/{index}/{key}   [{key, value}] under an index value, the same way in pages (after=key)
     GET /stores/{store}/{key}                   {key, value}; a missing value is null
 """
 
@@ -16,7 +16,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.operators.stores import IndexedStore, Registry, UnknownIndex, UnknownStore
@@ -38,8 +38,9 @@ def answer(registry: Registry, path: str) -> tuple[int, object]:
     """Status and body of a request."""
     url = urlsplit(path)
     parts = [unquote(p) for p in url.path.strip("/").split("/")]
-    q = parse_qs(url.query)
-    limit = max(1, min(PAGE, int(q.get("limit", [PAGE])[0])))
+    q = parse_qs(url.query, keep_blank_values=True)  # an empty text may be the last key of a page
+    limit = max(1, min(PAGE, int(q.get("limit", [""])[0] or PAGE)))
+    after = q.get("after", [None])[0]
     try:
         match parts:
             case ["stores"]:
@@ -47,18 +48,16 @@ def answer(registry: Registry, path: str) -> tuple[int, object]:
             case ["indexes"]:
                 return 200, registry.indexes()
             case ["stores", name]:
-                s = registry.store(name)
-                after = q.get("after", [None])[0]
-                rows = s.df if after is None else s.df.where(F.col("key") > F.lit(after).cast(s.df.schema["key"].dataType))
+                rows = _after(registry.store(name).df, "key", after)
                 return 200, [_plain(r) for r in rows.orderBy("key").select("key", "value").limit(limit).collect()]
             case ["stores", name, "indexes"]:
                 return 200, registry.indexes(name)
             case ["stores", name, "indexes", index]:
-                d = _indexed(registry, name).dump(index)
-                return 200, {str(r["index_key"]): _plain(r["keys"]) for r in d.orderBy("index_key").limit(limit).collect()}
+                d = _after(_indexed(registry, name).dump(index), "index_key", after)
+                return 200, {str(_plain(r["index_key"])): _plain(r["keys"]) for r in d.orderBy("index_key").limit(limit).collect()}
             case ["stores", name, "indexes", index, key]:
                 s = _indexed(registry, name)
-                hit = s.df.where(s.index(index).cast("string") == key)
+                hit = _after(s.df.where(s.index(index).cast("string") == key), "key", after)
                 return 200, [_plain(r) for r in hit.orderBy("key").select("key", "value").limit(limit).collect()]
             case ["stores", name, key]:
                 s = registry.store(name)
@@ -69,6 +68,11 @@ def answer(registry: Registry, path: str) -> tuple[int, object]:
     return 404, {"error": "no such route"}
 
 
+def _after(df: DataFrame, column: str, after: str | None) -> DataFrame:
+    """The rows behind the last one of the page before."""
+    return df if after is None else df.where(F.col(column) > F.lit(after).cast(df.schema[column].dataType))
+
+
 def _indexed(registry: Registry, name: str) -> IndexedStore:
     s = registry.store(name)
     if not isinstance(s, IndexedStore):
