@@ -93,3 +93,18 @@ def test_all_logs_come_out_whole(spark, tmp_path):
     out = corpus_core.QUERIES["p4_messages"](spark, str(tmp_path))
     assert dict(out.dtypes) == dict(spark.createDataFrame([], schema).dtypes)
     assert rows(out.select(*spark.createDataFrame([], schema).columns)) == rows(spark.createDataFrame(want, schema))
+
+
+def test_found_carries_positions(spark, monkeypatch):
+    """p4_found reads its rows by place: what the vectors of the files delete comes out, and nothing else."""
+    seen = []
+
+    def vectors(lost):
+        seen.append(deletion_vectors(lost).where("_tm_word = 0"))
+        return seen[-1]
+
+    monkeypatch.setattr(corpus_core.dedup, "deletion_vectors", vectors)
+    got = corpus_core.QUERIES["p4_found"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and got.columns == ["delivery_id"]
+    lost = corpus_core._lost(spark, "/root/testdata/sf0.001").where("_tm_row < 64").select("_tm_order")
+    assert rows(got) == rows(lost) != []

@@ -144,15 +144,24 @@ def _lost(spark: SparkSession, folder: str, logs: tuple[str, ...] = LOGS) -> Dat
     return dedup.deletions(placed, IDENTITY, unique_order=True)
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The deletion vectors of all logs, computed once."""
+    return written(dedup.deletion_vectors(_lost(spark, folder)), "deleted")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that aren't the first delivery of their message."""
-    return _lost(spark, folder).select(F.col("_tm_order").alias("delivery_id"))
+    """Rows that aren't the first delivery of their message: those that the deletion vectors delete, read in place."""
+    vectors, out = _vectors(spark, folder), None
+    for log in LOGS:
+        rows = table(spark, folder, log)
+        own = dedup.apply_vectors(spark, rows.select("delivery_id").schema, rows.inputFiles(), vectors, deleted=True)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def p4_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The first delivery of each message of all logs: whole records, each log read once in place with one set of vectors."""
-    vectors = written(dedup.deletion_vectors(_lost(spark, folder)), "deleted")
-    out = None
+    vectors, out = _vectors(spark, folder), None
     for log in LOGS:
         own = dedup.read_without(spark, f"{folder}/{log}.parquet", vectors)
         out = own if out is None else out.unionByName(own)
