@@ -6,8 +6,10 @@ to which version each range of a partition is processed, which is a second
 manifest of the same files: files that a commit covers wholly, and deletion
 vectors for those that commits cover in part.  The difference of the two
 manifests finds added and changed files; only in changed files positions are
-compared.  (The tables that this engine writes itself keep such manifests:
-``tidemark.sources.versioned``.)
+compared.  Both manifests are derived from the deliveries and the ledger in
+each run, after all deliveries are aggregated to positions: none is stored or
+committed, since the logs and the ledger have none.  (The tables that this
+engine writes itself keep stored manifests: ``tidemark.sources.versioned``.)
 """
 
 from __future__ import annotations
