@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tests.conftest import rows
-from tidemark.operators.cdc import apply_patches, patches
+from tidemark.operators.cdc import CHUNK, apply_patches, patches
 
 SCHEMA = "k string, at bigint, ver double, gone boolean, place bigint, patch int"
 
@@ -34,3 +34,14 @@ def test_equals_ordered_fold(spark, seed, chunk, fan_in):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert rows(apply_patches(patches(empty, ["k"], "at", "ver", "gone", "place"), ["k"])) == []
+
+
+def test_hot_key_spans_chunks_at_the_default_width(spark):
+    """At the largest offset of the feeds in sf0.1 a hot key's changes lie in several chunks, reduced in two levels."""
+    rng = random.Random(3)
+    top = 2490
+    changes = [(rng.choice(["hot", f"k{rng.randrange(40)}", f"k{rng.randrange(40)}"]), o, float(rng.randrange(500)), rng.random() < 0.01, i, 0) for i, o in enumerate(rng.sample(range(top + 1), top + 1))]
+    patched = patches(spark.createDataFrame(changes, SCHEMA), ["k"], "at", "ver", "gone", "place", top=top)
+    levels = [line for line in patched._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" :+-").startswith("Aggregate [") and "collect_list" in line]
+    assert len(levels) == 2 and len({o // CHUNK for k, o, *_ in changes if k == "hot"}) == 3
+    assert rows(apply_patches(patched, ["k"])) == fold(changes)

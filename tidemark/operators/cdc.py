@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Orders (offsets) in a chunk of the first level, and chunks in one of the next.
-CHUNK = 1 << 16
+CHUNK = 1 << 10
 FAN_IN = 1 << 12
 
 
