@@ -98,6 +98,20 @@ def test_deduplicate_window_order(spark):
     assert [r["offset"] for r in s.ordered().df.where("partition = 0").collect()] == [4, 5]
 
 
+def test_deduplicate_without_uuid(spark):
+    """Records without a UUID are copies by position only; a UUID is the same in any spelling."""
+    u = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    none = [None, "", "0" * 32, "00000000-0000-0000-0000-000000000000", "{00000000-0000-0000-0000-000000000000}"]
+    same = [u, u.upper(), "{" + u + "}", "urn:uuid:" + u, u.replace("-", "")]
+    data = [(x, "t", 0, i) for i, x in enumerate(none)] + [(None, "t", 1, 0), ("0" * 32, "t", 1, 0), (None, "s", 1, 0)] + [(x, "t", 0, 50 + i) for i, x in enumerate(same)]
+    df = spark.createDataFrame([(1, 1, *r) for r in data], "key int, value int, uuid string, topic string, partition int, offset bigint")
+    got = KeyedStream.source(df).deduplicate().df
+    assert got.columns == df.columns
+    places = [tuple(r) for r in got.select("topic", "partition", "offset").collect()]
+    assert sorted(p for p in places if p[2] < 50) == [("s", 1, 0), *(("t", 0, i) for i in range(5)), ("t", 1, 0)]
+    assert len([p for p in places if p[2] >= 50]) == 1
+
+
 def joined_pair(spark):
     left = spark.createDataFrame([(1, (1000, 2000), "t", 0, 0), (2, (1001, 9), "t", 0, 1), (3, None, "t", 0, 2)], "key int, value struct<primary_key:int, foreign_key:int>, topic string, partition int, offset bigint")
     right = spark.createDataFrame([(2000, (1000, 2000))], "key int, value struct<primary_key:int, foreign_key:int>")

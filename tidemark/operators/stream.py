@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.records import canonical_uuid
 from tidemark.functions.serdes import Codec
 from tidemark.plans.topology import Node
 
@@ -35,6 +36,15 @@ def column(f: Expr, returns: str | None = None, inputs: Sequence[str] = ("key",
     return F.pandas_udf(f, returns)(*inputs)
 
 
+def _message(df: DataFrame) -> dict[str, Column]:
+    """The columns by which :meth:`KeyedStream.deduplicate` knows the message of a record."""
+    text = F.trim(F.col("uuid"))
+    bare = F.translate(F.regexp_replace(F.lower(text), r"\Aurn:uuid:", ""), "{}-", "")
+    known = F.coalesce(F.hex(canonical_uuid(text)), F.when(~bare.isin("", "0" * 32), text))
+    place = [c for c in ("topic", "partition", "offset") if c in df.columns or c == "offset"]
+    return {"_tm_uuid": known, **{f"_tm_{c}": F.when(known.isNull(), F.col(c)) for c in place}}
+
+
 @dataclass(frozen=True)
 class KeyedStream:
     """``errors``: what was dropped, (stage, topic, partition, offset, reason), or None; ``key_selected``: whether the key changed since the source."""
@@ -138,16 +148,22 @@ class KeyedStream:
         return replace(self, df=df, errors=errors, node=Node("union", name, (self.node, *(o.node for o in others))), key_selected=any(x.key_selected for x in (self, *others)))
 
     def deduplicate(self, *by: str, within: str | None = None, name: str = "deduplicate") -> KeyedStream:
-        """One record of those that agree in ``by`` (default: the uuid).
+        """One record of those that agree in ``by`` (default: copies of one message).
+
+        By default records are copies if their uuid is the same UUID in any
+        text form, or the same other text; those whose uuid is NULL, blank or
+        all zeros are copies only if topic, partition and offset agree (of
+        these, the columns that there are; the offset must be).
 
         On a running query give ``within`` (as '2 hours'), for which copies
         are remembered by event time; without it they are remembered forever.
         For the first delivery in a log of wide records, see
         :mod:`tidemark.operators.dedup`.
         """
-        columns = list(by) or ["uuid"]
-        df = self.df.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(columns) if within and self.df.isStreaming else self.df.dropDuplicates(columns)
-        return self._next(df, "process", name)
+        own = {} if by else _message(self.df)
+        columns, df = list(by) or list(own), self.df.withColumns(own) if own else self.df
+        df = df.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(columns) if within and df.isStreaming else df.dropDuplicates(columns)
+        return self._next(df.drop(*own), "process", name)
 
     def windowed(self, length: str, slide: str | None = None, late: str | None = None, name: str = "windowed", **aggregates: Column) -> KeyedStream:
         """Aggregates per key and window of ``timestamp``: the value is the struct of window start and end (UTC) and the aggregates.
