@@ -4,6 +4,7 @@ import json
 import urllib.request
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -15,6 +16,7 @@ from tidemark.operators.stream import KeyedStream
 from tidemark.plans.config import EngineConfig, StreamConfig
 from tidemark.serving import PAGE, answer, serve
 from tidemark.sources import kafka
+from tidemark.sources.files import Files
 from tidemark.sources.topiclog import LATEST, TopicExists, TopicLogs, UnknownTopic
 from tidemark.streaming.periods import PeriodCloser, open_and_closed
 from tidemark.streaming.runtime import Application
@@ -243,3 +245,41 @@ def test_http_pages_of_indexes(spark):
     got = pages("/stores/s/indexes/hot/hot", lambda page: page[-1]["key"])
     assert len(got) == 2 and [x["key"] for p in got for x in p] == [i for i in range(n) if i % 100 != 7]
     assert len(answer(r, "/stores/s/indexes/hot/cold?after=7")[1]) == 11
+
+
+@pytest.mark.parametrize("lost_at", ["mark", "data", "name"])
+def test_a_micro_batch_is_appended_once(spark, logs, tmp_path, monkeypatch, lost_at):
+    """A driver lost after the append and before its mark, or within the append, repeats nothing and loses nothing."""
+    logs.create("in")
+    logs.append("in", messages(spark, *[(i, i) for i in range(20)]))
+
+    def run():
+        s = KeyedStream.source(logs.read_stream("in"), IntCodec(), StringCodec())
+        sinks.to(s, logs, "out", IntCodec(), StringCodec(), checkpoint=str(tmp_path / "cp")).awaitTermination(120)
+
+    create, rename = Files.create, Files.rename
+
+    def lose(self, name, *args):
+        last = name.rpartition("/")[2]
+        if last.startswith("_once-") if lost_at == "name" else lost_at == "mark" and self.root.endswith("/written") and last.isdigit():
+            raise OSError("lost")
+        create(self, name, *args)
+
+    def unmoved(self, *args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(Files, "create", lose)
+    if lost_at == "data":
+        monkeypatch.setattr(Files, "rename", unmoved)
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            run()
+    assert logs.read("out").count() == (20 if lost_at == "mark" else 0)
+    monkeypatch.setattr(Files, "create", create)
+    monkeypatch.setattr(Files, "rename", rename)
+    run()
+    assert rows(logs.read("out").select(F.col("key").cast("string"))) == sorted((str(i),) for i in range(20))
+    logs.append("in", messages(spark, (100, "more")))
+    run()
+    run()
+    assert logs.read("out").count() == 21 and logs.read("out").select("offset").distinct().count() == 21

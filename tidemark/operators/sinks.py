@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -68,15 +69,15 @@ def to(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Code
 
     ``errors`` names the topic of dropped records (dead letters).  A running
     query needs a ``checkpoint`` folder; an append is made once for each
-    micro-batch, since its number is the batch's.
+    micro-batch, since its number is committed with the data.
     """
     ready = encoded(stream, topic, key, value, options)
     name = topic_name(topic, options.prefix)
     logs.create(name)
 
-    def put(df: DataFrame) -> int:
+    def put(df: DataFrame, once: str | None = None) -> int:
         order = F.col("offset") if "offset" in df.columns else None
-        return logs.append(name, df.select(*(c for c in ("key", "value", "headers", "timestamp", "partition", "offset") if c in df.columns)).drop(*(["partition"] if options.partitioner != "manual" else [])), options.partitioner, order)
+        return logs.append(name, df.select(*(c for c in ("key", "value", "headers", "timestamp", "partition", "offset") if c in df.columns)).drop(*(["partition"] if options.partitioner != "manual" else [])), options.partitioner, order, once=once)
 
     if not ready.df.isStreaming:
         if errors and ready.errors is not None:
@@ -84,17 +85,26 @@ def to(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Code
         return put(ready.df)
     if checkpoint is None:
         raise ValueError("a streaming sink needs a checkpoint folder")
-    return ready.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_once(put, checkpoint)).trigger(availableNow=True).start()
+    return ready.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_once(put, logs, name, checkpoint)).trigger(availableNow=True).start()
 
 
-def _once(put, checkpoint: str):
-    """A foreachBatch function that skips a micro-batch which it has written before."""
+def _once(put, logs: TopicLogs, topic: str, checkpoint: str):
+    """A foreachBatch function that skips a micro-batch which it has written before.
+
+    The data carry the checkpoint's own id and the micro-batch's number and
+    appear together with them.  The marks in the checkpoint only say where to
+    look: a micro-batch without one may be in a batch behind the last mark's.
+    """
 
     def write(df: DataFrame, number: int) -> None:
         marks = Files(df.sparkSession, f"{checkpoint.rstrip('/')}/written")
-        if not marks.exists(str(number)):
-            put(df)
-            marks.create(str(number), "")
+        if marks.exists(str(number)):
+            return
+        if not marks.exists("id"):
+            marks.create("id", uuid.uuid4().hex)
+        once = f"{marks.text('id')}-{number}"
+        batch = logs.appended(topic, once, int(marks.text(str(number - 1)) or -1))
+        marks.create(str(number), str(put(df, once) if batch is None else batch))
 
     return write
 

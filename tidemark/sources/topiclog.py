@@ -92,7 +92,7 @@ class TopicLogs:
 
     # producing
 
-    def append(self, topic: str, records: DataFrame, partitioner: str = HASH, order: Column | None = None, uuid: Column | None = None) -> int:
+    def append(self, topic: str, records: DataFrame, partitioner: str = HASH, order: Column | None = None, uuid: Column | None = None, once: str | None = None) -> int:
         """Append the records (``key``, ``value`` bytes; optional ``headers``, ``timestamp``, ``partition``); the batch's number.
 
         ``hash``: equal keys share a partition, NULL keys are partition 0;
@@ -100,7 +100,9 @@ class TopicLogs:
         from the partition's last, in the order of ``order`` (bigint) or as the
         rows come; they are counted split by split, so a partition with a
         third of all rows isn't numbered by one task.  ``uuid`` computes the
-        records' uuid; default random.
+        records' uuid; default random.  ``once`` names the append (no ``=`` or
+        ``/``); the name is kept with the data and appears in one step with
+        it, so :meth:`appended` tells whether it was made.
         """
         n = self.info(topic)["partitions"]
         have = set(records.columns)
@@ -126,9 +128,23 @@ class TopicLogs:
         counted = running(row, ["partition"], "_order", sums={"_n": F.lit(1)}, **({} if order is not None else {"width": 1 << 33}))
         placed = counted.join(ends, "partition", "left").withColumn("offset", F.coalesce("_from", F.lit(0)) + F.col("_n") - 1)
         out = f"{self._folder(topic)}/batch={batch}"
-        placed.select(*RECORD.names, "partition").sortWithinPartitions("offset").write.partitionBy("partition").parquet(out)
+        # readers pass over what begins with _
+        staged = out if once is None else f"{self._folder(topic)}/_staged-{once}"
+        placed.select(*RECORD.names, "partition").sortWithinPartitions("offset").write.mode("error" if once is None else "overwrite").partitionBy("partition").parquet(staged)
+        if once is not None:
+            self.files.create(f"{topic}/_staged-{once}/_once-{once}", "")
+            if self.files.exists(f"{topic}/batch={batch}"):
+                raise NameTaken(out)
+            self.files.rename(f"{topic}/_staged-{once}", f"{topic}/batch={batch}")
+            if self.appended(topic, once, batch - 1) != batch:  # another writer was faster: the folder was moved into its folder
+                raise NameTaken(out)
         return batch
 
+    def appended(self, topic: str, once: str, after: int = -1) -> int | None:
+        """The batch behind ``after`` that was appended as ``once``; None if there is none."""
+        batches = sorted(int(d[6:]) for d in self.files.names(topic) if d.startswith("batch="))
+        return next((b for b in batches if b > after and self.files.exists(f"{topic}/batch={b}/_once-{once}")), None)
+
     def _next_batch(self, topic: str) -> int:
         return 1 + max([-1, *(int(d[6:]) for d in self.files.names(topic) if d.startswith("batch="))])
 
