@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONG_MAX = 9223372036854775807
 #: Payload times below this are epoch seconds, the others epoch milliseconds.
 SECONDS_BELOW = 1e11
-#: Payload times beyond this many milliseconds (about 285,000 years) are treated as missing.
-TIME_LIMIT_MS = 9e15
-_SENTINEL = "␂end"
 
 
 def canonical_uuid(text: Column) -> Column:
@@ -52,31 +50,26 @@ def uuid_key_text(key: Column) -> Column:
 
 #: Options of from_json that leave only JSON by the standard.
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
-_BROKEN = "␂broken"
+_OUTER, _END = "␂outer", "␂end"
 
 
-def is_json_object(text: Column) -> Column:
-    """Whether the whole of a text is one valid JSON object; false for NULL.
-
-    The text is read as a member of an outer object with a member after it,
-    and taken over as it is, so nothing but its syntax can be wrong: text
-    that is cut off, goes on or isn't an object breaks the outer object, loses
-    the last member or begins otherwise.
-    """
-    whole = F.concat(F.lit('{"v":'), text, F.lit(f',"{_SENTINEL}":1}}'))
-    read = F.from_json(whole, f"v string, `{_SENTINEL}` int, `{_BROKEN}` string", STRICT | {"columnNameOfCorruptRecord": _BROKEN})
-    return F.coalesce(read[_BROKEN].isNull() & (read[_SENTINEL] == 1) & read["v"].startswith("{"), F.lit(False))
-
-
-def strict_json(value: Column, schema: str) -> Column:
+def strict_json(value: Column, schema: str | T.StructType) -> Column:
     """``value`` read as one JSON object of ``schema``; NULL unless the whole text is one valid object.
 
     ``from_json`` alone stops after the first token tree, unpacks one-element
     arrays, keeps what precedes an error and turns broken text into a struct
-    of NULLs.  Members of another type than the schema's are NULL.
+    of NULLs.  So the text is read, once, as the first element of an array
+    whose second one ends it: text that is cut off or goes on breaks the
+    array or isn't followed by that end.  Members of another type than the
+    schema's are NULL; of a repeated member the last counts.
     """
-    text = value.cast("string")
-    return F.when(is_json_object(text), F.from_json(text, schema, STRICT))
+    members = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    outer = T.StructType([T.StructField(_OUTER, T.ArrayType(T.StructType([*members, T.StructField(_END, T.IntegerType())])))])
+    text = F.concat(F.lit(f'{{"{_OUTER}":['), value.cast("string"), F.lit(f',{{"{_END}":1}}]}}'))
+    read = F.from_json(text, outer, STRICT)[_OUTER]
+    first = F.get(read, 0)
+    whole = (F.size(read) == 2) & (F.get(read, 1)[_END] == 1) & first.isNotNull()
+    return F.when(whole, F.struct(*(first[m.name].alias(m.name) for m in members)))
 
 
 def payload_time(number: Column) -> Column:
@@ -85,9 +78,9 @@ def payload_time(number: Column) -> Column:
 
 
 def payload_ms(number: Column) -> Column:
-    """A payload time (double) in whole epoch milliseconds; NULL where missing or out of range."""
+    """A payload time (double) in whole epoch milliseconds; NULL where missing or beyond the range of bigint."""
     ms = payload_time(number)
-    return F.when(F.abs(ms) < TIME_LIMIT_MS, F.floor(ms))
+    return F.when((ms >= -(2.0**63)) & (ms < 2.0**63), F.floor(ms))
 
 
 def utc_instant(column: Column) -> Column:
@@ -96,8 +89,8 @@ def utc_instant(column: Column) -> Column:
 
 
 def floor_to(ms: Column, step: int) -> Column:
-    """The start of the step that holds ``ms``; exact for times before 1970, too."""
-    return ms - F.pmod(ms, F.lit(step))
+    """The start of the step that holds ``ms``; exact for times before 1970, too; NULL where no bigint has it."""
+    return F.try_subtract(ms, F.pmod(ms, F.lit(step)))
 
 
 def header(headers: Column, name: str) -> Column:

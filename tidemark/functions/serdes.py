@@ -1,9 +1,8 @@
 """Codecs between the bytes of a record and typed columns.
 
-A codec decodes with built-in expressions and says, as another column,
-whether the bytes were valid: invalid ones become NULL plus an error, never
-an exception.  Decoding NULL gives NULL without error, since NULL is the
-tombstone.
+A codec decodes with built-in expressions: invalid bytes become NULL, never
+an exception, so bytes that aren't NULL but decode to NULL are an error.
+Decoding NULL gives NULL without error, since NULL is the tombstone.
 """
 
 from __future__ import annotations
@@ -13,8 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.records import STRICT, is_json_object, strict_json
+from tidemark.functions.records import STRICT, strict_json
 
 
 @dataclass(frozen=True)
@@ -75,9 +75,6 @@ class JsonCodec(Codec):
     def decode(self, data: Column) -> Column:
         return strict_json(data, self.schema)
 
-    def valid(self, data: Column) -> Column:
-        return data.isNull() | is_json_object(data.cast("string"))
-
     def encode(self, value: Column) -> Column:
         return F.to_json(value).cast("binary")
 
@@ -93,18 +90,24 @@ class UnionCodec(Codec):
     kinds: Mapping[str, str]
     tag: str = "type"
 
-    def _kind(self, text: Column) -> Column:
-        return F.get_json_object(text, f"$['{self.tag}']")
+    def _merged(self) -> T.StructType | None:
+        """One schema for all kinds, or None where a member has several types."""
+        members: dict[str, T.DataType] = {self.tag: T.StringType()}
+        for schema in self.kinds.values():
+            for m in T.StructType.fromDDL(schema):
+                if members.setdefault(m.name, m.dataType) != m.dataType:
+                    return None
+        return T.StructType([T.StructField(n, t) for n, t in members.items()])
 
     def decode(self, data: Column) -> Column:
-        text = data.cast("string")
-        kind = self._kind(text)
-        members = [F.when(kind == name, F.from_json(text, schema, STRICT)).alias(name) for name, schema in self.kinds.items()]
-        return F.when(kind.isin(*self.kinds) & is_json_object(text), F.struct(kind.alias("kind"), *members))
-
-    def valid(self, data: Column) -> Column:
-        text = data.cast("string")
-        return data.isNull() | (F.coalesce(self._kind(text).isin(*self.kinds), F.lit(False)) & is_json_object(text))
+        """Read once where one schema holds all kinds, else twice: the tag, then what it names."""
+        text, merged = data.cast("string"), self._merged()
+        read = strict_json(text, merged if merged is not None else T.StructType([T.StructField(self.tag, T.StringType())]))
+        kind, members = read[self.tag], []
+        for name, schema in self.kinds.items():
+            own = F.struct(*(read[n].alias(n) for n in T.StructType.fromDDL(schema).names)) if merged is not None else F.from_json(text, schema, STRICT)
+            members.append(F.when(kind == name, own).alias(name))
+        return F.when(kind.isin(*self.kinds), F.struct(kind.alias("kind"), *members))
 
     def encode(self, value: Column) -> Column:
         return F.coalesce(*(F.to_json(value[name]) for name in self.kinds)).cast("binary")

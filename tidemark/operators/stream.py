@@ -36,6 +36,17 @@ def column(f: Expr, returns: str | None = None, inputs: Sequence[str] = ("key",
     return F.pandas_udf(f, returns)(*inputs)
 
 
+def decoded(df: DataFrame, key: Codec | None = None, value: Codec | None = None, reason: str = "_tm_bad") -> DataFrame:
+    """Records with ``key`` and ``value`` decoded and the ``reason`` why one couldn't be (else NULL): good and bad ones in one pass."""
+    codecs = {what: codec for what, codec in (("value", value), ("key", key)) if codec}
+    made = df.withColumns({f"_tm_{what}": codec.decode(F.col(what)) for what, codec in codecs.items()})
+    bad = F.lit(None).cast("string")
+    for what in codecs:
+        bad = F.when(F.col(what).isNotNull() & F.col(f"_tm_{what}").isNull(), F.lit(f"undecodable {what}")).otherwise(bad)
+    marked = made.withColumn(reason, bad)
+    return marked.withColumns({what: F.col(f"_tm_{what}") for what in codecs}).drop(*(f"_tm_{what}" for what in codecs))
+
+
 def _message(df: DataFrame) -> dict[str, Column]:
     """The columns by which :meth:`KeyedStream.deduplicate` knows the message of a record."""
     text = F.trim(F.col("uuid"))
@@ -60,23 +71,14 @@ class KeyedStream:
 
         A NULL key or value is no error (a NULL value is a tombstone).
         """
-        node = Node("source", name)
+        stream = KeyedStream(df, Node("source", name))
         missing = [c for c in ("key", "value") if c not in df.columns]
         if missing:
             raise ValueError(f"a stream needs the columns key and value; missing: {missing}")
-        stream = KeyedStream(df, node)
         if key is None and value is None:
             return stream
-        bad = F.lit(None).cast("string")
-        for what, codec in (("value", value), ("key", key)):
-            if codec:
-                bad = F.when(~codec.valid(F.col(what)), F.lit(f"undecodable {what}")).otherwise(bad)
-        marked = df.withColumn("_tm_bad", bad)
-        good = marked.where("_tm_bad IS NULL").drop("_tm_bad")
-        for what, codec in (("key", key), ("value", value)):
-            if codec:
-                good = good.withColumn(what, codec.decode(F.col(what)))
-        return replace(stream, df=good)._with_errors(marked.where("_tm_bad IS NOT NULL"), "source", F.col("_tm_bad"))
+        marked = decoded(df, key, value)
+        return replace(stream, df=marked.where("_tm_bad IS NULL").drop("_tm_bad"))._with_errors(marked.where("_tm_bad IS NOT NULL"), "source", F.col("_tm_bad"))
 
     def _with_errors(self, rows: DataFrame, stage: str, reason: Column) -> KeyedStream:
         have = set(rows.columns)

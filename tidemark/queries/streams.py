@@ -10,7 +10,7 @@ from tidemark.functions.serdes import IntCodec, JsonCodec, StringCodec, UnionCod
 from tidemark.operators import sinks, tables
 from tidemark.operators.joins import join_tables, star_join
 from tidemark.operators.stores import IndexedStore, Store
-from tidemark.operators.stream import KeyedStream
+from tidemark.operators.stream import KeyedStream, decoded
 from tidemark.operators.tables import Table
 from tidemark.plans.topology import Node
 from tidemark.session import table
@@ -86,9 +86,7 @@ UNION = UnionCodec({"account_credited": CREDIT, "account_debited": CREDIT})
 def tagged_union(spark, folder):
     """Transactions by their type; unknown types and broken payloads are errors."""
     logs = table(spark, folder, "transaction_records").where("value IS NOT NULL").select("key", "value", "topic", "partition", "offset")
-    s = KeyedStream.source(logs, value=UNION)
-    good = s.df.groupBy(F.col("value.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return good.unionByName(s.errors.groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    return decoded(logs, value=UNION, reason="bad").groupBy(F.coalesce("bad", "value.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def multi_topic(spark, folder):
