@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidemark.operators import tables
 from tidemark.operators.joins import paired
-from tidemark.operators.scan import running
+from tidemark.operators.scan import numbered, running
 from tidemark.operators.stores import IndexedStore, Registry, Store, UnknownIndex, UnknownStore
 from tidemark.functions.serdes import IntCodec, StringCodec
 
@@ -82,9 +82,21 @@ def test_stream_join_equals_simulation(spark, seed, width):
 
 def test_running_over_stretches(spark):
     df = spark.createDataFrame([("a", i, i % 3 if i % 4 else None) for i in range(50)] + [(None, 3, 1)], "k string, o bigint, x int")
-    small, large = (running(df, ["k"], "o", {"s": F.col("x")}, {"l": F.col("x")}, {"f": F.col("x")}, before, w) for before, w in ((False, 4), (False, 1000)))
-    assert rows(small) == rows(large)
-    assert rows(running(df, ["k"], "o", {"s": F.col("x")}, before=True, width=4)) == rows(running(df, ["k"], "o", {"s": F.col("x")}, before=True))
+    x = {"x": F.col("x")}
+    for before in (False, True):
+        small, large = (rows(running(df, ["k"], "o", *({t + n: c for n, c in x.items()} for t in "slfm"), before=before, width=w, nullable=True)) for w in (4, 1000))
+        assert small == large
+        held, want = [], []
+        for o, v in ((r[1], r[2]) for r in df.where("k = 'a'").collect()):
+            now = [*held, v]
+            seen = [y for y in (held if before else now) if y is not None]
+            want.append(("a", o, v, sum(seen), seen[-1] if seen else None, seen[0] if seen else None, max(seen, default=None)))
+            held = now
+        assert [r for r in small if r[0]] == sorted(want, key=repr)
+    assert rows(running(df.where("k = 'a'"), [], "o", {"s": F.col("x")}, width=4)) == rows(running(df.where("k = 'a'"), ["k"], "o", {"s": F.col("x")}))
+    for reset in ("x = 2", "false", "x IS NULL"):
+        small, large = (rows(numbered(df, ["k"], "o", F.expr(reset), "n", w, True)) for w in (4, 1000))
+        assert small == large
 
 
 def test_expiry(spark):

@@ -1,4 +1,12 @@
-"""Running values per key in two levels, so that a hot key's rows don't all meet in one task."""
+"""Running values per key in two levels, so that a hot key's rows don't all meet in one task.
+
+Rows are scanned in stretches of a key's orders.  The last row of a stretch
+has the stretch's own totals; those rows alone are shuffled by key to carry
+values across stretches, and are joined back.  Where what is carried needs no
+other columns than the rows themselves, the stretches are shuffled once and
+both readings share that exchange: three exchanges in all, one of them of
+whole rows.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +21,22 @@ from tidemark.session import columns
 WIDTH = 1 << 20
 
 
+def _stretched(df: DataFrame, order: str, width: int) -> DataFrame:
+    return df.withColumn("_tm_stretch", F.expr(f"`{order}` div {width}"))
+
+
+def _joined(own: DataFrame, carry: DataFrame, keys: Sequence[str], nullable: bool) -> DataFrame:
+    """Rows with their stretch's carry; the keys' plain equality keeps the rows' partitioning."""
+    match = F.col("_tm_stretch") == F.col("_tm_k_s")
+    for i, k in enumerate(keys):
+        match = match & (F.col(k).eqNullSafe(F.col(f"_tm_k_{i}")) if nullable else F.col(k) == F.col(f"_tm_k_{i}"))
+    return own.join(carry, match, "left")
+
+
+def _names(keys: Sequence[str]) -> list[Column]:
+    return [*(F.col(k).alias(f"_tm_k_{i}") for i, k in enumerate(keys)), F.col("_tm_stretch").alias("_tm_k_s")]
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -20,48 +44,54 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     firsts: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
     before: bool = False,
     width: int = WIDTH,
+    nullable: bool = False,
 ) -> DataFrame:
-    """``df`` with the running sum, last and first non-NULL value of expressions per key in the order of ``order``.
+    """``df`` with the running sum, last and first non-NULL value, and maximum of expressions per key in the order of ``order``.
 
     ``order`` is a bigint that is unique within a key.  ``before`` leaves the
     row itself out.  Rows are scanned in stretches of ``width`` orders of a
-    key; one summary row per stretch carries the values across stretches.
-    NULL keys are a key; sums over nothing are 0.
+    key; one row per stretch carries the values across stretches.  Sums over
+    nothing are 0.  No keys: all rows are one key.  With ``nullable`` NULL
+    keys are a key; else they must not occur.
     """
-    sums, lasts, firsts = sums or {}, lasts or {}, firsts or {}
-    stretch = F.expr(f"`{order}` div {width}")
-    rows = df.withColumn("_tm_stretch", stretch)
-    inside = Window.partitionBy(*keys, "_tm_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    at = F.col(order)
-    summary = rows.groupBy(*keys, "_tm_stretch").agg(
-        *(F.sum(c).alias(f"_tm_s_{n}") for n, c in sums.items()),
-        *(F.max(F.when(c.isNotNull(), F.struct(at, c.alias("v")))).alias(f"_tm_l_{n}") for n, c in lasts.items()),
-        *(F.min(F.when(c.isNotNull(), F.struct(at, c.alias("v")))).alias(f"_tm_f_{n}") for n, c in firsts.items()),
-        F.count(F.lit(1)).alias("_tm_rows"),
-    )
-    ahead = Window.partitionBy(*keys).orderBy("_tm_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *(F.col(k).alias(f"_tm_k_{i}") for i, k in enumerate(keys)),
-        F.col("_tm_stretch").alias("_tm_k_s"),
-        *(F.sum(f"_tm_s_{n}").over(ahead).alias(f"_tm_s_{n}") for n in sums),
-        *(F.last(f"_tm_l_{n}", ignorenulls=True).over(ahead)["v"].alias(f"_tm_l_{n}") for n in lasts),
-        *(F.first(f"_tm_f_{n}", ignorenulls=True).over(ahead)["v"].alias(f"_tm_f_{n}") for n in firsts),
-    )
-    own = rows.select(
+    sums, lasts, firsts, maxes = sums or {}, lasts or {}, firsts or {}, maxes or {}
+    kinds = [("s", sums, F.sum), ("l", lasts, lambda c: F.last(c, ignorenulls=True)), ("f", firsts, lambda c: F.first(c, ignorenulls=True)), ("m", maxes, F.max)]
+    ordered = Window.partitionBy(*keys, "_tm_stretch").orderBy(order)
+    whole, part = (ordered.rowsBetween(Window.unboundedPreceding, e) for e in (0, -1))
+    own = _stretched(df, order, width).select(
         "*",
-        *(F.sum(c).over(inside).alias(f"_tm_os_{n}") for n, c in sums.items()),
-        *(F.last(c, ignorenulls=True).over(inside).alias(f"_tm_ol_{n}") for n, c in lasts.items()),
-        *(F.first(c, ignorenulls=True).over(inside).alias(f"_tm_of_{n}") for n, c in firsts.items()),
+        *(f(c).over(whole).alias(f"_tm_w{t}_{n}") for t, some, f in kinds for n, c in some.items()),
+        *(f(c).over(part).alias(f"_tm_p{t}_{n}") for t, some, f in kinds for n, c in some.items() if before),
+        F.lead(F.lit(True)).over(ordered).alias("_tm_more"),
     )
-    match = F.col("_tm_stretch").eqNullSafe(F.col("_tm_k_s"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_tm_k_{i}"))
-    joined = own.join(carry, match, "left")
+    ahead = Window.partitionBy(*keys).orderBy("_tm_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carry = own.where("_tm_more IS NULL").select(*_names(keys), *(f(f"_tm_w{t}_{n}").over(ahead).alias(f"_tm_c{t}_{n}") for t, some, f in kinds for n in some))
+    joined = _joined(own, carry, keys, nullable)
+    mine = "p" if before else "w"
+    nothing = F.lit(0)
     return joined.select(
         *columns(df),
-        *((F.coalesce(F.col(f"_tm_os_{n}"), F.lit(0)) + F.coalesce(F.col(f"_tm_s_{n}"), F.lit(0))).alias(n) for n in sums),
-        *(F.coalesce(f"_tm_ol_{n}", f"_tm_l_{n}").alias(n) for n in lasts),
-        *(F.coalesce(f"_tm_f_{n}", f"_tm_of_{n}").alias(n) for n in firsts),
+        *((F.coalesce(F.col(f"_tm_{mine}s_{n}"), nothing) + F.coalesce(F.col(f"_tm_cs_{n}"), nothing)).alias(n) for n in sums),
+        *(F.coalesce(f"_tm_{mine}l_{n}", f"_tm_cl_{n}").alias(n) for n in lasts),
+        *(F.coalesce(f"_tm_cf_{n}", f"_tm_{mine}f_{n}").alias(n) for n in firsts),
+        *(F.greatest(f"_tm_{mine}m_{n}", f"_tm_cm_{n}").alias(n) for n in maxes),
     )
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, reset: Column, name: str, width: int = WIDTH, nullable: bool = False) -> DataFrame:
+    """``df`` with each row's number under its key since the last earlier row for which ``reset`` is true, from 1."""
+    ordered = Window.partitionBy(*keys, "_tm_stretch").orderBy(order)
+    own = _stretched(df.withColumn("_tm_reset", F.coalesce(reset, F.lit(False))), order, width)
+    own = own.select("*", F.row_number().over(ordered).cast("bigint").alias("_tm_n"), F.lead(F.lit(True)).over(ordered).alias("_tm_more"))
+    at = F.when(F.col("_tm_reset"), F.col("_tm_n"))
+    own = own.withColumn("_tm_at", F.last(at, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    ahead = Window.partitionBy(*keys).orderBy("_tm_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.where("_tm_more IS NULL").withColumn("_tm_base", F.coalesce(F.sum("_tm_n").over(ahead), F.lit(0)))
+    carry = ends.select(*_names(keys), F.col("_tm_base"), F.last(F.col("_tm_base") + F.coalesce(at, F.col("_tm_at")), ignorenulls=True).over(ahead).alias("_tm_last"))
+    joined = _joined(own, carry, keys, nullable)
+    # rows behind a reset of their own stretch need nothing from the stretches before
+    since = F.when(F.col("_tm_at").isNotNull(), F.col("_tm_n") - F.col("_tm_at")).otherwise(F.coalesce(F.col("_tm_base"), F.lit(0)) + F.col("_tm_n") - F.coalesce(F.col("_tm_last"), F.lit(0)))
+    return joined.select(*columns(df), since.alias(name))

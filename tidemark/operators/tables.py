@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import cdc
-from tidemark.operators.scan import running
+from tidemark.operators.scan import numbered
 from tidemark.plans.topology import Node
 from tidemark.session import columns
 
@@ -97,10 +97,8 @@ def materialize(changes: DataFrame, key: str = "key", order: str = "offset", del
     the value to keep.  Hot keys are numbered in stretches.  NULL keys can't
     be stored and are left out.
     """
-    gone = F.coalesce(deleted if deleted is not None else F.col("value").isNull(), F.lit(False))
-    counted = running(changes.where(F.col(key).isNotNull()), [key], order, sums={"_tm_n": F.lit(1)})
-    since = running(counted, [key], order, lasts={"_tm_t": F.when(gone, F.col("_tm_n"))}, before=True)
-    out = since.withColumn(version_column, F.col("_tm_n") - F.coalesce(F.col("_tm_t"), F.lit(0))).drop("_tm_n", "_tm_t")
+    gone = deleted if deleted is not None else F.col("value").isNull()
+    out = numbered(changes.where(F.col(key).isNotNull()), [key], order, gone, version_column)
     return out.withColumn("value", write(F.col(version_column), F.col("value"))) if write else out
 
 
