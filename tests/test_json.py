@@ -17,6 +17,7 @@ def refuse(_):
 def test_equals_python(spark):
     rng = random.Random(4)
     texts = [WHOLE[:i] for i in range(len(WHOLE) + 1)] + [WHOLE + x for x in ("}", "]", " ", "x", ",1", ',"a":1}', "\n", "{}")] + [x + WHOLE for x in ("[", " ", "x", '"')]
+    texts += [WHOLE + x for x in (',"x":{"timestamp":2}', '],"w":[' + WHOLE, "],[" + WHOLE, "],[", ",{}", "," + WHOLE)]
     texts += ["[]", "null", '"{\'timestamp\':1', "{'timestamp':1}", '{"timestamp":"1"}', '{"timestamp":1.5e3}', '{"timestamp":true}', '{"timestamp":NaN}', '{"timestamp":"NaN"}', '{"timestamp":null}', '{"timestamp":[1]}', '{"timestamp":1,}', '{"timestamp":01}', "[" + WHOLE + "]", '{"a":"\t","timestamp":1}', '{"timestamp":-5}']
     for _ in range(400):
         i = rng.randrange(len(WHOLE))

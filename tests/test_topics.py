@@ -18,7 +18,6 @@ from tidemark.serving import PAGE, answer, serve
 from tidemark.sources import kafka
 from tidemark.sources.files import Files
 from tidemark.sources.topiclog import LATEST, TopicExists, TopicLogs, UnknownTopic
-from tidemark.streaming.periods import PeriodCloser, open_and_closed
 from tidemark.streaming.runtime import Application
 from tidemark.streaming.tables import LiveTable
 
@@ -146,21 +145,6 @@ def test_live_table_equals_batch(spark, tmp_path, version):
     assert rows(live.rows().select("key", "offset")) == rows(want)
 
 
-def test_period_closer(spark, tmp_path):
-    from pyspark.sql import types as T
-
-    schema = "account string, source string, event_ms bigint, arrival_ms bigint"
-    closer = PeriodCloser(spark, str(tmp_path / "p"), T.StructField("account", T.StringType()), 10, 60, 5)
-    batches = [[("a", "s", 1, 2), ("a", "r", 3, 15)], [("a", "s", 4, 90), ("a", "r", 2, 40)], [("a", "r", 95, 99)], [("a", "r", 5, 60), ("a", "s", None, 7)]]
-    for n, b in enumerate(batches):
-        df = spark.createDataFrame(b, schema)
-        closer(df, n)
-        closer(df, n)
-    assert rows(closer.results.read().select("account", "period_start", "n_on_time", "n_late")) == [("a", 0, 1, 2)]
-    assert rows(closer.diverted.read().select("event_ms", "reason")) == [(4, "past_cut_off"), (5, "after_close"), (None, "no_time")]
-    assert rows(open_and_closed(closer, ["account"]).select("period_start", "final")) == [(0, True), (90, False)]
-
-
 def test_application(spark, logs, tmp_path):
     logs.create("t")
     logs.create("s")

@@ -50,7 +50,7 @@ def uuid_key_text(key: Column) -> Column:
 
 #: Options of from_json that leave only JSON by the standard.
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
-_OUTER, _END = "␂outer", "␂end"
+_END = "␂end"
 
 
 def strict_json(value: Column, schema: str | T.StructType) -> Column:
@@ -64,9 +64,8 @@ def strict_json(value: Column, schema: str | T.StructType) -> Column:
     schema's are NULL; of a repeated member the last counts.
     """
     members = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    outer = T.StructType([T.StructField(_OUTER, T.ArrayType(T.StructType([*members, T.StructField(_END, T.IntegerType())])))])
-    text = F.concat(F.lit(f'{{"{_OUTER}":['), value.cast("string"), F.lit(f',{{"{_END}":1}}]}}'))
-    read = F.from_json(text, outer, STRICT)[_OUTER]
+    text = F.concat(F.lit("["), value.cast("string"), F.lit(f',{{"{_END}":1}}]'))
+    read = F.from_json(text, T.ArrayType(T.StructType([*members, T.StructField(_END, T.IntegerType())])), STRICT)
     first = F.get(read, 0)
     whole = (F.size(read) == 2) & (F.get(read, 1)[_END] == 1) & first.isNotNull()
     return F.when(whole, F.struct(*(first[m.name].alias(m.name) for m in members)))

@@ -44,25 +44,32 @@ def first_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return first.where("account_no IS NOT NULL").select(*carried)
 
 
+#: Sources deliver batch by batch, which is their punctuation; disorder of six hours of arrival is let pass besides.
+CLOSING = late_events.Rule(slack_ms=6 * late_events.HOUR_MS, by_batch=True)
+
+
 def _periods(spark: SparkSession, folder: str) -> late_events.Periods:
     credited = F.col("is_credit")
     return late_events.close_periods(
-        # three passes: over the watermarks, the periods and the aggregates
+        # two passes: over the watermarks and over the periods
         written(first_transactions(spark, folder), "first"),
         ["account_no"],
         {"credits": F.when(credited, F.col("amount")), "debits": F.when(~credited, F.col("amount"))},
+        CLOSING,
     )
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Accounts and hours whose result was corrected by a late message."""
-    return _periods(spark, folder).aggregates.where("n_late > 0").select("account_no", "period_start")
+    """Accounts and hours with messages that arrived late but in time: corrections, and what was delivered after the hour was closed."""
+    return _periods(spark, folder).aggregates.where("n_late + n_late_after_close > 0").select("account_no", "period_start")
 
 
 def p1_periods(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts and amounts of every account and hour, first and corrected."""
+    """Counts and amounts of every account and hour, first and corrected, and the batch in which the hour was closed."""
+    periods = _periods(spark, folder)
     amounts = [F.col(c).cast("double").alias(c) for c in ("credits_on_time", "debits_on_time", "credits_total", "debits_total")]
-    return _periods(spark, folder).aggregates.select("account_no", "period_start", "n_on_time", "n_late", "n_total", *amounts)
+    rows = periods.aggregates.join(periods.closings, "period_start", "left")
+    return rows.select("account_no", "period_start", "n_on_time", "n_late", "n_total", "n_revisions", "n_after_close", "n_late_after_close", "closed_in", *amounts)
 
 
 def p1_diverted(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,6 +278,15 @@ _READ_ROWS = f""", {_ACCOUNT} AS account_no, CASE WHEN {_READ} THEN CAST(json_ex
 _FIRST = f"""first AS (SELECT *, e - ((e % 3600000) + 3600000) % 3600000 AS period_start FROM (SELECT *,
       CAST(CASE WHEN pt IS NULL THEN floor(epoch_us(ts) / 1000) WHEN pt < 1e11 THEN floor(pt * 1000) ELSE floor(pt) END AS BIGINT) AS e, epoch_us(coalesce(bt, ts)) AS a
       FROM ({_marked("transaction_records", "transaction", _READ_ROWS)}) QUALIFY row_number() OVER (PARTITION BY m ORDER BY delivery_id) = 1) WHERE account_no IS NOT NULL)"""
+#: Batch by batch: each source's watermark as it was then, the least of the active ones, and the greatest of those so far.
+_LOWS = """steps AS (SELECT partition AS src, batch_id AS b, max(CAST(floor(a / 1000) AS BIGINT)) AS hi FROM first WHERE a IS NOT NULL AND batch_id IS NOT NULL GROUP BY ALL),
+    numbers AS (SELECT unnest(range((SELECT min(b) FROM steps), (SELECT max(b) FROM steps) + 1)) AS n),
+    active AS (SELECT n, src FROM numbers JOIN steps ON b BETWEEN n - 5 AND n GROUP BY ALL),
+    own AS (SELECT n, s.src, greatest(max(s.hi) - 6 * 3600000, max(s.hi) FILTER (s.b < z.b)) AS low FROM active c JOIN steps s ON s.src IS NOT DISTINCT FROM c.src AND s.b <= n JOIN (SELECT n AS zn, src AS zs, max(b) AS b FROM numbers JOIN steps ON b <= n GROUP BY ALL) z ON zn = n AND zs IS NOT DISTINCT FROM s.src GROUP BY ALL),
+    lows AS (SELECT n, max(min(low)) OVER (ORDER BY n) AS low FROM own GROUP BY n)"""
+_BEHIND = "coalesce((SELECT max(low) FROM lows WHERE n < batch_id) >= period_start + 7 * 3600000, false)"
+_MARKED = f"""SELECT *, a >= (period_start + 3600000) * 1000 AS late, {_BEHIND} AS behind, (SELECT min(n) FROM lows WHERE low >= period_start + 7 * 3600000) AS closed_in,
+    CASE WHEN kind = 'account_credited' THEN amount END AS credit, CASE WHEN kind = 'account_debited' THEN amount END AS debit FROM first WHERE a < (period_start + 7 * 3600000) * 1000 AND batch_id IS NOT NULL"""
 _PERIODS = "FROM first WHERE a < (period_start + 3600000 + 6 * 3600000) * 1000"
 _ALL_POS = "deliveries AS (" + " UNION ALL ".join(f"SELECT topic, partition, \"offset\", coalesce(u, '') AS m, batch_id FROM ({_marked(log, log, '')})" for log in LOGS) + ")"
 _LOST = " UNION ALL ".join(f"SELECT delivery_id FROM ({_marked(log, log, '')}) QUALIFY row_number() OVER (PARTITION BY m ORDER BY delivery_id) > 1" for log in LOGS)
@@ -285,10 +301,13 @@ _STATE = f"""ops AS (SELECT topic, k, "offset" AS o, delivery_id, del, CASE WHEN
 
 SQL = {
     "p1_found": f"WITH {_FIRST} SELECT DISTINCT account_no, period_start {_PERIODS} AND a >= (period_start + 3600000) * 1000",
-    "p1_periods": f"""WITH {_FIRST} SELECT account_no, period_start, count(*) FILTER (NOT late) AS n_on_time, count(*) FILTER (late) AS n_late, count(*) AS n_total,
-        CAST(sum(credit) FILTER (NOT late) AS DOUBLE) AS credits_on_time, CAST(sum(debit) FILTER (NOT late) AS DOUBLE) AS debits_on_time, CAST(sum(credit) AS DOUBLE) AS credits_total, CAST(sum(debit) AS DOUBLE) AS debits_total
-        FROM (SELECT *, a >= (period_start + 3600000) * 1000 AS late, CASE WHEN kind = 'account_credited' THEN amount END AS credit, CASE WHEN kind = 'account_debited' THEN amount END AS debit {_PERIODS}) GROUP BY account_no, period_start""",
-    "p1_diverted": f"WITH {_FIRST} SELECT CASE WHEN e IS NULL OR a IS NULL THEN 'no_time' ELSE 'past_cut_off' END AS reason, period_start, count(*) AS n FROM first WHERE e IS NULL OR a IS NULL OR a >= (period_start + 7 * 3600000) * 1000 GROUP BY ALL",
+    "p1_periods": f"""WITH {_FIRST}, {_LOWS}, marked AS ({_MARKED})
+        SELECT account_no, period_start, CAST(coalesce(sum(1) FILTER (NOT late AND NOT behind), 0) AS BIGINT) AS n_on_time, CAST(coalesce(sum(1) FILTER (late AND NOT behind), 0) AS BIGINT) AS n_late, count(*) FILTER (NOT behind) AS n_total,
+          count(DISTINCT batch_id) FILTER (late AND NOT behind) AS n_revisions, count(*) FILTER (behind) AS n_after_close, count(*) FILTER (behind AND late) AS n_late_after_close, any_value(closed_in) AS closed_in,
+          CAST(sum(credit) FILTER (NOT late AND NOT behind) AS DOUBLE) AS credits_on_time, CAST(sum(debit) FILTER (NOT late AND NOT behind) AS DOUBLE) AS debits_on_time, CAST(sum(credit) FILTER (NOT behind) AS DOUBLE) AS credits_total, CAST(sum(debit) FILTER (NOT behind) AS DOUBLE) AS debits_total
+        FROM marked GROUP BY account_no, period_start""",
+    "p1_diverted": f"""WITH {_FIRST}, {_LOWS} SELECT reason, period_start, count(*) AS n FROM (
+        SELECT period_start, CASE WHEN e IS NULL OR a IS NULL OR batch_id IS NULL THEN 'no_time' WHEN a >= (period_start + 7 * 3600000) * 1000 THEN 'past_cut_off' WHEN {_BEHIND} THEN 'after_close' END AS reason FROM first) WHERE reason IS NOT NULL GROUP BY ALL""",
     "p2_found": f"""WITH {_ALL_POS}, messages AS (SELECT topic, partition, "offset", m, coalesce(min(batch_id), 2147483647) AS b FROM deliveries WHERE topic IS NOT NULL AND partition IS NOT NULL AND "offset" IS NOT NULL GROUP BY ALL), newest AS (SELECT topic, partition, "offset", max(b) AS b FROM messages GROUP BY ALL),
         done AS (SELECT DISTINCT topic, partition, start_offset, next_offset, last_batch FROM run_ledger WHERE lower(trim(state)) = 'committed')
         SELECT topic, partition, "offset" FROM newest n WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.topic = n.topic AND d.partition = n.partition AND d.start_offset <= n."offset" AND n."offset" < d.next_offset AND d.last_batch >= n.b)""",

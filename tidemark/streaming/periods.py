@@ -1,92 +1,104 @@
 """Per-period results of a running query, closed by per-source watermarks.
 
-State between micro-batches is one small row per source (newest arrival, last
-micro-batch with records), and one row per open key and period.  Results are
-the closed periods; every record that comes behind them is diverted.
+The rule is that of :mod:`tidemark.operators.late_events`, batch by delivery
+batch, so how delivery batches fall into micro-batches changes nothing.  State
+between micro-batches is one small row per source (last batch, newest
+arrivals, punctuations), the log's low watermark, and one row per open key
+and period.  Results are the closed periods; what comes behind them is
+diverted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.records import floor_to
-from tidemark.operators.late_events import HOUR_MS
+from tidemark.operators.late_events import Rule, closing_batches, low_watermarks, shown
+from tidemark.session import checkpointed
 from tidemark.sources.versioned import VersionedTable
 
+_START = -(1 << 63)
+
 
 @dataclass
 class PeriodCloser:
-    """foreachBatch function over records with ``keys``, ``source``, ``event_ms``, ``arrival_ms`` and an amount.
+    """foreachBatch function over records with ``key``, ``source``, ``batch``, ``event_ms``, ``arrival_ms`` and an amount.
+
+    Delivery batches come whole and in their order; the last one is not
+    repeated in a later micro-batch.  ``punctuations`` picks those of a
+    micro-batch (``source``, ``batch``, ``low_ms``) out of it.
 
     ``results`` (closed periods), ``diverted`` and ``open`` are read from
-    versioned tables under ``path``; a micro-batch is committed last in
-    ``open``, which holds its number, and the two others skip what they have.
+    versioned tables under ``path``.  A micro-batch is committed last in
+    ``open``, which holds its number and the low watermark; each of the other
+    tables holds the number too, so that a repeated micro-batch writes only
+    what a lost one hadn't.
     """
 
     spark: SparkSession
     path: str
     key: T.StructField
-    period_ms: int = HOUR_MS
-    lateness_ms: int = 6 * HOUR_MS
-    idle_batches: int = 10
+    rule: Rule = field(default_factory=Rule)
     amount: Column | None = None
+    punctuations: object = None
 
     def __post_init__(self) -> None:
-        number = T.LongType()
-        cell = [self.key, T.StructField("period_start", number), T.StructField("n_on_time", number), T.StructField("n_late", number), T.StructField("amount", T.DecimalType(38, 4))]
+        number, source = T.LongType(), T.StructField("source", T.StringType())
+        counts = [T.StructField(n, number) for n in ("period_start", "n_on_time", "n_late")]
+        cell = [self.key, *counts, T.StructField("amount", T.DecimalType(38, 4))]
         make = lambda name, fields: VersionedTable(self.spark, f"{self.path}/{name}", T.StructType(fields))
-        self.results = make("results", cell)
+        self.results = make("results", [*cell, T.StructField("closed_in", number)])
         self.open = make("open", cell)
-        self.sources = make("sources", [T.StructField("source", T.StringType()), T.StructField("seen", number), T.StructField("last", number)])
-        self.diverted = make("diverted", [self.key, T.StructField("event_ms", number), T.StructField("arrival_ms", number), T.StructField("reason", T.StringType())])
+        self.sources = make("sources", [source, *(T.StructField(n, number) for n in ("batch", "seen", "declared"))])
+        self.diverted = make("diverted", [self.key, *(T.StructField(n, number) for n in ("event_ms", "arrival_ms", "batch")), T.StructField("reason", T.StringType())])
 
-    def _low(self, number: int) -> int:
-        """The low watermark before a micro-batch: the least of the sources that aren't idle."""
-        rows = self.sources.read().where(F.col("last") >= number - self.idle_batches)
-        every = self.sources.read().agg(F.max("seen").alias("m")).first()["m"]
-        low = rows.agg(F.min("seen").alias("m")).first()["m"]
-        return low if low is not None else every if every is not None else -(1 << 60)
-
-    def _put(self, table: VersionedTable, df: DataFrame, number: int, replace: bool = False) -> None:
+    def _put(self, table: VersionedTable, df: DataFrame, number: int, replace: bool = False, **more: int) -> None:
         state = table.manifest()
-        if state.processed.get("micro-batch", -1) >= number:
-            return
-        table.commit(add=table.write_files(df), remove=list(state.files) if replace else None, processed={"micro-batch": number}, base=state.version)
+        if state.processed.get("micro-batch", -1) < number:
+            table.commit(add=table.write_files(df), remove=list(state.files) if replace else None, processed={"micro-batch": number, **more}, base=state.version)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if self.open.manifest().processed.get("micro-batch", -1) >= number:
+        now = self.open.manifest()
+        if now.processed.get("micro-batch", -1) >= number:
             return
-        # sources may have this micro-batch already, if the run died after them: its marks are kept apart by number
-        name = self.key.name
-        low = self._low_before(number)
-        seen = batch.where("arrival_ms IS NOT NULL").groupBy(F.col("source").cast("string").alias("source")).agg(F.max("arrival_ms").alias("seen"), F.lit(number).cast("bigint").alias("last"))
-        merged = self.sources.read().unionByName(seen).groupBy("source").agg(F.max("seen").alias("seen"), F.max("last").alias("last"))
-        self._put(self.sources, merged, number, replace=True)
-        after = max(low, self._low(number))
-        timed = batch.withColumn("period_start", floor_to(F.col("event_ms"), self.period_ms))
-        end = F.col("period_start") + self.period_ms
-        bound = end + self.lateness_ms
-        reason = F.when(F.col("period_start").isNull() | F.col("arrival_ms").isNull(), "no_time").when(F.col("arrival_ms") >= bound, "past_cut_off").when(bound <= low, "after_close")
-        marked = timed.withColumn("reason", reason)
-        self._put(self.diverted, marked.where("reason IS NOT NULL").select(name, "event_ms", "arrival_ms", "reason"), number)
-        late = F.col("arrival_ms") >= end
+        name, rule, low = self.key.name, self.rule, now.processed.get("low", _START)
+        # the sources as they were before this micro-batch, also if a lost run has replaced them
+        known = self.sources.manifest()
+        old = self.sources.read(known.processed["previous"] if known.processed.get("micro-batch", -1) >= number else known.version)
+        records = batch.withColumn("source", F.col("source").cast("string"))
+        fresh = shown(records, self.punctuations(records) if self.punctuations else None)
+        steps = checkpointed(old.unionByName(fresh))
+        lows = checkpointed(low_watermarks(steps, rule, low, now.processed.get("last", _START)))
+        last = steps.agg(F.max("batch").alias("m")).first()["m"]
+        reached = None if last is None else lows.where(F.col("batch") <= last).agg(F.max("low").alias("m")).first()["m"]
+        after, last = low if reached is None else reached, _START if last is None else last
+        # one row of a source holds all that its next steps need: what it showed in earlier batches counts as declared
+        earlier = F.max("seen").over(Window.partitionBy("source").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
+        with_earlier = steps.withColumn("earlier", earlier if rule.by_batch else F.lit(None).cast("bigint"))
+        newest = with_earlier.groupBy("source").agg(F.max("batch").alias("batch"), F.max("seen").alias("seen"), F.greatest(F.max("declared"), F.max_by("earlier", "batch")).alias("declared"))
+        self._put(self.sources, newest, number, replace=True, previous=known.version)
+        timed = records.withColumn("period_start", rule.start(F.col("event_ms")))
+        at, arrival = F.col("period_start"), F.col("arrival_ms")
+        missing = at.isNull() | arrival.isNull() | F.col("batch").isNull()
+        marks = lows.select(F.col("batch").alias("_tm_batch"), F.col("before").alias("_tm_before"))
+        reason = F.when(missing, "no_time").when(~rule.in_time(arrival, at), "past_cut_off").when(rule.reached(F.col("_tm_before"), at), "after_close")
+        marked = timed.join(marks, F.col("batch").cast("bigint") == F.col("_tm_batch"), "left").withColumn("reason", reason)
+        self._put(self.diverted, marked.where("reason IS NOT NULL").select(name, "event_ms", "arrival_ms", "batch", "reason"), number)
+        late, taken = rule.late(arrival, at), F.col("reason").isNull()
         amount = (self.amount if self.amount is not None else F.lit(0)).cast("decimal(28,4)")
-        cells = marked.where("reason IS NULL").groupBy(name, "period_start").agg(F.count_if(~late).alias("n_on_time"), F.count_if(late).alias("n_late"), F.sum(amount).alias("amount"))
-        total = self.open.read().unionByName(cells.select(*self.open.schema.names)).groupBy(name, "period_start").agg(F.sum("n_on_time").alias("n_on_time"), F.sum("n_late").alias("n_late"), F.sum("amount").alias("amount"))
-        closed = bound <= after
-        self._put(self.results, total.where(closed), number)
-        state = self.open.manifest()
-        self.open.commit(add=self.open.write_files(total.where(~closed)), remove=list(state.files), processed={"micro-batch": number, "low": after}, base=state.version)
-
-    def _low_before(self, number: int) -> int:
-        return self.open.manifest().processed.get("low", -(1 << 60))
-
-
-def open_and_closed(closer: PeriodCloser, keys: Sequence[str]) -> DataFrame:
-    """Every period's present result and whether it is final."""
-    return closer.results.read().withColumn("final", F.lit(True)).unionByName(closer.open.read().withColumn("final", F.lit(False))).select(*keys, "period_start", "n_on_time", "n_late", "amount", "final")
+        cells = marked.where("reason IS NULL").groupBy(name, "period_start").agg(F.count_if(~late & taken).alias("n_on_time"), F.count_if(late & taken).alias("n_late"), F.sum(amount).alias("amount"))
+        sums = [F.sum(n).alias(n) for n in ("n_on_time", "n_late", "amount")]
+        total = checkpointed(self.open.read().unionByName(cells.select(*self.open.schema.names)).groupBy(name, "period_start").agg(*sums))
+        closed = rule.reached(F.lit(after), at)
+        ended = total.where(closed)
+        when = closing_batches(ended.select("period_start").distinct(), lows, F.lit(last), rule)
+        self._put(self.results, ended.join(when, "period_start").select(*self.results.schema.names), number)
+        self._put(self.open, total.where(~closed), number, replace=True, low=after, last=last)
+
+
+def open_and_closed(closer: PeriodCloser) -> DataFrame:
+    """Every period's present result; ``closed_in`` is NULL while it is open."""
+    return closer.results.read().unionByName(closer.open.read().withColumn("closed_in", F.lit(None).cast("bigint")))
