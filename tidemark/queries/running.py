@@ -102,16 +102,16 @@ def stream_through(spark, folder):
 
 
 def stream_periods(spark, folder):
-    """Hours closed by a running query over first deliveries that are appended in four parts of whole delivery batches."""
+    """Hours closed by a running query over first deliveries that are appended in two parts of whole delivery batches."""
     base = scratch_path(spark, "periods")
     rows = written(corpus_core.first_transactions(spark, folder), "first").where("account_no IS NOT NULL")
     most = rows.agg(F.max("batch").alias("m")).first()["m"] or 0
-    for part in range(4):
-        rows.where(F.expr(f"coalesce(batch, 0) * 4 div {most + 1}") == part).write.mode("append").parquet(f"{base}/in/part={part}")
+    for part in range(2):
+        rows.where(F.expr(f"coalesce(batch, 0) * 2 div {most + 1}") == part).write.mode("append").parquet(f"{base}/in/part={part}")
     closer = PeriodCloser(spark, f"{base}/periods", T.StructField("account_no", T.LongType()), corpus_core.CLOSING, F.col("amount"))
     live = spark.readStream.schema(T.StructType([*rows.schema, T.StructField("part", T.IntegerType())])).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in")
     # a part is a micro-batch, as if it had just arrived
-    for part in range(4):
+    for part in range(2):
         query = live.where(F.col("part") == part).writeStream.option("checkpointLocation", f"{base}/checkpoint-{part}")
         query.foreachBatch(lambda df, _, n=part: closer(df, n)).trigger(availableNow=True).start().awaitTermination()
     return open_and_closed(closer).select("account_no", "period_start", "n_on_time", "n_late", F.col("amount").cast("double").alias("amount"), "closed_in")
@@ -121,6 +121,6 @@ NAMED = (stream_periods, stream_filter, stream_select_key, stream_branch, stream
 QUERIES = {f.__name__: f for f in NAMED}
 _SAME = {"stream_branch": "branch_first_match", "stream_deduplicate": "process_peek"}
 SQL = {n: streams.SQL[_SAME.get(n, n.removeprefix("stream_"))] for n in QUERIES if n not in ("stream_through", "stream_periods")}
-SQL["stream_periods"] = f"""WITH {corpus_core._FIRST}, {corpus_core._LOWS} SELECT account_no, period_start, count(*) FILTER (NOT late) AS n_on_time, count(*) FILTER (late) AS n_late, CAST(sum(amount) AS DOUBLE) AS amount, any_value(closed_in) AS closed_in
+SQL["stream_periods"] = f"""WITH {corpus_core._FIRST}, {corpus_core._LOWS} SELECT account_no, period_start, count(*) FILTER (NOT late) AS n_on_time, count(*) FILTER (late) AS n_late, CAST(sum(coalesce(credit, debit)) AS DOUBLE) AS amount, any_value(closed_in) AS closed_in
     FROM ({corpus_core._MARKED}) WHERE NOT behind GROUP BY account_no, period_start"""
 SQL["stream_through"] = f"SELECT topic, key, value, count(*) AS n FROM ({streams.SQL['sink_tombstone']}) GROUP BY ALL"
