@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.functions.records import IDENTITY, canonical_uuid, message_identity
-from tidemark.operators.dedup import deletion_vectors, deletions, positions, read_without
+from tidemark.operators.dedup import FILES_A_FOLDER, apply_vectors, deletion_vectors, deletions, positions, read_without, store_vectors
 from tidemark.queries import corpus_core
 from tidemark.queries.corpus_core import LOGS
 
@@ -49,10 +49,13 @@ def test_equals_brute_force(spark, log, unique):
     lost = deletions(placed, IDENTITY, unique)
     kept = brute(data)
     assert {r[0] for r in lost.select("_tm_order").collect()} == {r[4] for r in data} - kept
-    for most in (500_000, 10, 3):
-        out = read_without(spark, path, deletion_vectors(lost), most)
+    for folders in (1, 5 * FILES_A_FOLDER):
+        stored = store_vectors(spark, deletion_vectors(lost), folders)
+        out = read_without(spark, path, stored)
         assert out.columns == spark.read.parquet(path).columns
         assert sorted(r["delivery_id"] for r in out.collect()) == sorted(kept)
+        gone = apply_vectors(spark, out.schema, spark.read.parquet(path).inputFiles(), stored, deleted=True)
+        assert {r["delivery_id"] for r in gone.collect()} == {r[4] for r in data} - kept
 
 
 def test_ties_and_missing_order(spark, tmp_path):
@@ -95,7 +98,7 @@ def test_all_logs_come_out_whole(spark, tmp_path):
     assert rows(out.select(*spark.createDataFrame([], schema).columns)) == rows(spark.createDataFrame(want, schema))
 
 
-def test_found_carries_positions(spark, monkeypatch):
+def test_found_comes_by_vectors(spark, monkeypatch):
     """p4_found reads its rows by place: what the vectors of the files delete comes out, and nothing else."""
     seen = []
 
@@ -108,3 +111,12 @@ def test_found_carries_positions(spark, monkeypatch):
     assert len(seen) == 1 and got.columns == ["delivery_id"]
     lost = corpus_core._lost(spark, "/root/testdata/sf0.001").where("_tm_row < 64").select("_tm_order")
     assert rows(got) == rows(lost) != []
+
+
+def test_names_with_escapes(spark, tmp_path):
+    """Paths with blanks, signs and characters that a URI escapes."""
+    path = str(tmp_path / "a b=c%20d+é")
+    spark.range(200, numPartitions=3).withColumn("u", F.col("id") % 50).write.parquet(path)
+    lost = positions(spark.read.parquet(path), [F.col("u")], F.col("id"))
+    kept = read_without(spark, path, deletion_vectors(deletions(lost, ["u"], True)))
+    assert rows(kept.select("id")) == sorted(((i,) for i in range(50)), key=repr)

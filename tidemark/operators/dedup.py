@@ -2,14 +2,23 @@
 
 Only the identifier, the order of delivery and the place of a row in its file
 (file, row) are shuffled.  What loses becomes a deletion vector per file, and
-the payloads are read once, in place, with those vectors applied.
+the payloads are read once, in place: each task loads the vectors of the
+files that it reads and nothing else, however many files and deletions there
+are.  A file is named by 128 bits of the hash of its path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cache
 from urllib.parse import unquote
 
+import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,28 +28,34 @@ from tidemark.session import scratch_path
 
 #: A deletion vector is stored as words of so many rows.
 WORD = 64
-VECTORS = "_tm_file string, _tm_word bigint, _tm_mask bigint"
-#: Words that are broadcast at once.
-MOST_WORDS = 500_000
+VECTORS = "_tm_h bigint, _tm_g bigint, _tm_word bigint, _tm_mask bigint"
+FILE = ["_tm_h", "_tm_g"]
+#: Files, on average, whose vectors share a folder, and vectors that a task keeps.
+FILES_A_FOLDER = 64
+KEPT = 8
+
+
+def file_name() -> list[Column]:
+    """The columns that name the file of a row in a Parquet scan."""
+    path = F.col("_metadata.file_path")
+    return [F.xxhash64(path).alias("_tm_h"), F.xxhash64(path, F.lit(1)).alias("_tm_g")]
+
+
+def row_index() -> Column:
+    return F.col("_metadata.row_index").alias("_tm_row")
 
 
 def positions(df: DataFrame, identity: Sequence[Column], order: Column, carry: Sequence[Column] = ()) -> DataFrame:
     """Identifier, order of delivery and file-row position of each row of a Parquet table."""
-    return df.select(
-        *identity,
-        order.cast("bigint").alias("_tm_order"),
-        F.col("_metadata.file_path").alias("_tm_file"),
-        F.col("_metadata.row_index").alias("_tm_row"),
-        *carry,
-    )
+    return df.select(*identity, order.cast("bigint").alias("_tm_order"), *file_name(), row_index(), *carry)
 
 
 def deletions(placed: DataFrame, identity: Sequence[str], unique_order: bool = False) -> DataFrame:
     """The rows of ``placed`` that are not the first delivery of their message.
 
     The first delivery is the row with the smallest ``_tm_order``; rows without
-    an order come last, and ties go to the first file and row, so that exactly
-    one row stays.  NULL identifiers are one message like any other value.
+    an order come last, and ties go to one file (by its name's hash) and its
+    first row, so that exactly one row stays.  NULL identifiers are one message like any other value.
 
     ``unique_order`` promises an order that is never NULL and never repeated
     over the whole input.  Winners are then found by a hash aggregate of two
@@ -51,9 +66,9 @@ def deletions(placed: DataFrame, identity: Sequence[str], unique_order: bool = F
     if unique_order:
         winners = placed.groupBy(*identity).agg(F.min("_tm_order").alias("_tm_order")).select("_tm_order")
         return _without(placed, winners, ["_tm_order"])
-    place = F.struct(F.coalesce("_tm_order", F.lit(LONG_MAX)).alias("o"), F.col("_tm_order").isNull().alias("n"), F.col("_tm_file").alias("f"), F.col("_tm_row").alias("r"))
-    winners = placed.groupBy(*identity).agg(F.min(place).alias("w")).select(F.col("w.f").alias("_tm_file"), F.col("w.r").alias("_tm_row"))
-    return _without(placed, winners, ["_tm_file", "_tm_row"])
+    place = F.struct(F.coalesce("_tm_order", F.lit(LONG_MAX)).alias("o"), F.col("_tm_order").isNull().alias("n"), F.col("_tm_h").alias("f"), F.col("_tm_g").alias("g"), F.col("_tm_row").alias("r"))
+    winners = placed.groupBy(*identity).agg(F.min(place).alias("w")).select(F.col("w.f").alias("_tm_h"), F.col("w.g").alias("_tm_g"), F.col("w.r").alias("_tm_row"))
+    return _without(placed, winners, [*FILE, "_tm_row"])
 
 
 def _without(placed: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
@@ -62,28 +77,28 @@ def _without(placed: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
 
 
 def deletion_vectors(lost: DataFrame) -> DataFrame:
-    """Deletion vectors as (``_tm_file``, ``_tm_word``, ``_tm_mask``): bit i of a word stands for row 64 * word + i."""
+    """Deletion vectors as words of files: bit i of ``_tm_mask`` stands for row 64 * ``_tm_word`` + i."""
     return (
-        lost.select("_tm_file", F.expr(f"_tm_row div {WORD}").alias("_tm_word"), F.expr(f"shiftleft(1L, CAST(_tm_row % {WORD} AS INT))").alias("_tm_bit"))
-        .groupBy("_tm_file", "_tm_word")
+        lost.select(*FILE, F.expr(f"_tm_row div {WORD}").alias("_tm_word"), F.expr(f"shiftleft(1L, CAST(_tm_row % {WORD} AS INT))").alias("_tm_bit"))
+        .groupBy(*FILE, "_tm_word")
         .agg(F.bit_or("_tm_bit").alias("_tm_mask"))
     )
 
 
-def _groups(sizes: list[tuple[str, int]], most: int) -> tuple[list[list[str]], list[str]]:
-    """Files in groups of at most ``most`` words, and those files that are beyond it alone."""
-    groups: list[list[str]] = []
-    total, alone = most + 1, []
-    for name, n in sizes:
-        if n > most:
-            alone.append(name)
-        elif total + n > most:
-            groups.append([name])
-            total = n
-        else:
-            groups[-1].append(name)
-            total += n
-    return groups, alone
+@dataclass(frozen=True)
+class Stored:
+    """Deletion vectors in the shared folder: ``path/b=<n>``, sorted by file and word, for tasks to look up."""
+
+    path: str
+    folders: int
+
+
+def store_vectors(spark: SparkSession, vectors: DataFrame, n_files: int, path: str | None = None) -> Stored:
+    """Write the vectors of a table of ``n_files`` files; small row groups, so that one file's words are read alone."""
+    stored = Stored(path or scratch_path(spark, "vectors"), max(1, -(-n_files // FILES_A_FOLDER)))
+    placed = vectors.withColumn("b", F.pmod("_tm_h", F.lit(stored.folders)))
+    placed.repartition("b").sortWithinPartitions("b", *FILE, "_tm_word").write.partitionBy("b").option("parquet.block.size", 1 << 20).parquet(stored.path)
+    return stored
 
 
 def plain_name(uri: str) -> str:
@@ -92,40 +107,67 @@ def plain_name(uri: str) -> str:
     return "/" + name[5:].lstrip("/") if name.startswith("file:") else name
 
 
-def read_without(spark: SparkSession, path: str, vectors: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+@cache
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path)
+
+
+_kept: OrderedDict = OrderedDict()
+
+
+def _words(stored: Stored, h: int, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a file, in order; kept in the Python worker while its task is at the file."""
+    at = (stored.path, h, g)
+    if at not in _kept:
+        system, root = _file_system(stored.path)
+        folder = f"{root}/b={h % stored.folders}"
+        names = [i.path for i in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.path.endswith(".parquet")]
+        found = [pq.read_table(n, filesystem=system, columns=["_tm_word", "_tm_mask"], filters=[("_tm_h", "=", h), ("_tm_g", "=", g)], partitioning=None) for n in names]
+        word, mask = (np.concatenate([np.zeros(0, np.int64), *(t[c].to_numpy() for t in found)]) for c in ("_tm_word", "_tm_mask"))
+        order = np.argsort(word)
+        _kept[at] = (word[order], mask[order].view(np.uint64))
+        while len(_kept) > KEPT:
+            _kept.popitem(last=False)
+    return _kept[at]
+
+
+def _deleted(stored: Stored) -> Column:
+    """Whether the vectors delete a row: only its file's name and index go to Python, the other columns stay where they are."""
+
+    def look_up(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for h, g, row in parts:
+            hs, gs, rows = h.to_numpy(), g.to_numpy(), row.to_numpy()
+            gone = np.zeros(len(rows), bool)
+            starts = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])]) if len(rows) else np.zeros(0, np.int64)
+            for a, z in zip(starts, np.r_[starts[1:], len(rows)]):
+                word, mask = _words(stored, int(hs[a]), int(gs[a]))
+                if len(word):
+                    at = np.minimum(np.searchsorted(word, rows[a:z] // WORD), len(word) - 1)
+                    bit = (mask[at] >> (rows[a:z] % WORD).astype(np.uint64)) & np.uint64(1)
+                    gone[a:z] = (word[at] == rows[a:z] // WORD) & (bit == 1)
+            yield pd.Series(gone)
+
+    return F.pandas_udf(look_up, "boolean")(*FILE, "_tm_row")
+
+
+def read_without(spark: SparkSession, path: str, vectors: DataFrame | Stored) -> DataFrame:
     """The rows of the Parquet table at ``path`` that ``vectors`` doesn't delete; see :func:`apply_vectors`."""
     table = spark.read.parquet(path)
-    return apply_vectors(spark, table.schema, table.inputFiles(), vectors, most_words=most_words)
+    return apply_vectors(spark, table.schema, table.inputFiles(), vectors)
 
 
-def apply_vectors(spark: SparkSession, schema: T.StructType, files: list[str], vectors: DataFrame, deleted: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
+def apply_vectors(spark: SparkSession, schema: T.StructType, files: list[str], vectors: DataFrame | Stored, deleted: bool = False) -> DataFrame:
     """The rows of some Parquet files that their vectors leave (or, with ``deleted``, only those that they delete).
 
-    The vectors are written once to the shared folder.  The files are then
-    read in groups whose vectors have at most ``most_words`` words (about
-    50 MB when broadcast, the proven bound of each broadcast); the plan is the
-    union of the groups' scans, and no payload is shuffled.  A file with more
-    words than that is joined by a shuffle of that file only.
+    Vectors that aren't stored yet are written once to the shared folder,
+    which Python workers must be able to open by its URI.  The plan is one
+    scan and one filter, of the same size however many files and vectors
+    there are; nothing is broadcast, and no payload is shuffled or sent to
+    Python.  Files without vectors are left as they are; no files give no rows.
     """
-    kept = scratch_path(spark, "vectors")
-    vectors.write.parquet(kept)
-    written = spark.read.schema(VECTORS).parquet(kept)
-    wanted = {plain_name(f) for f in files}
-    # one row per file, as in the listing that the scan's driver holds anyway
-    sizes = sorted((r["_tm_file"], r["n"]) for r in written.groupBy("_tm_file").agg(F.count("*").alias("n")).collect())
-    sizes = [(f, n) for f, n in sizes if plain_name(f) in wanted]
-    touched = {plain_name(f) for f, _ in sizes}
-    clean = [] if deleted else [unquote(f) for f in files if plain_name(f) not in touched]
-    groups, alone = _groups(sizes, most_words)
-    parts = [spark.read.schema(schema).parquet(*clean)] if clean else []
-    for names, small in [*((g, True) for g in groups), *(([f], False) for f in alone)]:
-        own = written.where(F.col("_tm_file").isin(names))
-        scan = spark.read.schema(schema).parquet(*map(unquote, names))
-        scan = scan.select("*", F.col("_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias("_tm_row"), F.expr(f"_metadata.row_index div {WORD}").alias("_tm_word"))
-        joined = scan.join(F.broadcast(own) if small else own, ["_tm_file", "_tm_word"], "inner" if deleted else "left")
-        gone = F.coalesce(F.expr(f"(shiftrightunsigned(_tm_mask, CAST(_tm_row % {WORD} AS INT)) & 1L) = 1L"), F.lit(False))
-        parts.append(joined.where(gone if deleted else ~gone).drop("_tm_file", "_tm_row", "_tm_word", "_tm_mask"))
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not files:
+        return spark.createDataFrame([], schema)
+    stored = vectors if isinstance(vectors, Stored) else store_vectors(spark, vectors, len(files))
+    scan = spark.read.schema(schema).parquet(*map(unquote, files)).select("*", *file_name(), row_index())
+    gone = _deleted(stored)
+    return scan.where(gone if deleted else ~gone).drop(*FILE, "_tm_row")

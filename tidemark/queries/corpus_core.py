@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.records import IDENTITY, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, payload_time, strict_json, uuid_key_text
 from tidemark.operators import cdc, dedup, hot_keys, incremental, late_events
 from tidemark.operators.stream import KeyedStream
 from tidemark.operators.tables import Table
 from tidemark.plans.topology import Node
-from tidemark.session import table, written
+from tidemark.session import scratch_path, table, written
+from tidemark.sources.versioned import VersionedTable, run_incrementally
 
 LOGS = ("transaction_records", "account_detail_records", "customer_profile_records")
 FEEDS = LOGS[1:]
@@ -89,18 +91,52 @@ def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+POSITION = T.StructType([T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("newest", T.LongType())])
+
+
+def _log_table(spark: SparkSession, base: str) -> VersionedTable:
+    return VersionedTable(spark, f"{base}/log", POSITION)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Positions that the next run has to process."""
-    return incremental.unprocessed(_deliveries(spark, folder), table(spark, folder, "run_ledger"))
+    """Positions that the next run has to process: the logs as a table, the ledger as its processed version, and the difference."""
+    base = scratch_path(spark, "runs")
+    log, out = _log_table(spark, base), VersionedTable(spark, f"{base}/out", T.StructType(POSITION.fields[:3]))
+    incremental.take_over(log, incremental.log_positions(_deliveries(spark, folder)))
+    incremental.next_run(log, out, table(spark, folder, "run_ledger"))
+    return out.read()
 
 
 def p2_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The logs' files by partition and status against the committed runs."""
-    manifest = incremental.log_manifest(incremental.log_positions(_deliveries(spark, folder)))
-    diff = incremental.manifest_diff(manifest, incremental.commits(table(spark, folder, "run_ledger")))
+    """The slices of the logs' table by partition and status against the committed runs, from the manifest's entries."""
+    log = _log_table(spark, scratch_path(spark, "runs"))
+    incremental.take_over(log, incremental.log_positions(_deliveries(spark, folder)))
+    present = log.manifest()
+    entries = spark.read.schema(incremental.ENTRIES).parquet(present.details["entries"]) if present.files else spark.createDataFrame([], incremental.ENTRIES)
+    slices = entries.groupBy("topic", "partition", "file").agg(F.sum("records").alias("records"), F.max("newest").alias("newest"))
+    diff = incremental.manifest_diff(slices, incremental.commits(table(spark, folder, "run_ledger")))
     return diff.groupBy("topic", "partition", "status").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"))
 
 
+def p2_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions by the run that processed them: the log grows by a version between two runs, and each run dies once between its write and its commit."""
+    base = scratch_path(spark, "runs")
+    log, out = _log_table(spark, base), VersionedTable(spark, f"{base}/out", T.StructType([*POSITION.fields[:3], T.StructField("run", T.IntegerType())]))
+    first = _deliveries(spark, folder).groupBy("topic", "partition", "offset").agg(F.min("version").cast("bigint").alias("newest")).where("topic IS NOT NULL AND partition IS NOT NULL AND offset IS NOT NULL")
+    positions = written(first, "positions")
+    half = (positions.agg(F.max("newest").alias("m")).first()["m"] or 0) // 2
+    for run, part in enumerate((F.coalesce(F.col("newest") <= half, F.lit(False)), F.coalesce(F.col("newest") > half, F.lit(True))), 1):
+        incremental.take_over(log, positions.where(part))
+
+        def process(deltas: DataFrame, run: int = run) -> DataFrame:
+            return deltas.where("change = 'added'").withColumn("run", F.lit(run))
+
+        # the files of a run that was lost before its commit are part of no version
+        out.write_files(process(log.diff(out.manifest().processed.get(log.path, 0), log.latest())))
+        run_incrementally(log, out, process)
+    return out.read()
+
+
 # --- 3: a few keys holding most records
 
 
@@ -143,42 +179,37 @@ def p3_partitions(spark: SparkSession, folder: str) -> DataFrame:
 # --- 4: messages delivered more than once
 
 
-def _lost(spark: SparkSession, folder: str, logs: tuple[str, ...] = LOGS) -> DataFrame:
+def _lost(spark: SparkSession, folder: str) -> DataFrame:
     placed = None
-    for log in logs:
+    for log in LOGS:
         own = dedup.positions(table(spark, folder, log), message_identity(log), F.col("delivery_id"))
         placed = own if placed is None else placed.unionByName(own)
     return dedup.deletions(placed, IDENTITY, unique_order=True)
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """The deletion vectors of all logs, computed once."""
-    return written(dedup.deletion_vectors(_lost(spark, folder)), "deleted")
+def _applied(spark: SparkSession, folder: str, deleted: bool, *columns: str) -> DataFrame:
+    """The rows of all logs that one set of deletion vectors deletes or leaves, each log read in place."""
+    logs = [table(spark, folder, log) for log in LOGS]
+    vectors, out = dedup.store_vectors(spark, dedup.deletion_vectors(_lost(spark, folder)), sum(len(x.inputFiles()) for x in logs)), None
+    for rows in logs:
+        own = dedup.apply_vectors(spark, (rows.select(*columns) if columns else rows).schema, rows.inputFiles(), vectors, deleted)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that aren't the first delivery of their message: those that the deletion vectors delete, read in place."""
-    vectors, out = _vectors(spark, folder), None
-    for log in LOGS:
-        rows = table(spark, folder, log)
-        own = dedup.apply_vectors(spark, rows.select("delivery_id").schema, rows.inputFiles(), vectors, deleted=True)
-        out = own if out is None else out.unionByName(own)
-    return out
+    return _applied(spark, folder, True, "delivery_id")
 
 
 def p4_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """The first delivery of each message of all logs: whole records, each log read once in place with one set of vectors."""
-    vectors, out = _vectors(spark, folder), None
-    for log in LOGS:
-        own = dedup.read_without(spark, f"{folder}/{log}.parquet", vectors)
-        out = own if out is None else out.unionByName(own)
-    return out
+    """The first delivery of each message of all logs: whole records."""
+    return _applied(spark, folder, False)
 
 
 def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The first delivery of each message of the transaction log only, with the sizes of its payload; whole records of all logs: :func:`p4_messages`."""
-    log = "transaction_records"
-    kept = dedup.read_without(spark, f"{folder}/{log}.parquet", dedup.deletion_vectors(_lost(spark, folder, (log,))))
+    """The first delivery of each message of all logs: its place, and the sizes of its payload."""
+    kept = _applied(spark, folder, False)
     return kept.select("topic", "partition", "offset", "delivery_id", "batch_id", F.octet_length("value").alias("value_bytes"), F.size("headers").alias("n_headers"))
 
 
@@ -257,7 +288,7 @@ def message_flow(spark: SparkSession, folder: str) -> DataFrame:
     return out.df.select("key", F.col("value").alias("text"), "offset")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p3_found, p3_accounts, p3_partitions, p4_found, p4_messages, p4_kept, p5_found, p5_accounts, p5_customers, message_flow)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p2_resumed, p3_found, p3_accounts, p3_partitions, p4_found, p4_messages, p4_kept, p5_found, p5_accounts, p5_customers, message_flow)}
 
 # --- the same results in SQL
 
@@ -317,14 +348,15 @@ SQL = {
         met AS (SELECT f.topic, f.partition, f.file, f.records, f.newest, max(CASE WHEN d.s <= f.file * 256 AND d.e >= (f.file + 1) * 256 THEN d.v END) AS processed, bool_or(d.s > f.file * 256 OR d.e < (f.file + 1) * 256) AS in_part
           FROM files f LEFT JOIN done d ON d.topic = f.topic AND d.partition = f.partition AND d.s < (f.file + 1) * 256 AND d.e > f.file * 256 GROUP BY ALL)
         SELECT topic, partition, CASE WHEN processed >= newest THEN 'current' WHEN processed IS NULL AND NOT coalesce(in_part, false) THEN 'added' ELSE 'changed' END AS status, count(*) AS files, CAST(sum(records) AS BIGINT) AS records FROM met GROUP BY ALL""",
+    "p2_resumed": f"""WITH {_ALL_POS}, seen AS (SELECT topic, partition, "offset", min(batch_id) AS b FROM deliveries WHERE topic IS NOT NULL AND partition IS NOT NULL AND "offset" IS NOT NULL GROUP BY ALL)
+        SELECT topic, partition, "offset", CAST(CASE WHEN b <= (SELECT coalesce(max(b), 0) FROM seen) // 2 THEN 1 ELSE 2 END AS INT) AS run FROM seen""",
     "p3_found": f"SELECT account_no FROM (SELECT {_ACCOUNT} AS account_no, count(*) AS n FROM transaction_records GROUP BY ALL) WHERE account_no IS NOT NULL AND n * 100 >= 2 * (SELECT count(*) FROM transaction_records)",
     "p3_accounts": f"""SELECT account_no, count(*) AS n, count(*) FILTER (kind = 'account_credited') AS n_credits, count(*) FILTER (kind = 'account_debited') AS n_debits,
         CAST(coalesce(sum(CAST(amount * 100 AS BIGINT)) FILTER (kind = 'account_credited'), 0) AS BIGINT) AS credit_cents, CAST(coalesce(sum(CAST(amount * 100 AS BIGINT)) FILTER (kind = 'account_debited'), 0) AS BIGINT) AS debit_cents
         FROM ({_marked("transaction_records", "transaction", _READ_ROWS)}) WHERE account_no IS NOT NULL GROUP BY account_no""",
     "p3_partitions": "SELECT partition, count(*) AS n, CAST(floor(count(*) * 1000 / (SELECT count(*) FROM transaction_records)) AS BIGINT) AS per_mille FROM transaction_records GROUP BY partition",
     "p4_found": _LOST,
-    "p4_kept": f"""SELECT topic, partition, "offset", delivery_id, batch_id, octet_length(value) AS value_bytes, len(headers) AS n_headers FROM transaction_records
-        WHERE delivery_id NOT IN (SELECT delivery_id FROM ({_marked("transaction_records", "transaction_records", "")}) QUALIFY row_number() OVER (PARTITION BY m ORDER BY delivery_id) > 1)""",
+    "p4_kept": " UNION ALL ".join(f"SELECT topic, partition, \"offset\", delivery_id, batch_id, octet_length(value) AS value_bytes, len(headers) AS n_headers FROM {log}" for log in LOGS).replace(" UNION ALL ", f" WHERE delivery_id NOT IN ({_LOST}) UNION ALL ") + f" WHERE delivery_id NOT IN ({_LOST})",
     "p5_found": f'WITH {_STATE} SELECT topic, key, "offset" FROM state',
     "p5_customers": f"""WITH {_STATE} SELECT key, CAST(v AS BIGINT) AS version_ms, json_extract_string(t, '$.body.customer_name') AS customer_name, json_extract_string(t, '$.body.nic') AS nic, json_extract_string(t, '$.body.contact_details.phone') AS phone,
         json_extract_string(t, '$.body.contact_details.email') AS email, json_extract_string(t, '$.body.contact_details.address') AS address, json_extract_string(t, '$.body.date_of_birth') AS date_of_birth, CAST(json_extract_string(t, '$.body.updated_at') AS BIGINT) AS updated_at FROM (SELECT *, decode(raw) AS t FROM state WHERE topic = 'customer_profile')""",

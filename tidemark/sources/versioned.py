@@ -17,11 +17,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.dedup import VECTORS, apply_vectors, deletion_vectors, plain_name
+from tidemark.operators.dedup import FILE, VECTORS, Stored, apply_vectors, deletion_vectors, file_name, plain_name, row_index, store_vectors
 from tidemark.sources.files import Files, NameTaken
 
 VERSIONS = "_versions"
@@ -33,11 +33,13 @@ class CommitConflict(RuntimeError):
 
 @dataclass
 class Manifest:
-    """``files``: data file to deletion vector file (or None); ``processed``: source table to its version."""
+    """``files``: data file to its deletion vector (folder, number of folders in it, the file's name there) or None;
+    ``processed``: source table to its version; ``details``: whatever else belongs to the version."""
 
     version: int
-    files: dict[str, str | None]
+    files: dict[str, list | None]
     processed: dict[str, int] = field(default_factory=dict)
+    details: dict[str, str] = field(default_factory=dict)
 
 
 class VersionedTable:
@@ -82,55 +84,76 @@ class VersionedTable:
         df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema)).write.parquet(f"{self.path}/{folder}")
         return self.files.paths(folder, ".parquet")
 
-    def commit(self, add: list[str] | None = None, remove: list[str] | None = None, vectors: dict[str, str] | None = None, processed: dict[str, int] | None = None, base: int | None = None) -> int:
+    def commit(self, add: list[str] | None = None, remove: list[str] | None = None, vectors: dict[str, list | None] | None = None, processed: dict[str, int] | None = None, base: int | None = None, details: dict[str, str] | None = None) -> int:
         """A new version on top of ``base`` (the latest); CommitConflict if another writer was faster."""
-        old = self.manifest(base)
-        files = {f: v for f, v in old.files.items() if f not in set(remove or ())} | {f: None for f in add or ()}
+        old, gone = self.manifest(base), set(remove or ())
+        files = {f: v for f, v in old.files.items() if f not in gone} | {f: None for f in add or ()}
         files |= {f: v for f, v in (vectors or {}).items() if f in files}
         if old.version == 0 and self.files.text(f"{VERSIONS}/schema.json") is None:
             self._create(f"{VERSIONS}/schema.json", self.schema.json())
-        self._create(f"{VERSIONS}/{old.version + 1:012d}.json", json.dumps({"files": files, "processed": old.processed | (processed or {})}))
+        self._create(f"{VERSIONS}/{old.version + 1:012d}.json", json.dumps({"files": files, "processed": old.processed | (processed or {}), "details": old.details | (details or {})}))
         return old.version + 1
 
     def append(self, df: DataFrame, processed: dict[str, int] | None = None) -> int:
         return self.commit(add=self.write_files(df), processed=processed)
 
+    def rows(self, files: list[str]) -> DataFrame:
+        """The rows of data files with their places: ``_tm_path``, the file's name as in vectors, and the row's index."""
+        return self.spark.read.schema(self.schema).parquet(*files).select("*", F.col("_metadata.file_path").alias("_tm_path"), *file_name(), row_index())
+
+    def mark(self, hit: DataFrame, files: dict[str, list], before: DataFrame | None = None) -> dict[str, list]:
+        """New vectors over the rows ``hit`` (of :meth:`rows`), to be committed for ``files`` (with their names in vectors); ``before``: vectors that stay in force."""
+        words = deletion_vectors(hit)
+        if before is not None:
+            words = words.unionByName(before).groupBy(*FILE, "_tm_word").agg(F.bit_or("_tm_mask").alias("_tm_mask"))
+        stored = store_vectors(self.spark, words, len(files), f"{self.path}/vectors/{uuid.uuid4().hex}")
+        return {f: [stored.path, stored.folders, *name] for f, name in files.items()}
+
     def delete_where(self, condition: str) -> int:
         """Mark rows as deleted by new deletion vectors; data files stay as they are."""
         old = self.manifest()
         if not old.files:
             return self.commit(base=old.version)
-        hit = self.spark.read.schema(self.schema).parquet(*old.files).where(condition).select(F.col("_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias("_tm_row"))
-        words = deletion_vectors(hit)
-        before = self._vectors(old.files)
-        if before is not None:
-            # of the files that are hit now, the vectors are joined; the others keep theirs
-            words = words.unionByName(before).groupBy("_tm_file", "_tm_word").agg(F.bit_or("_tm_mask").alias("_tm_mask"))
-        folder = f"{self.path}/vectors/{uuid.uuid4().hex}"
-        words.write.parquet(folder)
-        touched = {plain_name(r["_tm_file"]) for r in self.spark.read.schema(VECTORS).parquet(folder).select("_tm_file").distinct().collect()}  # of the table's files
-        return self.commit(vectors={f: folder for f in old.files if plain_name(f) in touched}, base=old.version)
-
-    def _vectors(self, files: dict[str, str | None]) -> DataFrame | None:
-        """The words of these files' deletion vectors; a vectors folder may also hold older words of other files."""
-        by_folder: dict[str, list[str]] = {}
-        for f, v in files.items():
+        hit = self.rows(list(old.files)).where(condition)
+        # a row per file that is hit, of those of the manifest that the driver holds anyway
+        names = {plain_name(r["_tm_path"]): [r[c] for c in FILE] for r in hit.select("_tm_path", *FILE).distinct().collect()}
+        hits = {f: names[plain_name(f)] for f in old.files if plain_name(f) in names}
+        return self.commit(vectors=self.mark(hit, hits, self._vectors(old.files)) if hits else None, base=old.version)
+
+    def _vectors(self, files: dict[str, list | None]) -> DataFrame | None:
+        """The words of these files' deletion vectors; a vectors folder may also hold words of other files."""
+        folders: dict[str, list[list]] = {}
+        for v in files.values():
             if v:
-                by_folder.setdefault(v, []).append(plain_name(f))
+                folders.setdefault(v[0], []).append(v[2:])
         out = None
-        for folder, names in by_folder.items():
+        for folder, names in folders.items():
             read = self.spark.read.schema(VECTORS).parquet(folder)
-            own = read.where(_plain("_tm_file").isin(names))
+            own = read.where(F.col("_tm_h").isin([h for h, _ in names]) & F.col("_tm_g").isin([g for _, g in names]))
             out = own if out is None else out.unionByName(own)
         return out
 
-    def _scan(self, files: dict[str, str | None]) -> DataFrame:
+    def _scan(self, files: dict[str, list | None]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
-        vectors = self._vectors(files)
-        if vectors is None:
-            return self.spark.read.schema(self.schema).parquet(*files)
-        return apply_vectors(self.spark, self.schema, list(files), vectors)
+        clean = [f for f, v in files.items() if not v]
+        out = self.spark.read.schema(self.schema).parquet(*clean) if clean else None
+        marked = {f: v for f, v in files.items() if v}
+        if not marked:
+            return out
+        own = self._read_marked(marked)
+        return own if out is None else out.unionByName(own)
+
+    def _read_marked(self, files: dict[str, list], deleted: bool = False) -> DataFrame:
+        """Rows of files with vectors: a scan for each commit that left vectors in force."""
+        folders: dict[tuple, list[str]] = {}
+        for f, v in files.items():
+            folders.setdefault((v[0], v[1]), []).append(f)
+        out = None
+        for (path, n), names in folders.items():
+            own = apply_vectors(self.spark, self.schema, names, Stored(path, n), deleted)
+            out = own if out is None else out.unionByName(own)
+        return out
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._scan(self.manifest(version).files)
@@ -147,22 +170,20 @@ class VersionedTable:
         removed = {f: v for f, v in a.items() if f not in b}
         other = [f for f, v in b.items() if f in a and a[f] != v]
         out = self._scan(added).withColumn("change", F.lit("added")).unionByName(self._scan(removed).withColumn("change", F.lit("removed")))
-        if other:
+        if other and not any(b[f] for f in other):
+            # vectors that are no longer in force: what they deleted is there again
+            out = out.unionByName(self._read_marked({f: a[f] for f in other}, deleted=True).withColumn("change", F.lit("added")))
+        elif other:
             none = self.spark.createDataFrame([], VECTORS)
             before, after = (self._vectors({f: m[f] for f in other}) for m in (a, b))
             before, after = none if before is None else before, none if after is None else after
             for x, y, kind in ((after, before, "removed"), (before, after, "added")):
-                rest = x.join(y.withColumnRenamed("_tm_mask", "_tm_old"), ["_tm_file", "_tm_word"], "left")
-                words = rest.select("_tm_file", "_tm_word", F.expr("_tm_mask & ~coalesce(_tm_old, 0L)").alias("_tm_mask")).where("_tm_mask <> 0")
+                rest = x.join(y.withColumnRenamed("_tm_mask", "_tm_old"), [*FILE, "_tm_word"], "left")
+                words = rest.select(*FILE, "_tm_word", F.expr("_tm_mask & ~coalesce(_tm_old, 0L)").alias("_tm_mask")).where("_tm_mask <> 0")
                 out = out.unionByName(apply_vectors(self.spark, self.schema, other, words, deleted=True).withColumn("change", F.lit(kind)))
         return out
 
 
-def _plain(column: str) -> Column:
-    """:func:`plain_name` of a column, for names without escapes."""
-    return F.regexp_replace(column, "^file:/+", "/")
-
-
 def run_incrementally(source: VersionedTable, sink: VersionedTable, process: Callable[[DataFrame], DataFrame], name: str | None = None) -> int | None:
     """Process what changed in ``source`` since the sink's last commit; the sink's new version, or None if nothing did.
 
