@@ -8,9 +8,10 @@ the row after, and all such functions have one small form, the *patch*:
                         operations after the last delete supply, or NULL
 
 Composition of patches is associative, so an ordered run is cut into chunks,
-each chunk is folded to a patch, and patches are folded again, level by
-level: also the operations of one hot key are reduced in parallel and no
-array is longer than a chunk.  The last patch is applied to the base row.
+each chunk is folded to a patch, and the chunks' patches are folded again.
+Chunks are as wide as the root of the feed's length, so that neither level
+has longer arrays than that, however hot a key is: of a feed of 10^10 offsets
+10^5.  The last patch is applied to the base row.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Orders (offsets) in a chunk of the first level, and chunks in one of the next.
-CHUNK = 1 << 10
-FAN_IN = 1 << 12
+#: Orders (offsets) in a chunk at least.
+CHUNK = 16
 
 
 def _compose(first: Column, then: Column) -> Column:
@@ -41,38 +41,40 @@ def _fold(ordered: Column, pos_type: str) -> Column:
     return F.aggregate(ordered, nothing, lambda a, x: _compose(a, x["patch"]))
 
 
-def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, is_delete: str, place: str, tie: str | None = None, chunk: int = CHUNK, fan_in: int = FAN_IN, top: int | None = None) -> DataFrame:
+def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, is_delete: str, place: str, tie: str | None = None, chunk: int | None = None, top: Column | None = None) -> DataFrame:
     """One patch per key: ``keys``, ``reset``, ``ver``, ``pos``.
 
     ``changes``: ``order`` (bigint, the feed's order within a key), ``version``
     (number), ``is_delete`` (boolean) and ``place`` (what names the row that a
     change supplies).  A change is taken if the key has no row or its version
     is greater than the row's; a delete always counts and forgets the version.
-    Changes of equal order are ordered by ``tie``, then by place.  Changes
-    without order come first (-1); without version they are left out unless
-    they delete.  NULL keys are a key.  ``top`` is an upper bound of the
-    orders, which sets the number of levels; without it a job finds it.
+    Changes of equal order are ordered by ``tie`` (bigint), then by place.
+    Changes without order come first, in chunks of their ties; without
+    version they are left out unless they delete.  NULL keys are a key.
+
+    Chunks are ``chunk`` orders wide, by default the root of ``top``, the
+    greatest order (a scalar subquery over the feed's column, if possible;
+    else over ``changes``).
     """
     kind = changes.schema[place].dataType.simpleString()
-    at = F.coalesce(F.col(order), F.lit(-1)).cast("bigint")
+    at, by = F.col(order).cast("bigint"), F.coalesce(F.col(tie), F.lit(0)).cast("bigint") if tie else F.lit(0).cast("bigint")
     own = F.struct(
         F.col(is_delete).alias("reset"),
         F.when(~F.col(is_delete), F.col(version)).cast("double").alias("ver"),
         F.when(~F.col(is_delete), F.col(place)).alias("pos"),
     )
     usable = changes.where(F.col(is_delete) | F.col(version).isNotNull())
-    # orders of one chunk share an array: its length is bounded by the chunk, however hot the key
-    level = usable.select(*keys, at.alias("_at"), F.struct(at.alias("at"), (F.col(tie) if tie else F.lit(0)).alias("tie"), F.col(place).alias("place"), own.alias("patch")).alias("_op"))
-    if top is None:
-        top = usable.agg(F.max(at).alias("m")).first()["m"]
-    top = max(0, top or 0)
-    width = chunk
-    level = level.groupBy(*keys, F.expr(f"_at div {width}").alias("_c")).agg(F.array_sort(F.collect_list("_op")).alias("ops")).select(*keys, "_c", _fold(F.col("ops"), kind).alias("patch"))
-    chunks = top // width + 1
-    while chunks > 1:
-        level = level.groupBy(*keys, F.expr(f"_c div {fan_in}").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("_c", "patch"))).alias("ops")).select(*keys, F.col("_d").alias("_c"), _fold(F.col("ops"), kind).alias("patch"))
-        chunks = (chunks - 1) // fan_in + 1
-    return level.select(*keys, "patch.*")
+    if chunk is None:
+        greatest = top if top is not None else usable.agg(F.max(at)).scalar()
+        width = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.greatest(greatest, F.lit(0)) + 1.0))).cast("bigint")
+    else:
+        width = F.lit(chunk).cast("bigint")
+    op = F.struct(F.coalesce(at, F.lit(-1)).alias("at"), by.alias("tie"), F.col(place).alias("place"), own.alias("patch"))
+    rows = usable.select(*keys, F.coalesce(at, by).alias("_at"), at.isNotNull().alias("_known"), width.alias("_w"), op.alias("_op"))
+    level = rows.select(*keys, "_known", F.expr("_at div _w").alias("_c"), "_op")
+    chunks = level.groupBy(*keys, "_known", "_c").agg(F.array_sort(F.collect_list("_op")).alias("ops")).select(*keys, "_known", "_c", _fold(F.col("ops"), kind).alias("patch"))
+    whole = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_known", "_c", "patch"))).alias("ops")).select(*keys, _fold(F.col("ops"), kind).alias("patch"))
+    return whole.select(*keys, "patch.*")
 
 
 def apply_patches(patched: DataFrame, keys: Sequence[str], base: DataFrame | None = None) -> DataFrame:

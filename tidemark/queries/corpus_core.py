@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.records import IDENTITY, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, payload_time, strict_json, uuid_key_text
+from tidemark.functions.records import IDENTITY, LONG_MAX, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, payload_time, strict_json, uuid_key_text
 from tidemark.operators import cdc, dedup, hot_keys, incremental, late_events
 from tidemark.operators.stream import KeyedStream
 from tidemark.operators.tables import Table
@@ -219,30 +221,34 @@ def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
     """The operations of both feeds: of each message the copy with the smallest offset, if its key and value can be read.
 
-    Ties of the offset go to the earliest delivery.
+    Ties of the offset go to the earliest delivery.  ``place``: the offset,
+    the delivery and where the row is in its file.
     """
     out = None
     for log, key in zip(FEEDS, (account_key_text, uuid_key_text), strict=True):
-        own = table(spark, folder, log).select(
+        rows = table(spark, folder, log)
+        own = rows.select(
             *message_identity(log),
             "topic",
             key(F.col("key")).alias("key"),
-            "offset",
-            "delivery_id",
+            F.struct("offset", "delivery_id", *dedup.file_name(), dedup.row_index()).alias("place"),
             F.col("value").isNull().alias("is_delete"),
             payload_time(strict_json(F.col("value"), "timestamp double")["timestamp"]).alias("version"),
         )
         out = own if out is None else out.unionByName(own)
-    row = F.struct("offset", "delivery_id", "topic", "key", "is_delete", "version")
+    row = F.struct(F.coalesce("place.offset", F.lit(LONG_MAX)).alias("o"), F.col("place.delivery_id").alias("d"), "place", "topic", "key", "is_delete", "version")
     first = out.groupBy(*IDENTITY).agg(F.min(row).alias("r")).select("r.*")
-    return first.where("key IS NOT NULL AND (is_delete OR version IS NOT NULL)")
+    return first.where("key IS NOT NULL AND (is_delete OR version IS NOT NULL)").select("topic", "key", "place", "place.offset", "place.delivery_id", "is_delete", "version")
 
 
-def _state(spark: SparkSession, folder: str) -> DataFrame:
-    changes = _changes(spark, folder).withColumn("place", F.struct("offset", "delivery_id"))
+def _patches(spark: SparkSession, folder: str, changes: DataFrame) -> DataFrame:
     # the greatest offset of the feeds as they are, from one column each
-    top = max(table(spark, folder, log).agg(F.max("offset").alias("m")).first()["m"] or 0 for log in FEEDS)
-    return cdc.apply_patches(cdc.patches(changes, ["topic", "key"], "offset", "version", "is_delete", "place", tie="delivery_id", top=top), ["topic", "key"])
+    one, two = (table(spark, folder, log).select("offset") for log in FEEDS)
+    return cdc.patches(changes, ["topic", "key"], "offset", "version", "is_delete", "place", tie="delivery_id", top=one.unionByName(two).agg(F.max("offset")).scalar())
+
+
+def _state(spark: SparkSession, folder: str) -> DataFrame:
+    return cdc.apply_patches(_patches(spark, folder, _changes(spark, folder)), ["topic", "key"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,22 +256,38 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _state(spark, folder).select("topic", "key", F.col("pos.offset").alias("offset"))
 
 
-def _current(spark: SparkSession, folder: str, log: str, body: str) -> DataFrame:
-    """The current rows of a feed: ``key``, ``version_ms`` and the members of the payload's body."""
+def p5_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same state in two steps: a base table from the first half of each feed's offsets, and the patches of the rest on top of it.
+
+    A message counts in the half of its first copy; patches don't need the
+    rows of the base.
+    """
+    changes = written(_changes(spark, folder), "changes")
+    half = changes.agg(F.max("offset")).scalar() / 2
+    keys = ["topic", "key"]
+    base = cdc.apply_patches(_patches(spark, folder, changes.where(F.col("offset") <= half)), keys)
+    after = cdc.apply_patches(_patches(spark, folder, changes.where(F.col("offset") > half)), keys, written(base, "base"))
+    return after.select("topic", "key", F.col("pos.offset").alias("offset"))
+
+
+def _current(spark: SparkSession, folder: str, log: str, key: Callable[[Column], Column], body: str) -> DataFrame:
+    """The current rows of a feed: ``key``, ``version_ms`` and the members of the payload's body, read where they are."""
     topic = log.removesuffix("_records")
-    current = _state(spark, folder).where(F.col("topic") == topic).select("key", F.col("pos.delivery_id").alias("delivery_id"), F.col("ver").cast("bigint").alias("version_ms"))
-    rows = table(spark, folder, log).select("delivery_id", "value")
-    return rows.join(current, "delivery_id").select("key", "version_ms", strict_json(F.col("value"), f"body struct<{body}>, timestamp double")["body"].alias("b")).select("key", "version_ms", "b.*")
+    rows = table(spark, folder, log)
+    current = dedup.deletion_vectors(_state(spark, folder).where(F.col("topic") == topic).select("pos.*"))
+    found = dedup.apply_vectors(spark, rows.select("key", "value").schema, rows.inputFiles(), current, deleted=True)
+    read = found.select(key(F.col("key")).alias("key"), strict_json(F.col("value"), f"body struct<{body}>, timestamp double").alias("p"))
+    return read.select("key", payload_time(F.col("p.timestamp")).cast("bigint").alias("version_ms"), "p.body.*")
 
 
 def p5_accounts(spark: SparkSession, folder: str) -> DataFrame:
     """The current row of each account."""
-    return _current(spark, folder, FEEDS[0], "account_type string, customer_id string, branch string, branch_code int, updated_at bigint")
+    return _current(spark, folder, FEEDS[0], account_key_text, "account_type string, customer_id string, branch string, branch_code int, updated_at bigint")
 
 
 def p5_customers(spark: SparkSession, folder: str) -> DataFrame:
     """The current row of each customer."""
-    rows = _current(spark, folder, FEEDS[1], "customer_name string, nic string, contact_details struct<phone: string, email: string, address: string>, date_of_birth string, updated_at bigint")
+    rows = _current(spark, folder, FEEDS[1], uuid_key_text, "customer_name string, nic string, contact_details struct<phone: string, email: string, address: string>, date_of_birth string, updated_at bigint")
     return rows.select("key", "version_ms", "customer_name", "nic", "contact_details.phone", "contact_details.email", "contact_details.address", "date_of_birth", "updated_at")
 
 
@@ -288,7 +310,7 @@ def message_flow(spark: SparkSession, folder: str) -> DataFrame:
     return out.df.select("key", F.col("value").alias("text"), "offset")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p2_resumed, p3_found, p3_accounts, p3_partitions, p4_found, p4_messages, p4_kept, p5_found, p5_accounts, p5_customers, message_flow)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_diverted, p2_found, p2_files, p2_resumed, p3_found, p3_accounts, p3_partitions, p4_found, p4_messages, p4_kept, p5_found, p5_resumed, p5_accounts, p5_customers, message_flow)}
 
 # --- the same results in SQL
 
@@ -358,6 +380,7 @@ SQL = {
     "p4_found": _LOST,
     "p4_kept": " UNION ALL ".join(f"SELECT topic, partition, \"offset\", delivery_id, batch_id, octet_length(value) AS value_bytes, len(headers) AS n_headers FROM {log}" for log in LOGS).replace(" UNION ALL ", f" WHERE delivery_id NOT IN ({_LOST}) UNION ALL ") + f" WHERE delivery_id NOT IN ({_LOST})",
     "p5_found": f'WITH {_STATE} SELECT topic, key, "offset" FROM state',
+    "p5_resumed": f'WITH {_STATE} SELECT topic, key, "offset" FROM state',
     "p5_customers": f"""WITH {_STATE} SELECT key, CAST(v AS BIGINT) AS version_ms, json_extract_string(t, '$.body.customer_name') AS customer_name, json_extract_string(t, '$.body.nic') AS nic, json_extract_string(t, '$.body.contact_details.phone') AS phone,
         json_extract_string(t, '$.body.contact_details.email') AS email, json_extract_string(t, '$.body.contact_details.address') AS address, json_extract_string(t, '$.body.date_of_birth') AS date_of_birth, CAST(json_extract_string(t, '$.body.updated_at') AS BIGINT) AS updated_at FROM (SELECT *, decode(raw) AS t FROM state WHERE topic = 'customer_profile')""",
     "message_flow": f"""WITH {_FIRST}, {_STATE}, acc AS (SELECT try_cast(key AS BIGINT) AS account, lower(json_extract_string(decode(raw), '$.body.customer_id')) AS customer_id FROM state WHERE topic = 'account_detail'),

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The planner's estimates from here on stand for no estimate.
+UNKNOWN_BYTES = 1 << 60
+
+
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the engine relies on.
 
@@ -82,10 +86,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def input_splits(df: DataFrame) -> int:
-    """How many input splits the planner expects to read for ``df``; nothing is run for it."""
+    """How many input splits the planner expects to read for ``df``, 1 where it knows nothing of the size; nothing is run for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     each = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    return max(1, -(-size // each))
+    return 1 if size >= UNKNOWN_BYTES else max(1, -(-size // each))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -129,7 +129,7 @@ class VersionedTable:
         out = None
         for folder, names in folders.items():
             read = self.spark.read.schema(VECTORS).parquet(folder)
-            own = read.where(F.col("_tm_h").isin([h for h, _ in names]) & F.col("_tm_g").isin([g for _, g in names]))
+            own = read.select(*FILE, "_tm_word", "_tm_mask").where(F.col("_tm_h").isin([h for h, _ in names]) & F.col("_tm_g").isin([g for _, g in names]))
             out = own if out is None else out.unionByName(own)
         return out
 
