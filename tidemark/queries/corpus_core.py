@@ -218,11 +218,11 @@ def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
 # --- 5: a stream of inserts, updates and deletes
 
 
-def _changes(spark: SparkSession, folder: str) -> DataFrame:
+def _changes(spark: SparkSession, folder: str, placed: bool = False) -> DataFrame:
     """The operations of both feeds: of each message the copy with the smallest offset, if its key and value can be read.
 
     Ties of the offset go to the earliest delivery.  ``place``: the offset,
-    the delivery and where the row is in its file.
+    the delivery and, with ``placed``, where the row is in its file.
     """
     out = None
     for log, key in zip(FEEDS, (account_key_text, uuid_key_text), strict=True):
@@ -231,7 +231,7 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
             *message_identity(log),
             "topic",
             key(F.col("key")).alias("key"),
-            F.struct("offset", "delivery_id", *dedup.file_name(), dedup.row_index()).alias("place"),
+            F.struct("offset", "delivery_id", *([*dedup.file_name(), dedup.row_index()] if placed else [])).alias("place"),
             F.col("value").isNull().alias("is_delete"),
             payload_time(strict_json(F.col("value"), "timestamp double")["timestamp"]).alias("version"),
         )
@@ -247,8 +247,8 @@ def _patches(spark: SparkSession, folder: str, changes: DataFrame) -> DataFrame:
     return cdc.patches(changes, ["topic", "key"], "offset", "version", "is_delete", "place", tie="delivery_id", top=one.unionByName(two).agg(F.max("offset")).scalar())
 
 
-def _state(spark: SparkSession, folder: str) -> DataFrame:
-    return cdc.apply_patches(_patches(spark, folder, _changes(spark, folder)), ["topic", "key"])
+def _state(spark: SparkSession, folder: str, placed: bool = False) -> DataFrame:
+    return cdc.apply_patches(_patches(spark, folder, _changes(spark, folder, placed)), ["topic", "key"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,7 +274,7 @@ def _current(spark: SparkSession, folder: str, log: str, key: Callable[[Column],
     """The current rows of a feed: ``key``, ``version_ms`` and the members of the payload's body, read where they are."""
     topic = log.removesuffix("_records")
     rows = table(spark, folder, log)
-    current = dedup.deletion_vectors(_state(spark, folder).where(F.col("topic") == topic).select("pos.*"))
+    current = dedup.deletion_vectors(_state(spark, folder, placed=True).where(F.col("topic") == topic).select("pos.*"))
     found = dedup.apply_vectors(spark, rows.select("key", "value").schema, rows.inputFiles(), current, deleted=True)
     read = found.select(key(F.col("key")).alias("key"), strict_json(F.col("value"), f"body struct<{body}>, timestamp double").alias("p"))
     return read.select("key", payload_time(F.col("p.timestamp")).cast("bigint").alias("version_ms"), "p.body.*")

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: The planner's estimates from here on stand for no estimate.
@@ -92,6 +93,21 @@ def input_splits(df: DataFrame) -> int:
     return 1 if size >= UNKNOWN_BYTES else max(1, -(-size // each))
 
 
+_schemas: dict[tuple, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder."""
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """One Parquet table of a data folder.
+
+    Finding out a schema takes a job; it is kept with the path's time and
+    length as they are now, so a table that changes is looked at again.
+    """
+    path = os.path.join(folder, f"{name}.parquet")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    known = (path, status.getModificationTime(), status.getLen())
+    if not known[1]:  # a store that keeps no times of folders
+        return spark.read.parquet(path)
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
