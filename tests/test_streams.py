@@ -164,3 +164,40 @@ def test_graph(spark):
     b = j.branch({"a": "true"})["a"]
     dot = to_dot(b.node, j.node)
     assert dot.startswith("digraph") and dot.count("->") == 5 and '\\"one\\"' in dot
+
+
+def test_functions_that_fail(spark):
+    """What raises or can't be computed drops its own record, as an error row, and no other."""
+    s = stream(spark, [(1, "7"), (2, "x"), (3, None), (4, "0")])
+    cast = s.map_values("CAST(value AS bigint)")
+    assert pairs(cast) == [(1, 7), (3, None), (4, 0)] and rows(cast.errors.select("stage", "offset", "reason")) == [("map_values", 1, "function failed")]
+    over = cast.map("key", F.lit(1) / F.col("value"))
+    assert pairs(over) == [(1, 1 / 7), (3, None)] and rows(over.errors.select("stage", "offset")) == [("map", 3), ("map_values", 1)]
+    some = s.filter("CAST(value AS int) > 1")
+    assert pairs(some) == [(1, "7")] and rows(some.errors.select("offset")) == [(1,)]
+    assert s.filter("value > 'a'").errors is None and s.map_values(F.upper("value")).errors is None
+
+    def picky(k, v):
+        return v.map(lambda x: None if x is None else int(x)).astype("Int64")
+
+    made = s.map_values(picky, returns="bigint")
+    assert pairs(made) == [(1, 7), (3, None), (4, 0)] and rows(made.errors.select("offset", "reason")) == [(1, "function failed")]
+    assert pairs(s.select_key(lambda k, v: k + v.map(len), returns="bigint")) == [(2, "7"), (3, "x"), (5, "0")]
+    assert pairs(s.branch({"n": "CAST(value AS int) = 7"})["n"]) == [(1, "7")]
+
+    def effect(k, v):
+        if (v == "x").any():
+            raise RuntimeError("no")
+
+    done = s.peek(effect=effect)
+    assert pairs(done) == [(1, "7"), (3, None), (4, "0")] and rows(done.errors.select("stage", "offset")) == [("peek", 1)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_errors_of_both_sides_of_a_join(spark):
+    left = stream(spark, [(1, "1"), (2, "x")]).map_values("CAST(value AS int)", "left cast")
+    right = stream(spark, [(1, "y"), (1, "2")])
+    right = KeyedStream.source(right.df.withColumn("offset", F.col("offset") + 10)).map_values("CAST(value AS int)", "right cast")
+    joined = left.join_stream(right)
+    assert rows(joined.df.select("value.left", "value.right")) == [(1, 2)]
+    assert rows(joined.errors.select("stage", "offset")) == [("left cast", 1), ("right cast", 10)]

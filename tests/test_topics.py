@@ -1,6 +1,7 @@
 """Topic logs, sinks and running queries."""
 
 import json
+import time
 import urllib.request
 
 import pytest
@@ -13,6 +14,7 @@ from tidemark.operators import sinks, tables
 from tidemark.operators.joins import paired
 from tidemark.operators.stores import IndexedStore, Registry
 from tidemark.operators.stream import KeyedStream
+from tidemark.operators.tables import Table
 from tidemark.plans.config import EngineConfig, StreamConfig
 from tidemark.serving import PAGE, answer, serve
 from tidemark.sources import kafka
@@ -114,6 +116,70 @@ def test_stateless_stream_equals_batch(spark, logs, tmp_path):
     assert logs.read("out").count() == 41
 
 
+def test_running_errors_are_dead_letters(spark, logs, tmp_path):
+    """Undecodable, failing, missing and unencodable records of a running query: each once, in the topic of dead letters."""
+    logs.create("in")
+    logs.append("in", messages(spark, (1, "5"), (2, "x"), ("k", "7"), (3, "8"), (9, "4")))
+    table = Table(spark.createDataFrame([(1, "a"), (3, "b")], "key bigint, value string"))
+
+    def run():
+        s = KeyedStream.source(logs.read_stream("in"), IntCodec(), StringCodec()).map_values("CAST(value AS int)").join_table(table, value=F.col("right"))
+        sinks.to(s, logs, "out", IntCodec(), StringCodec(), checkpoint=str(tmp_path / "cp"), errors="dead").awaitTermination(120)
+
+    run()
+    assert rows(logs.read("out").select(F.col("value").cast("string"))) == [("a",), ("b",)]
+    want = ["function failed", "no row under the key", "undecodable key"]
+    assert sorted(json.loads(r["value"])["reason"] for r in logs.read("dead").collect()) == want
+    logs.append("in", messages(spark, (1, "y")))
+    run()
+    run()
+    assert sorted(json.loads(r["value"])["reason"] for r in logs.read("dead").collect()) == sorted([*want, "function failed"])
+
+
+def test_a_sink_runs_on(spark, logs, tmp_path):
+    logs.create("in")
+    logs.append("in", messages(spark, (1, "a")))
+    s = KeyedStream.source(logs.read_stream("in"), IntCodec(), StringCodec())
+    query = sinks.to(s, logs, "out", IntCodec(), StringCodec(), checkpoint=str(tmp_path / "cp"), trigger="100 milliseconds", name="on")
+    try:
+        for n, more in ((1, None), (2, (2, "b"))):
+            if more:
+                logs.append("in", messages(spark, more))
+            end = time.time() + 60
+            while time.time() < end and logs.read("out").count() < n:
+                time.sleep(0.3)
+            assert logs.read("out").count() == n
+    finally:
+        query.stop()
+
+
+def test_scan_is_bounded_then_live(spark, logs, tmp_path):
+    logs.create("in", 2)
+    logs.append("in", messages(spark, *[(i, i) for i in range(20)]))
+    seen, ended = [], []
+    query = logs.scan("in", lambda df, _: seen.extend(r["key"] for r in df.collect()), lambda ends: ended.append((len(seen), ends)), str(tmp_path / "cp"), trigger="100 milliseconds")
+    try:
+        assert len(ended) == 1 and ended[0][0] == 20 and sum(ended[0][1].values()) == 20
+        logs.append("in", messages(spark, ("new", 1)))
+        end = time.time() + 60
+        while time.time() < end and len(seen) < 21:
+            time.sleep(0.3)
+        assert seen[-1] == b"new" and len(seen) == 21 and len(ended) == 1
+    finally:
+        query.stop()
+
+
+def test_offsets_go_on_without_reading(spark, logs):
+    """The ends are kept with each batch; those that a lost writer left without are made up for; a partitioner of the user's."""
+    logs.create("t", 3)
+    for _ in range(2):
+        logs.append("t", messages(spark, *[(i, i) for i in range(9)]), F.length("value") + F.ascii("value"))
+    logs.files.delete("t/batch=1/_ends.json")
+    logs.append("t", messages(spark, *[(i, i) for i in range(9)]), F.length("value") + F.ascii("value"))
+    assert rows(logs.read("t").groupBy("partition").agg(F.min("offset"), F.max("offset"), F.count_distinct("offset"))) == [(p, 0, 8, 9) for p in range(3)]
+    assert rows(logs.offsets("t")) == [(p, 0, 8, 9) for p in range(3)]
+
+
 def test_running_join_equals_batch(spark, tmp_path):
     import random
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import running
-from tidemark.operators.stream import Expr, KeyedStream, column
+from tidemark.operators.stream import Expr, KeyedStream, both_errors, column, lenient
 from tidemark.operators.tables import Table
 from tidemark.plans.topology import Node
 
@@ -33,17 +33,17 @@ def join_table(stream: KeyedStream, table: object, on: Expr | None = None, value
         raise TypeError("join_table joins a stream with a table")
     if how not in (LEFT, INNER):
         raise ValueError("how is 'left' or 'inner'")
-    mapped = stream.df.withColumn("_tm_on", column(on) if on is not None else F.col("key"))
+    with lenient(stream.df.sparkSession):
+        mapped = stream.df.withColumn("_tm_on", column(on) if on is not None else F.col("key"))
     rows = table.df.select(F.col("key").alias("_tm_table_key"), F.struct(F.col("value")).alias("_tm_right"))
     match = F.col("_tm_on") == F.col("_tm_table_key")
     found = mapped.where("_tm_on IS NOT NULL").join(rows, match, how)
     found = found.withColumn("right", F.col("_tm_right.value"))
     joined = found.withColumn("value", column(value) if value is not None else F.struct(F.col("value").alias("left"), F.col("right"))).drop("_tm_on", "_tm_table_key", "_tm_right", "right")
     out = replace(stream, df=joined, node=Node("joiner", f"{name} ({how})", (stream.node, table.node)))
-    if not stream.df.isStreaming:
-        out = out._with_errors(mapped.where("_tm_on IS NULL"), name, F.lit("key mapping failed"))
-        if how == INNER:
-            out = out._with_errors(mapped.where("_tm_on IS NOT NULL").join(rows, match, "left_anti"), name, F.lit("no row under the key"))
+    out = out._with_errors(mapped.where("_tm_on IS NULL"), name, F.lit("key mapping failed"))
+    if how == INNER:
+        out = out._with_errors(mapped.where("_tm_on IS NOT NULL").join(rows, match, "left_anti"), name, F.lit("no row under the key"))
     return out
 
 
@@ -106,4 +106,4 @@ def join_stream(left: KeyedStream, right: KeyedStream, value: Expr | None = None
     pairs = paired(left.df, right.df, "key", "offset", F.col("value"), F.col("value"))
     made = column(value) if value is not None else F.struct("left", "right")
     df = pairs.select("key", made.alias("value"), F.col("order").alias("offset"))
-    return KeyedStream(df, Node("stream_joiner", name, (left.node, right.node)), left.errors, left.key_selected or right.key_selected)
+    return KeyedStream(df, Node("stream_joiner", name, (left.node, right.node)), both_errors(left, right), left.key_selected or right.key_selected)

@@ -82,7 +82,7 @@ def running(
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, reset: Column, name: str, width: int = WIDTH, nullable: bool = False) -> DataFrame:
-    """``df`` with each row's number under its key since the last earlier row for which ``reset`` is true, from 1."""
+    """``df`` with each row's number under its key since the last earlier row for which ``reset`` is true, from 1; a column of that name is replaced."""
     ordered = Window.partitionBy(*keys, "_tm_stretch").orderBy(order)
     own = _stretched(df.withColumn("_tm_reset", F.coalesce(reset, F.lit(False))), order, width)
     own = own.select("*", F.row_number().over(ordered).cast("bigint").alias("_tm_n"), F.lead(F.lit(True)).over(ordered).alias("_tm_more"))
@@ -94,4 +94,4 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, reset: Column, name
     joined = _joined(own, carry, keys, nullable)
     # rows behind a reset of their own stretch need nothing from the stretches before
     since = F.when(F.col("_tm_at").isNotNull(), F.col("_tm_n") - F.col("_tm_at")).otherwise(F.coalesce(F.col("_tm_base"), F.lit(0)) + F.col("_tm_n") - F.coalesce(F.col("_tm_last"), F.lit(0)))
-    return joined.select(*columns(df), since.alias(name))
+    return joined.select(*columns(df.drop(name)), since.alias(name))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.serdes import Codec
@@ -28,7 +29,7 @@ class SinkOptions:
     headers: Expr | None = None
     tombstone: Expr | None = None
     prefix: str | None = None
-    partitioner: str = "hash"
+    partitioner: str | Column = "hash"
 
 
 def topic_name(topic: str, prefix: str | None = None) -> str:
@@ -64,31 +65,65 @@ def encoded(stream: KeyedStream, topic: str, key: Codec, value: Codec, options:
     return replace(stream, df=good, node=Node("sink", topic, (stream.node,)))._with_errors(marked.where("_tm_bad IS NOT NULL"), f"sink {topic}", F.col("_tm_bad"))
 
 
-def to(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Codec, options: SinkOptions = SinkOptions(), checkpoint: str | None = None, errors: str | None = None) -> StreamingQuery | int:
+def to(
+    stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Codec, options: SinkOptions = SinkOptions(),
+    checkpoint: str | None = None, errors: str | None = None, trigger: str | None = None, name: str | None = None,
+) -> StreamingQuery | int:
     """Write the stream to a topic: a batch number, or the running query of a streaming pipeline.
 
     ``errors`` names the topic of dropped records (dead letters).  A running
-    query needs a ``checkpoint`` folder; an append is made once for each
-    micro-batch, since its number is committed with the data.
+    query needs a ``checkpoint`` folder and goes on with ``trigger`` (as
+    '1 second') or, without it, ends when it has written what there is; it
+    writes its records and its dead letters in the same micro-batch.  Each
+    append is made once for each micro-batch, since its number is committed
+    with the data.
     """
     ready = encoded(stream, topic, key, value, options)
-    name = topic_name(topic, options.prefix)
-    logs.create(name)
+    target = topic_name(topic, options.prefix)
+    logs.create(target)
+    letters = _letters(ready.errors) if errors and ready.errors is not None else None
+    if errors:
+        logs.create(errors)
+    kept = ["key", "value", "headers", "timestamp", "offset", *(["partition"] if isinstance(options.partitioner, str) and options.partitioner == "manual" else [])]
+    records = ready.df.select(*(c for c in kept if c in ready.df.columns))
 
     def put(df: DataFrame, once: str | None = None) -> int:
-        order = F.col("offset") if "offset" in df.columns else None
-        return logs.append(name, df.select(*(c for c in ("key", "value", "headers", "timestamp", "partition", "offset") if c in df.columns)).drop(*(["partition"] if options.partitioner != "manual" else [])), options.partitioner, order, once=once)
+        return logs.append(target, df, options.partitioner, F.col("offset") if "offset" in df.columns else None, once=once)
 
-    if not ready.df.isStreaming:
-        if errors and ready.errors is not None:
-            dead_letters(ready.errors, logs, errors)
-        return put(ready.df)
+    def put_letters(df: DataFrame, once: str | None = None) -> int:
+        return logs.append(errors, df, once=once)
+
+    if not records.isStreaming:
+        if letters is not None:
+            put_letters(letters)
+        return put(records)
     if checkpoint is None:
         raise ValueError("a streaming sink needs a checkpoint folder")
-    return ready.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_once(put, logs, name, checkpoint)).trigger(availableNow=True).start()
+    writers = [_once(put, logs, target, checkpoint, "written")]
+    out = records
+    if letters is not None:
+        # one query for both, so that a record and its error can't be lost between two
+        nothing = lambda df: F.lit(None).cast(T.StructType(df.schema.fields))
+        out = records.select(F.struct(*records.columns).alias("r"), nothing(letters).alias("e")).unionByName(letters.select(nothing(records).alias("r"), F.struct(*letters.columns).alias("e")))
+        writers.append(_once(put_letters, logs, errors, checkpoint, "written-errors"))
+
+    def write(df: DataFrame, number: int) -> None:
+        if letters is None:
+            writers[0](df, number)
+            return
+        df = df.persist()
+        try:
+            for member, w in zip("re", writers, strict=True):
+                w(df.where(F.col(member).isNotNull()).select(f"{member}.*"), number)
+        finally:
+            df.unpersist()
+
+    writer = out.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = writer.queryName(name) if name else writer
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
-def _once(put, logs: TopicLogs, topic: str, checkpoint: str):
+def _once(put, logs: TopicLogs, topic: str, checkpoint: str, folder: str):
     """A foreachBatch function that skips a micro-batch which it has written before.
 
     The data carry the checkpoint's own id and the micro-batch's number and
@@ -97,7 +132,7 @@ def _once(put, logs: TopicLogs, topic: str, checkpoint: str):
     """
 
     def write(df: DataFrame, number: int) -> None:
-        marks = Files(df.sparkSession, f"{checkpoint.rstrip('/')}/written")
+        marks = Files(df.sparkSession, f"{checkpoint.rstrip('/')}/{folder}")
         if marks.exists(str(number)):
             return
         if not marks.exists("id"):
@@ -112,13 +147,23 @@ def _once(put, logs: TopicLogs, topic: str, checkpoint: str):
 def dead_letters(errors: DataFrame, logs: TopicLogs, topic: str) -> int:
     """Error rows as records: the origin as key, the row as JSON value."""
     logs.create(topic)
+    return logs.append(topic, _letters(errors))
+
+
+def _letters(errors: DataFrame) -> DataFrame:
     key = F.concat_ws("_", "topic", "partition", "offset")
-    return logs.append(topic, errors.select(key.alias("key"), F.to_json(F.struct(*errors.columns)).alias("value")))
+    return errors.select(key.cast("binary").alias("key"), F.to_json(F.struct(*errors.columns)).cast("binary").alias("value"))
 
 
-def through(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Codec, options: SinkOptions = SinkOptions()) -> KeyedStream:
-    """Write the stream to a topic and go on from there; the new stream has the topic's positions."""
-    to(stream, logs, topic, key, value, options)
+def through(stream: KeyedStream, logs: TopicLogs, topic: str, key: Codec, value: Codec, options: SinkOptions = SinkOptions(), checkpoint: str | None = None) -> KeyedStream:
+    """Write the stream to a topic and go on from there; the new stream has the topic's positions.
+
+    A streaming pipeline is written up to the present end of its sources, and
+    goes on from the topic's records as they are then.
+    """
+    done = to(stream, logs, topic, key, value, options, checkpoint)
+    if isinstance(done, StreamingQuery):
+        done.awaitTermination()
     again = KeyedStream.source(logs.read(topic_name(topic, options.prefix)), key, value, topic)
     return replace(again, node=Node("through", topic, (stream.node,)))
 

@@ -9,11 +9,12 @@ folders.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators.scan import running
 from tidemark.sources.files import Files, NameTaken
@@ -34,6 +35,7 @@ STORED = T.StructType([*RECORD, T.StructField("batch", T.LongType()), T.StructFi
 EARLIEST, LATEST = -2, -1
 HASH, MANUAL, RANDOM = "hash", "manual", "random"
 _SETTINGS = "_topic.json"
+_ENDS = "_ends.json"
 
 
 class TopicExists(ValueError):
@@ -92,14 +94,16 @@ class TopicLogs:
 
     # producing
 
-    def append(self, topic: str, records: DataFrame, partitioner: str = HASH, order: Column | None = None, uuid: Column | None = None, once: str | None = None) -> int:
+    def append(self, topic: str, records: DataFrame, partitioner: str | Column = HASH, order: Column | None = None, uuid: Column | None = None, once: str | None = None) -> int:
         """Append the records (``key``, ``value`` bytes; optional ``headers``, ``timestamp``, ``partition``); the batch's number.
 
         ``hash``: equal keys share a partition, NULL keys are partition 0;
-        ``manual``: the column ``partition``; ``random``: any.  Offsets go on
+        ``manual``: the column ``partition``; ``random``: any; or an expression
+        of the key and value.  Offsets go on
         from the partition's last, in the order of ``order`` (bigint) or as the
         rows come; they are counted split by split, so a partition with a
-        third of all rows isn't numbered by one task.  ``uuid`` computes the
+        third of all rows isn't numbered by one task.  Where they go on is
+        kept with each batch, so earlier ones aren't read.  ``uuid`` computes the
         records' uuid; default random.  ``once`` names the append (no ``=`` or
         ``/``); the name is kept with the data and appears in one step with
         it, so :meth:`appended` tells whether it was made.
@@ -110,7 +114,7 @@ class TopicLogs:
             HASH: F.coalesce(F.pmod(F.xxhash64("key"), F.lit(n)), F.lit(0)) if "key" in have else F.lit(0),
             MANUAL: F.col("partition") if "partition" in have else None,
             RANDOM: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)),
-        }.get(partitioner)
+        }.get(partitioner) if isinstance(partitioner, str) else F.pmod(partitioner.cast("bigint"), F.lit(n))
         if place is None:
             raise ValueError("partitioner is 'hash', 'random' or 'manual' with a column partition")
         row = records.select(
@@ -123,10 +127,13 @@ class TopicLogs:
             place.cast("int").alias("partition"),
             (order if order is not None else F.monotonically_increasing_id()).alias("_order"),
         )
-        ends = self.offsets(topic).select("partition", (F.col("latest") + 1).alias("_from"))
         batch = self._next_batch(topic)
+        ends = self._ends(topic, batch)
         counted = running(row, ["partition"], "_order", sums={"_n": F.lit(1)}, **({} if order is not None else {"width": 1 << 33}))
-        placed = counted.join(ends, "partition", "left").withColumn("offset", F.coalesce("_from", F.lit(0)) + F.col("_n") - 1)
+        start = F.lit(0).cast("bigint")
+        for p, end in ends.items():
+            start = F.when(F.col("partition") == p, end).otherwise(start)
+        placed = counted.withColumn("offset", start + F.col("_n") - 1)
         out = f"{self._folder(topic)}/batch={batch}"
         # readers pass over what begins with _
         staged = out if once is None else f"{self._folder(topic)}/_staged-{once}"
@@ -138,8 +145,36 @@ class TopicLogs:
             self.files.rename(f"{topic}/_staged-{once}", f"{topic}/batch={batch}")
             if self.appended(topic, once, batch - 1) != batch:  # another writer was faster: the folder was moved into its folder
                 raise NameTaken(out)
+        self._keep_ends(topic, batch, ends)
         return batch
 
+    def _counts(self, topic: str, batch: int) -> dict[int, int]:
+        """The first offset behind a batch, by partition: read from that batch only."""
+        rows = self.spark.read.schema(STORED).option("basePath", self._folder(topic)).parquet(f"{self._folder(topic)}/batch={batch}").groupBy("partition").agg(F.max("offset").alias("m")).collect()  # a row per partition
+        return {r["partition"]: r["m"] + 1 for r in rows if r["m"] is not None}
+
+    def _keep_ends(self, topic: str, batch: int, ends: Mapping[int, int]) -> dict[int, int]:
+        """The ends after a batch, kept beside it; a reader passes over what begins with _."""
+        after = dict(ends) | self._counts(topic, batch)
+        name = f"{topic}/batch={batch}/{_ENDS}"
+        if not self.files.exists(name):
+            self.files.create(name, json.dumps({str(p): n for p, n in after.items()}))
+        return after
+
+    def _ends(self, topic: str, batch: int) -> dict[int, int]:
+        """The next offset of each partition before ``batch``: from the batch before, or those that a lost writer left without ends."""
+        known, missing = {}, []
+        batches = sorted((int(d[6:]) for d in self.files.names(topic) if d.startswith("batch=") and int(d[6:]) < batch), reverse=True)
+        for b in batches:
+            text = self.files.text(f"{topic}/batch={b}/{_ENDS}")
+            if text is not None:
+                known = {int(p): n for p, n in json.loads(text).items()}
+                break
+            missing.append(b)
+        for b in reversed(missing):
+            known = self._keep_ends(topic, b, known)
+        return known
+
     def appended(self, topic: str, once: str, after: int = -1) -> int | None:
         """The batch behind ``after`` that was appended as ``once``; None if there is none."""
         batches = sorted(int(d[6:]) for d in self.files.names(topic) if d.startswith("batch="))
@@ -150,8 +185,8 @@ class TopicLogs:
 
     # consuming
 
-    def read(self, topic: str, start: int | Mapping[int, int] = EARLIEST) -> DataFrame:
-        """The records from ``start`` (EARLIEST, LATEST, an offset, or one by partition) to the present end."""
+    def read(self, topic: str, start: int | Column | Mapping[int, int] = EARLIEST) -> DataFrame:
+        """The records from ``start`` (EARLIEST, LATEST, an offset or a scalar column of one, or one by partition) to the present end."""
         self.info(topic)
         if self._next_batch(topic) == 0:
             df = self.spark.createDataFrame([], STORED)
@@ -162,10 +197,28 @@ class TopicLogs:
             for p, o in start.items():
                 cases = F.when(F.col("partition") == p, o).otherwise(cases)
             return df.where(F.col("offset") >= cases)
+        if isinstance(start, Column):
+            return df.where(F.col("offset") >= start)
         if start == LATEST:
             return df.where(F.lit(False))
         return df if start == EARLIEST else df.where(F.col("offset") >= start)
 
+    def scan(self, topic: str, on_records: Callable[[DataFrame, int], None], on_end: Callable[[dict[int, int]], None], checkpoint: str, start: int = EARLIEST, trigger: str = "1 second") -> StreamingQuery:
+        """What there is now, then, after ``on_end`` (the next offset by partition), what comes: one consumer, one checkpoint.
+
+        ``on_records`` gets each micro-batch and its number; ``on_end`` is
+        called once, when all that was there at the call has been passed on.
+        """
+        until = self._next_batch(topic)
+        ends = self._ends(topic, until)
+
+        def live() -> DataStreamWriter:
+            return self.read_stream(topic, start).writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_records)
+
+        live().trigger(availableNow=True).start().awaitTermination()
+        on_end(ends)
+        return live().trigger(processingTime=trigger).start()
+
     def read_stream(self, topic: str, start: int = EARLIEST, batches_per_trigger: int | None = None) -> DataFrame:
         """The records as a stream: those from ``start`` on, and all later appends."""
         self.info(topic)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.stream import Expr, KeyedStream, column
+from tidemark.operators.stream import Expr, KeyedStream, both_errors, column
 from tidemark.plans.topology import Node
 
 
@@ -43,7 +43,10 @@ def join_running(left: KeyedStream, right: KeyedStream, value: Expr | None = Non
     Within a micro-batch records are ordered by ``offset``; micro-batches are
     in the order of the source.  State is unbounded, as in the static rule,
     unless ``ttl_ms`` forgets keys that are idle for so long (processing
-    time).  Values are kept as JSON between micro-batches.
+    time).  Values are kept as JSON between micro-batches.  A key's records of
+    one micro-batch are put in order in memory, since groups with state come
+    unordered: bound micro-batches at the source (``batches_per_trigger``)
+    where one key may have very many.
     """
     kinds = (left.df.schema["value"].dataType, right.df.schema["value"].dataType)
     key = left.df.schema["key"].dataType
@@ -58,4 +61,4 @@ def join_running(left: KeyedStream, right: KeyedStream, value: Expr | None = Non
     sides = [F.from_json(F.when(F.col("side") == s, F.col("own")).otherwise(F.col("other")), T.StructType([T.StructField("v", k)]))["v"] for s, k in zip("LR", kinds, strict=True)]
     named = pairs.select("key", "offset", sides[0].alias("left"), sides[1].alias("right"))
     df = named.select("key", (column(value) if value is not None else F.struct("left", "right")).alias("value"), "offset")
-    return KeyedStream(df, Node("stream_joiner", name, (left.node, right.node)), None, left.key_selected or right.key_selected)
+    return KeyedStream(df, Node("stream_joiner", name, (left.node, right.node)), both_errors(left, right), left.key_selected or right.key_selected)
