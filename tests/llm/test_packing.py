@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import rows
 from tidemark.llm.packing import best_fit_decreasing, lower_bound, pack_items
 
 
@@ -36,6 +38,15 @@ def test_bounds_and_fit():
         sizes = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 9))), reverse=True)
         where, left = best_fit_decreasing(np.array(sizes), capacity)
         fill = np.bincount(where, weights=sizes, minlength=len(left))
+        # item by item, as the rule says
+        rooms = []
+        for x in sizes:
+            fits = [r for r in rooms if r >= x]
+            room = min(fits) if fits else capacity
+            if fits:
+                rooms.remove(room)
+            rooms.append(room - x)
+        assert sorted(rooms) == sorted(left.tolist())
         assert (fill + left == capacity).all() and (fill <= capacity).all()
         assert lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity) <= best(sizes, capacity) <= len(left)
     assert lower_bound(np.bincount([6] * 5, minlength=11), 10) == 5
@@ -68,9 +79,27 @@ def test_packing(spark, kind, per_part):
 
 def test_exchange_saves_containers(spark):
     rng = random.Random(8)
-    df = spark.createDataFrame([(i, rng.randrange(1, 60)) for i in range(2000)], "k bigint, n int")
-    alone, exchanged = (pack_items(df, "k", "n", 100, 30, rounds) for rounds in (0, 4))
-    assert exchanged.containers < alone.containers and exchanged.lower_bound == alone.lower_bound
+    sizes = [rng.randrange(1, 60) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k bigint, n int")
+    exchanged = pack_items(df, "k", "n", 100, 30)
+    alone = sum(len(best_fit_decreasing(np.array(sizes[i : i + 30]), 100)[1]) for i in range(0, 2000, 30))
+    assert exchanged.lower_bound <= exchanged.containers <= exchanged.lower_bound + 3 < alone
+
+
+def test_the_same_however_rows_lie(spark):
+    rng = random.Random(9)
+    data = [(i % 700, rng.randrange(1, 90) if i < 700 else 5) for i in range(900)]
+    one = pack_items(spark.createDataFrame(data, "k bigint, n int").coalesce(1), "k", "n", 100, 100)
+    rng.shuffle(data)
+    other = pack_items(spark.createDataFrame(data, "k bigint, n int").repartition(7), "k", "n", 100, 100)
+    assert rows(one.placed) == rows(other.placed)
+
+
+def test_many_equal_rows(spark):
+    """One row a third of all, in more copies than are spread at once."""
+    df = spark.range(70_000).select(F.when(F.col("id") < 68_000, -1).otherwise(F.col("id")).alias("k"), F.when(F.col("id") < 68_000, 3).otherwise(40).cast("int").alias("n"))
+    p = pack_items(df, "k", "n", 100)
+    assert p.placed.count() == 70_000 and p.lower_bound <= p.containers == p.placed.select("container").distinct().count() <= 2881
 
 
 def test_empty(spark):

@@ -61,6 +61,8 @@ def test_natural_places():
     assert all(strength[k] == s.PARAGRAPH for k in firsts[1:])
     _, strength, firsts = cut(" ".join(["word"] * 3000), 512, 32)
     assert all(strength[k] == s.WORD for k in firsts[1:]) and len(firsts) == 8
+    # the first piece has no overlap, so it may have the whole limit
+    assert s.bisect(np.zeros(1000, int), 1000, 512, 32) == [0, 500, 750]
 
 
 def test_limits(spark):

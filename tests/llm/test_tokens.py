@@ -65,6 +65,20 @@ def test_the_whole_table(spark):
         assert got.schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
 
 
+def test_only_sharing_documents_meet(spark, tmp_path):
+    """Documents with a repeated chunk are found by digests and go by the dictionary; the others are encoded where they are."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice(PIECES) for _ in range(3000))
+    own = ["".join(rng.choice("abcdefghijkl ") for _ in range(3000)) for _ in range(30)]
+    data = [(i, x + (passage if i % 5 == 0 else "")) for i, x in enumerate(own)] + [(100, None), (101, "")]
+    spark.createDataFrame(data, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert t.sharing(df.select("doc_id", "text"), "text", 6).count() == 6
+    assert rows(t.encode_corpus(df, "doc_id", "text", bits=6)) == sorted(((k, plain(x)) for k, x in data), key=repr)
+    # a part of a table is no table of files
+    assert rows(t.encode_corpus(df.where("doc_id < 7"), "doc_id", "text", bits=6)) == sorted(((k, plain(x)) for k, x in data if k < 7), key=repr)
+
+
 def test_counts_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "<|endoftext|>")], "k int, x string")
     assert rows(t.count_tokens(df, "k", "x")) == sorted([(1, 2), (2, 0), (3, 0), (None, len(plain("<|endoftext|>")))], key=repr)

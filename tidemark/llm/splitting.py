@@ -63,9 +63,9 @@ def boundary_strengths(data: bytes, places: np.ndarray) -> np.ndarray:
 def bisect(strength: np.ndarray, size: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     """First tokens of the pieces' own parts: 0, then the cuts, in order.
 
-    A stretch of more than ``limit - overlap`` tokens is cut in its middle
-    half at the strongest boundary, of several at the one nearest to the
-    midpoint.
+    A stretch of more than ``limit - overlap`` tokens (the first one, which
+    gets no overlap, of more than ``limit``) is cut in its middle half at the
+    strongest boundary, of several at the one nearest to the midpoint.
     """
     if size <= limit:
         return [0]
@@ -73,7 +73,7 @@ def bisect(strength: np.ndarray, size: int, limit: int = LIMIT, overlap: int = O
     while todo:
         a, b = todo.pop()
         n = b - a
-        if n <= limit - overlap:
+        if n <= (limit - overlap if a else limit):
             continue
         low, high = a + max(1, n // 4), b - max(1, n // 4)
         near = strength[low : high + 1]

@@ -6,8 +6,11 @@ several documents is encoded once:
 
 1. A rolling hash over 32 bytes cuts every document where its value says so,
    so equal passages are cut alike wherever they stand.
-2. The distinct chunks of the corpus are encoded, each once.
-3. The documents' chunks are put together again.  Tokens next to a join may
+2. The chunks' digests alone are shuffled, to find those that occur more than
+   once.  Documents without any share nothing: they are encoded where they
+   are.  The others are marked by deletion vectors and read in place.
+3. The distinct chunks of the sharing documents are encoded, each once.
+4. Their chunks are put together again.  Tokens next to a join may
    differ from those of the whole text; around each join the text between
    the nearest *agreeing* places is encoded again.  A place agrees if a
    visible ASCII character is followed by a blank there: no piece of the
@@ -19,16 +22,21 @@ several documents is encoded once:
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import dedup
+from tidemark.session import written
+
 VOCABULARY = "byte_bpe_50k"
 #: A byte ends a chunk if the top bits of its hash are zero: 512 bytes a chunk on average.
 CUT_BITS = 9
@@ -194,8 +202,53 @@ def _packed(rows: list[np.ndarray], path: str) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends * kind.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
 
 
+def _direct(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """``key`` and ``ids`` of every row, each text encoded whole where it is."""
+    rows = documents.select(F.col(key).alias(key), F.col(text).alias("_text"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([ids_of(t, path) for t in texts_of(b.column(1))], pa.int32())], [key, "ids"])
+
+    return rows.mapInArrow(encoded, _ids_schema(rows.schema[key].dataType, key))
+
+
+def _ids_schema(kind: T.DataType, key: str) -> T.StructType:
+    return T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
+def _in_files(documents: DataFrame, *columns: str) -> DataFrame:
+    """The columns as rows of Parquet files: as they are if ``documents`` is a table of such files, else written to the shared folder."""
+    rows = documents.select(*columns)
+    if documents._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return written(rows, "documents")
+    try:
+        rows.select("_metadata.row_index")
+    except AnalysisException:
+        return written(rows, "documents")
+    return rows
+
+
+def sharing(rows: DataFrame, text: str, bits: int = CUT_BITS) -> DataFrame:
+    """The places of the documents with a chunk that occurs more than once in the corpus, by the chunks' digests."""
+    placed = rows.where(F.col(text) != "").select(*dedup.file_name(), dedup.row_index(), F.col(text).alias("_text"))
+    names = ["_tm_h", "_tm_g", "_tm_row"]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, _, chunks = _chunked([b.column(i) for i in range(3)], b.column(3), bits)
+            ids = [hashlib.md5(c.as_py(), usedforsecurity=False).digest() for c in chunks.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(ids, pa.binary())], [*names, "chunk_id"])
+
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("chunk_id", T.BinaryType())])
+    cut = written(placed.mapInArrow(digests, schema), "digests")
+    # a chunk of a third of all documents is one row a split here, and its rows are split again in the join
+    again = cut.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id")
+    return cut.join(again, "chunk_id", "left_semi").select(*names).distinct()
+
+
 def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None = None, bits: int = CUT_BITS) -> DataFrame:
-    """``key`` and ``ids`` (array<int>) of every row of ``documents``, each distinct chunk of the corpus encoded once.
+    """``key`` and ``ids`` (array<int>) of every row of ``documents``, each chunk that documents share encoded once.
 
     NULL and empty texts have an empty list.  Rows may repeat and keys may be
     NULL or have several texts: every row gets the ids of its own text.  A
@@ -204,6 +257,18 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
     splits that partition.
     """
     path = path or vocabulary_path()
+    rows = _in_files(documents, key, text)
+    files = rows.inputFiles()
+    if not files:
+        return _direct(rows, key, text, path)
+    vectors = dedup.store_vectors(rows.sparkSession, dedup.deletion_vectors(sharing(rows, text, bits)), len(files))
+    alone = dedup.apply_vectors(rows.sparkSession, rows.schema, files, vectors)
+    shared = dedup.apply_vectors(rows.sparkSession, rows.schema, files, vectors, deleted=True)
+    return _direct(alone, key, text, path).unionByName(encode_shared(shared, key, text, path, bits))
+
+
+def encode_shared(documents: DataFrame, key: str, text: str, path: str, bits: int = CUT_BITS) -> DataFrame:
+    """:func:`encode_corpus` of documents whose texts aren't empty, with all their chunks in the dictionary."""
     rows = documents.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text))).alias("digest"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType
 
@@ -240,11 +305,8 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
             yield pa.RecordBatch.from_arrays([b.column(0).take(again), rows_ids.take(again)], [key, "ids"])
 
     place = [T.StructField("key", kind), T.StructField("digest", T.BinaryType())]
-    out = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    cut = rows.where(F.col("text") != "").mapInArrow(chunks, T.StructType([*place, T.StructField("number", T.IntegerType()), T.StructField("chunk", T.StringType())]))
-    chunk_id = F.unhex(F.md5("chunk")).alias("chunk_id")
-    dictionary = cut.select("chunk").distinct().select(chunk_id, "chunk").mapInArrow(encoded, T.StructType([T.StructField("chunk_id", T.BinaryType()), T.StructField("packed", T.BinaryType())]))
-    parts = cut.select("key", "digest", "number", chunk_id).join(dictionary, "chunk_id").groupBy("key", "digest").agg(F.array_sort(F.collect_list(F.struct("number", "packed"))).alias("parts"))
-    whole = parts.select("key", "parts").mapInArrow(joined, out)
-    empty = rows.where("text IS NULL OR text = ''").select(F.col("key").alias(key), F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(empty)
+    cut = rows.mapInArrow(chunks, T.StructType([*place, T.StructField("number", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+    cut = written(cut.withColumn("chunk_id", F.unhex(F.md5("chunk"))), "chunks")
+    dictionary = cut.groupBy("chunk_id").agg(F.any_value("chunk").alias("chunk")).mapInArrow(encoded, T.StructType([T.StructField("chunk_id", T.BinaryType()), T.StructField("packed", T.BinaryType())]))
+    parts = cut.select("key", "digest", "number", "chunk_id").join(dictionary, "chunk_id").groupBy("key", "digest").agg(F.array_sort(F.collect_list(F.struct("number", "packed"))).alias("parts"))
+    return parts.select("key", "parts").mapInArrow(joined, _ids_schema(kind, key))
