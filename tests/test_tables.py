@@ -36,6 +36,8 @@ def test_versioned(spark, data, want):
     df = changes(spark, data)
     assert rows(tables.versioned(df, F.expr(VERSION)).select("key", "version")) == want
     assert rows(tables.compared(df, F.expr(VERSION), lambda new, old: new > old).select("key", "version")) == want
+    equal = tables.versioned(df, F.expr(VERSION), or_equal=True)
+    assert rows(equal) == rows(tables.compared(df, F.expr(VERSION), lambda new, old: new >= old).select(*equal.columns))
 
 
 def test_latest(spark):
@@ -107,6 +109,27 @@ def test_expiry(spark):
     assert rows(tables.live(df, F.col("timestamp"), 100, at("2024-01-01 00:00:01"))) == []
 
 
+def test_expiry_of_single_records(spark):
+    df = spark.sql("SELECT 100L AS key, 'v' AS value, timestamp'2024-01-01 00:00:00' AS timestamp")
+    at = lambda t: F.lit(t).cast("timestamp")
+    s = Store("s", df, ttl_ms=60_000, now=at("2024-01-01 00:00:30"))
+    put = s.put(1, "kept").put(2, "gone", expiry_ms=0).put(3, "short", expiry_ms=10)
+    assert rows(put.df.select("key")) == [(1,), (100,), (3,)]
+    assert rows(Store("s", df, ttl_ms=60_000, now=at("2024-01-01 00:02:00")).put(1, "x").df.select("key")) == [(1,)]  # the store's time to live stays
+    before = put.df._jdf.queryExecution().analyzed().toString().count("Union")
+    for k in range(50):
+        put = put.put(k, "w")
+    assert put.df._jdf.queryExecution().analyzed().toString().count("Union") == before and put.df.count() == 51
+    i = IndexedStore("s", df, {"v": "value"}, ttl_ms=60_000, now=at("2024-01-01 00:02:00")).put(7, "q", 5)
+    assert rows(i.dump("v")) == [("q", 7)]
+
+
+def test_materialize_by(spark):
+    df = changes(spark, [("a", "x"), ("a", "y"), ("b", "z"), ("a", None), ("a", "w"), (None, "n")])
+    out = tables.materialize_by(df, lambda k, held: int(held.split("#")[1]) if held else 0, lambda n, v: None if v is None else f"{v}#{n}")
+    assert rows(out) == [("a", 0, "x#1", 1), ("a", 1, "y#2", 2), ("a", 3, None, 3), ("a", 4, "w#1", 1), ("b", 2, "z#1", 1)]
+
+
 def test_store(spark):
     df = spark.createDataFrame([(100, "test_value"), (200, ""), (300, None), (None, "x")], "key bigint, value string")
     s = Store("s", df)
@@ -123,7 +146,7 @@ def test_indexed_store(spark):
     s = IndexedStore("s", df, {"head": "split(value, ',')[0]"})
     assert rows(s.lookup("head", "111").select("value")) == [("111,222",), ("111,333",)]
     assert rows(s.delete("200").lookup("head", "111").select("key")) == [("300",)]
-    assert rows(s.put("300", "999,1").dump("head")) == [("111", ["200"]), ("222", ["400"]), ("999", ["300"])]
+    assert rows(s.put("300", "999,1").dump("head")) == [("111", "200"), ("222", "400"), ("999", "300")]
     assert rows(s.lookup("head", "none")) == []
     with pytest.raises(UnknownIndex):
         s.lookup("nope", 1)

@@ -211,6 +211,88 @@ def test_live_table_equals_batch(spark, tmp_path, version):
     assert rows(live.rows().select("key", "offset")) == rows(want)
 
 
+def test_live_table_grows_and_forgets(spark, tmp_path):
+    """Buckets double when they have grown too large; files that only older versions have are deleted."""
+    schema = spark.createDataFrame([], "key bigint, value string, offset bigint").schema
+    live = LiveTable(spark, str(tmp_path / "t"), schema, buckets=1, bucket_bytes=1)
+    for n in range(4):
+        live.upsert(spark.range(n * 10, n * 10 + 30).select(F.col("id").alias("key"), F.lit(f"v{n}").alias("value"), (F.col("id") + 1000 * n).alias("offset")), n)
+    assert live.store.manifest().details["buckets"] == "8" and live.rows().count() == 60
+    assert rows(live.rows().where("key IN (5, 15, 40)").select("key", "value")) == [(15, "v1"), (40, "v3"), (5, "v0")]
+    there = {str(f).partition("/t/")[2] for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    used = {f.partition("/t/")[2] for v in (live.store.latest(), live.store.latest() - 1) for f in live.store.manifest(v).files}
+    assert there == used
+
+
+def test_a_table_writer_of_the_user(spark, tmp_path):
+    def write(table, changes, number):
+        table.apply(changes.where("value <> 'secret'").withColumn("value", F.upper("value")), number)
+
+    df = spark.createDataFrame([(1, "a", 0), (2, "secret", 1)], "key bigint, value string, offset bigint")
+    live = LiveTable(spark, str(tmp_path / "t"), df.schema, write=write)
+    live.upsert(df, 0)
+    assert rows(live.rows().select("key", "value")) == [(1, "A")]
+
+
+def test_an_application_starts_a_stream_again(spark, logs, tmp_path):
+    """A sink with dead letters by its settings; a stream that fails twice goes on from its checkpoint."""
+    logs.create("in")
+    logs.append("in", messages(spark, (1, "5"), (2, "x")))
+    app = Application(spark, EngineConfig("again", str(tmp_path / "cp"), http_port=0, shuffle_partitions=4))
+    settings = StreamConfig(retries=2, dead_letters=True, retry_interval_ms=1, most_per_trigger=1)
+    s = KeyedStream.source(app.source(logs, "in", settings), IntCodec(), StringCodec()).map_values("CAST(value AS int)")
+    app.add_sink("out", s, logs, "out", IntCodec(), IntCodec(), settings=settings)
+    tries = []
+
+    def write(df, n):
+        tries.append(n)
+        if len(tries) < 3:
+            raise RuntimeError("lost")
+
+    app.add_stream("shaky", s, write, settings)
+    app.start(once=True)
+    app.await_end()
+    with urllib.request.urlopen(f"http://127.0.0.1:{app.server.server_port}/stores") as f:
+        assert json.load(f) == []
+    app.stop()
+    assert tries == [0, 0, 0] and logs.read("out").count() == 1 and logs.read("out_dead").count() == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    failing = Application(spark, EngineConfig("failing", str(tmp_path / "cp"), shuffle_partitions=4))
+    failing.add_stream("never", s, lambda df, n: 1 / 0, StreamConfig(retries=1, retry_interval_ms=1))
+    failing.start(once=True)
+    with pytest.raises(StreamingQueryException):
+        failing.await_end()
+    failing.stop()
+
+
+def test_pages_go_on_within_an_index_value(spark):
+    df = spark.range(30).select(F.col("id").alias("key"), F.concat(F.lit("v"), F.col("id") % 2).alias("value"))
+    r = Registry()
+    r.register(IndexedStore("s", df, {"v": "value"}))
+    got, after = {}, ""
+    for _ in range(4):
+        page = answer(r, f"/stores/s/indexes/v?limit=9{after}")[1]
+        for name, keys in page.items():
+            got.setdefault(name, []).extend(keys)
+        last = list(page)[-1]
+        after = f"&after={last}&after_key={page[last][-1]}"
+    assert got == {"v0": list(range(0, 30, 2)), "v1": list(range(1, 30, 2))}
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from tidemark.session import clear_scratch, scratch_path, written
+
+    kept = scratch_path(spark, "x")
+    written(spark.range(3), "numbers")
+    import os
+
+    folder = kept.rpartition("/")[0].removeprefix("file:")
+    assert any(n.startswith("numbers-") for n in os.listdir(folder))
+    clear_scratch(spark)
+    assert not os.path.exists(folder) and rows(written(spark.range(1), "again")) == [(0,)]
+
+
 def test_application(spark, logs, tmp_path):
     logs.create("t")
     logs.create("s")

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 CHUNK = 16
 
 
-def _compose(first: Column, then: Column) -> Column:
+def _compose(first: Column, then: Column, or_equal: bool) -> Column:
     """The patch of ``first`` followed by ``then``."""
-    newer = then["pos"].isNotNull() & (first["pos"].isNull() | (then["ver"] > first["ver"]))
+    newer = then["pos"].isNotNull() & (first["pos"].isNull() | (then["ver"] >= first["ver"] if or_equal else then["ver"] > first["ver"]))
     taken = then["reset"] | newer
     return F.struct(
         (first["reset"] | then["reset"]).alias("reset"),
@@ -36,19 +36,20 @@ def _compose(first: Column, then: Column) -> Column:
     )
 
 
-def _fold(ordered: Column, pos_type: str) -> Column:
+def _fold(ordered: Column, pos_type: str, or_equal: bool = False) -> Column:
     nothing = F.struct(F.lit(False).alias("reset"), F.lit(None).cast("double").alias("ver"), F.lit(None).cast(pos_type).alias("pos"))
-    return F.aggregate(ordered, nothing, lambda a, x: _compose(a, x["patch"]))
+    return F.aggregate(ordered, nothing, lambda a, x: _compose(a, x["patch"], or_equal))
 
 
-def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, is_delete: str, place: str, tie: str | None = None, chunk: int | None = None, top: Column | None = None) -> DataFrame:
+def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, is_delete: str, place: str, tie: str | None = None, chunk: int | None = None, top: Column | None = None, or_equal: bool = False) -> DataFrame:
     """One patch per key: ``keys``, ``reset``, ``ver``, ``pos``.
 
     ``changes``: ``order`` (bigint, the feed's order within a key), ``version``
     (number), ``is_delete`` (boolean) and ``place`` (what names the row that a
     change supplies).  A change is taken if the key has no row or its version
-    is greater than the row's; a delete always counts and forgets the version.
-    Changes of equal order are ordered by ``tie`` (bigint), then by place.
+    is greater than the row's (with ``or_equal``, not smaller: with or without
+    it versions are a total order, so patches compose); a delete always counts
+    and forgets the version.  Changes of equal order are ordered by ``tie`` (bigint), then by place.
     Changes without order come first, in chunks of their ties; without
     version they are left out unless they delete.  NULL keys are a key.
 
@@ -72,12 +73,12 @@ def patches(changes: DataFrame, keys: Sequence[str], order: str, version: str, i
     op = F.struct(F.coalesce(at, F.lit(-1)).alias("at"), by.alias("tie"), F.col(place).alias("place"), own.alias("patch"))
     rows = usable.select(*keys, F.coalesce(at, by).alias("_at"), at.isNotNull().alias("_known"), width.alias("_w"), op.alias("_op"))
     level = rows.select(*keys, "_known", F.expr("_at div _w").alias("_c"), "_op")
-    chunks = level.groupBy(*keys, "_known", "_c").agg(F.array_sort(F.collect_list("_op")).alias("ops")).select(*keys, "_known", "_c", _fold(F.col("ops"), kind).alias("patch"))
-    whole = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_known", "_c", "patch"))).alias("ops")).select(*keys, _fold(F.col("ops"), kind).alias("patch"))
+    chunks = level.groupBy(*keys, "_known", "_c").agg(F.array_sort(F.collect_list("_op")).alias("ops")).select(*keys, "_known", "_c", _fold(F.col("ops"), kind, or_equal).alias("patch"))
+    whole = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_known", "_c", "patch"))).alias("ops")).select(*keys, _fold(F.col("ops"), kind, or_equal).alias("patch"))
     return whole.select(*keys, "patch.*")
 
 
-def apply_patches(patched: DataFrame, keys: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+def apply_patches(patched: DataFrame, keys: Sequence[str], base: DataFrame | None = None, or_equal: bool = False) -> DataFrame:
     """The state after the patches: ``keys``, ``ver``, ``pos`` of every key that has a row.
 
     ``base`` has the same columns; its rows without a patch stay, and a
@@ -90,7 +91,7 @@ def apply_patches(patched: DataFrame, keys: Sequence[str], base: DataFrame | Non
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"b_{k}"))
     j = patched.withColumn("_p", F.lit(True)).join(b, match, "full_outer")
-    stays = F.col("_p").isNull() | (~F.col("reset") & F.col("b_pos").isNotNull() & (F.col("pos").isNull() | (F.col("ver") <= F.col("b_ver"))))
+    stays = F.col("_p").isNull() | (~F.col("reset") & F.col("b_pos").isNotNull() & (F.col("pos").isNull() | (F.col("ver") < F.col("b_ver") if or_equal else F.col("ver") <= F.col("b_ver"))))
     return j.select(
         *(F.when(F.col("_p").isNull(), F.col(f"b_{k}")).otherwise(F.col(k)).alias(k) for k in keys),
         F.when(stays, F.col("b_ver")).otherwise(F.col("ver")).alias("ver"),

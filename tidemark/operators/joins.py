@@ -39,7 +39,8 @@ def join_table(stream: KeyedStream, table: object, on: Expr | None = None, value
     match = F.col("_tm_on") == F.col("_tm_table_key")
     found = mapped.where("_tm_on IS NOT NULL").join(rows, match, how)
     found = found.withColumn("right", F.col("_tm_right.value"))
-    joined = found.withColumn("value", column(value) if value is not None else F.struct(F.col("value").alias("left"), F.col("right"))).drop("_tm_on", "_tm_table_key", "_tm_right", "right")
+    with lenient(stream.df.sparkSession):
+        joined = found.withColumn("value", column(value) if value is not None else F.struct(F.col("value").alias("left"), F.col("right"))).drop("_tm_on", "_tm_table_key", "_tm_right", "right")
     out = replace(stream, df=joined, node=Node("joiner", f"{name} ({how})", (stream.node, table.node)))
     out = out._with_errors(mapped.where("_tm_on IS NULL"), name, F.lit("key mapping failed"))
     if how == INNER:
@@ -105,5 +106,6 @@ def join_stream(left: KeyedStream, right: KeyedStream, value: Expr | None = None
         return join_running(left, right, value, name)
     pairs = paired(left.df, right.df, "key", "offset", F.col("value"), F.col("value"))
     made = column(value) if value is not None else F.struct("left", "right")
-    df = pairs.select("key", made.alias("value"), F.col("order").alias("offset"))
+    with lenient(pairs.sparkSession):
+        df = pairs.select("key", made.alias("value"), F.col("order").alias("offset"))
     return KeyedStream(df, Node("stream_joiner", name, (left.node, right.node)), both_errors(left, right), left.key_selected or right.key_selected)

@@ -7,12 +7,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.serdes import Codec
 from tidemark.operators.stores import Registry, Store
-from tidemark.operators.stream import Expr, KeyedStream, column
+from tidemark.operators.stream import ERRORS, Expr, KeyedStream, column, lenient
 from tidemark.operators.tables import latest
 from tidemark.plans.topology import Node
 from tidemark.sources.files import Files
@@ -48,21 +47,36 @@ def encoded(stream: KeyedStream, topic: str, key: Codec, value: Codec, options:
     value) are errors of the sink.  A NULL value, from the stream or by the
     tombstone rule, is written as NULL.
     """
+    marked = _marked(stream, topic, key, value, options)
+    good, bad = marked.where("_tm_bad IS NULL").drop("_tm_bad", "_tm_source"), _unwritable(marked)
+    return replace(stream, df=good, node=Node("sink", topic, (stream.node,)))._with_errors(bad, f"sink {topic}", F.col("_tm_bad"))
+
+
+def _unwritable(marked: DataFrame) -> DataFrame:
+    """The rows that can't be written, under the topic that they came from."""
+    return marked.where("_tm_bad IS NOT NULL").withColumn("topic", F.col("_tm_source"))
+
+
+def _marked(stream: KeyedStream, topic: str, key: Codec, value: Codec, options: SinkOptions) -> DataFrame:
+    """Records to write, and in ``_tm_bad`` why one can't be written: in one pass."""
     df = stream.df
     for name, f in (options.rewrite or {}).items():
         if name not in ("key", "value", "headers", "timestamp"):
             raise ValueError(f"a sink can't rewrite {name}")
-        df = df.withColumn(name, column(f))
+        with lenient(df.sparkSession):
+            df = df.withColumn(name, column(f))
     if options.headers is not None:
-        df = df.withColumn("headers", column(options.headers).cast(HEADERS))
+        with lenient(df.sparkSession):
+            df = df.withColumn("headers", column(options.headers).cast(HEADERS))
     gone = F.coalesce(column(options.tombstone), F.lit(False)) if options.tombstone is not None else F.lit(False)
     empty = F.col("value").isNull() | gone
-    marked = df.withColumns({"_tm_key": key.encode(F.col("key")), "_tm_value": F.when(~empty, value.encode(F.col("value"))), "_tm_empty": empty})
+    with lenient(df.sparkSession):
+        df = df.withColumn("_tm_empty", empty)
+    empty = F.col("_tm_empty")
+    marked = df.withColumns({"_tm_key": key.encode(F.col("key")), "_tm_value": F.when(~empty, value.encode(F.col("value")))})
     bad = F.when(F.col("_tm_key").isNull(), "unencodable key").when(~F.col("_tm_empty") & F.col("_tm_value").isNull(), "unencodable value")
-    marked = marked.withColumn("_tm_bad", bad)
-    good = marked.where("_tm_bad IS NULL").withColumns({"key": F.col("_tm_key"), "value": F.col("_tm_value")}).drop("_tm_key", "_tm_value", "_tm_empty", "_tm_bad")
-    good = good.withColumn("topic", F.lit(topic_name(topic, options.prefix)))
-    return replace(stream, df=good, node=Node("sink", topic, (stream.node,)))._with_errors(marked.where("_tm_bad IS NOT NULL"), f"sink {topic}", F.col("_tm_bad"))
+    marked = marked.withColumn("_tm_bad", bad).withColumns({"key": F.col("_tm_key"), "value": F.col("_tm_value"), "_tm_source": F.col("topic") if "topic" in df.columns else F.lit(None).cast("string")})
+    return marked.drop("_tm_key", "_tm_value", "_tm_empty").withColumn("topic", F.lit(topic_name(topic, options.prefix)))
 
 
 def to(
@@ -78,14 +92,13 @@ def to(
     append is made once for each micro-batch, since its number is committed
     with the data.
     """
-    ready = encoded(stream, topic, key, value, options)
     target = topic_name(topic, options.prefix)
     logs.create(target)
-    letters = _letters(ready.errors) if errors and ready.errors is not None else None
     if errors:
         logs.create(errors)
+    marked = _marked(stream, topic, key, value, options)
     kept = ["key", "value", "headers", "timestamp", "offset", *(["partition"] if isinstance(options.partitioner, str) and options.partitioner == "manual" else [])]
-    records = ready.df.select(*(c for c in kept if c in ready.df.columns))
+    kept = [c for c in kept if c in marked.columns]
 
     def put(df: DataFrame, once: str | None = None) -> int:
         return logs.append(target, df, options.partitioner, F.col("offset") if "offset" in df.columns else None, once=once)
@@ -93,28 +106,29 @@ def to(
     def put_letters(df: DataFrame, once: str | None = None) -> int:
         return logs.append(errors, df, once=once)
 
-    if not records.isStreaming:
-        if letters is not None:
-            put_letters(letters)
-        return put(records)
+    if not marked.isStreaming:
+        if errors:
+            put_letters(_letters(stream._with_errors(_unwritable(marked), f"sink {topic}", F.col("_tm_bad")).errors))
+        return put(marked.where("_tm_bad IS NULL").select(*kept))
     if checkpoint is None:
         raise ValueError("a streaming sink needs a checkpoint folder")
-    writers = [_once(put, logs, target, checkpoint, "written")]
-    out = records
-    if letters is not None:
-        # one query for both, so that a record and its error can't be lost between two
-        nothing = lambda df: F.lit(None).cast(T.StructType(df.schema.fields))
-        out = records.select(F.struct(*records.columns).alias("r"), nothing(letters).alias("e")).unionByName(letters.select(nothing(records).alias("r"), F.struct(*letters.columns).alias("e")))
-        writers.append(_once(put_letters, logs, errors, checkpoint, "written-errors"))
+    # one query for records and errors, so that none is lost between two; what can't be encoded is told apart in the micro-batch, so nothing before it runs twice
+    letter, record = F.struct(*ERRORS), F.struct(*kept)
+    bad = F.col("_tm_bad").isNotNull()
+    here = marked.withColumns({"topic": F.col("_tm_source"), **{c: F.lit(None).cast(t) for c, t in (("partition", "int"), ("offset", "bigint")) if c not in marked.columns}})
+    here = here.withColumns({"stage": F.lit(f"sink {topic}"), "reason": F.col("_tm_bad")})
+    out = here.select(F.when(~bad, record).alias("r"), F.when(bad, letter).alias("e"))
+    if errors and stream.errors is not None:
+        out = out.unionByName(stream.errors.select(F.lit(None).cast(out.schema["r"].dataType).alias("r"), letter.cast(out.schema["e"].dataType).alias("e")))
+    writers = [("r", lambda df: df, _once(put, logs, target, checkpoint, "written"))]
+    if errors:
+        writers.append(("e", _letters, _once(put_letters, logs, errors, checkpoint, "written-errors")))
 
     def write(df: DataFrame, number: int) -> None:
-        if letters is None:
-            writers[0](df, number)
-            return
         df = df.persist()
         try:
-            for member, w in zip("re", writers, strict=True):
-                w(df.where(F.col(member).isNotNull()).select(f"{member}.*"), number)
+            for member, made, put_once in writers:
+                put_once(made(df.where(F.col(member).isNotNull()).select(f"{member}.*")), number)
         finally:
             df.unpersist()
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.serdes import Codec
 from tidemark.operators.stream import Expr, column
@@ -24,18 +25,45 @@ class Store:
     """A table seen as a key-value store.
 
     Empty values (zero-length binary or text) count as missing.  With a time
-    to live, rows are missing once it has passed since ``written``, judged at
-    the time of the query or at ``now``.
+    to live, rows are missing once it has passed since ``written``; a row
+    with a time in the column ``expires`` (if there is one) is missing once
+    that has passed.  Both are judged at the time of the query or at ``now``.
+
+    Single changes (:meth:`put`) lie over the table in the driver's memory,
+    one entry a key, and are one local table in the plan, however many there
+    are; bulk changes belong to the table's own stream.
     """
 
-    def __init__(self, name: str, df: DataFrame, ttl_ms: int | None = None, written: str = "timestamp", now: Column | None = None):
-        self.name, self.rows = name, df
+    def __init__(self, name: str, df: DataFrame, ttl_ms: int | None = None, written: str = "timestamp", now: Column | None = None, changes: dict | None = None):
+        self.name, self.rows, self.ttl_ms, self.written, self.now, self.changes = name, df, ttl_ms, written, now, dict(changes or {})
+
+    def _now(self) -> Column:
+        return self.now if self.now is not None else F.current_timestamp()
+
+    @property
+    def df(self) -> DataFrame:
+        """The rows that are there now."""
+        df = self.rows
+        if self.changes:
+            if self.ttl_ms is not None and self.written not in df.columns:
+                raise ValueError(f"a time to live needs the column {self.written}")
+            if "expires" not in df.columns:
+                df = df.withColumn("expires", F.lit(None).cast("timestamp"))
+            put = [tuple({"key": k, "value": v}.get(c) for c in df.columns) + (ms,) for k, (v, ms) in self.changes.items() if v is not None]
+            new = df.sparkSession.createDataFrame(put, T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("_tm_ms", T.LongType())]))
+            after = F.timestamp_micros(F.unix_micros(self._now()) + F.col("_tm_ms") * 1000)
+            new = new.withColumn("expires", F.when(F.col("_tm_ms").isNotNull(), after)).drop("_tm_ms")
+            if self.written in df.columns:
+                new = new.withColumn(self.written, self._now().cast(df.schema[self.written].dataType))
+            df = df.where(~F.col("key").isin(list(self.changes))).unionByName(new)
         kind = df.schema["value"].dataType.typeName()
         there = F.col("value").isNotNull() & ((F.length("value") > 0) if kind in ("binary", "string") else F.lit(True))
         df = df.where(F.col("key").isNotNull() & there)
-        if ttl_ms is not None:
-            df = df.where(~expired(F.col(written), ttl_ms, now if now is not None else F.current_timestamp()))
-        self.df = df
+        if self.ttl_ms is not None:
+            df = df.where(~expired(F.col(self.written), self.ttl_ms, self._now()))
+        if "expires" in df.columns:
+            df = df.where(F.col("expires").isNull() | (F.col("expires") > self._now()))
+        return df
 
     @staticmethod
     def encoded(name: str, df: DataFrame, key: Codec, value: Codec, **options: object) -> Store:
@@ -67,20 +95,15 @@ class Store:
         """The rows one by one; one partition at a time is in the driver's memory."""
         return self.scan(**options).toLocalIterator()
 
-    def put(self, key: object, value: object) -> Store:
-        """A new store with the row set; None deletes."""
-        rest = self.df.where(F.col("key") != F.lit(key))
-        if value is None:
-            return self._with(rest)
-        types = {f.name: f.dataType for f in self.df.schema}
-        row = self.df.sparkSession.range(1).select(*(F.lit(key).cast(t).alias(n) if n == "key" else F.lit(value).cast(t).alias(n) if n == "value" else F.lit(None).cast(t).alias(n) for n, t in types.items()))
-        return self._with(rest.unionByName(row))
+    def put(self, key: object, value: object, expiry_ms: int | None = None) -> Store:
+        """A new store with the row set, for ``expiry_ms`` from the time of the query if given; None deletes."""
+        return self._with(self.changes | {key: (value, expiry_ms)})
 
     def delete(self, key: object) -> Store:
         return self.put(key, None)
 
-    def _with(self, df: DataFrame) -> Store:
-        return Store(self.name, df)
+    def _with(self, changes: dict) -> Store:
+        return Store(self.name, self.rows, self.ttl_ms, self.written, self.now, changes)
 
     def table(self) -> Table:
         return Table(self.df, self.name)
@@ -97,8 +120,8 @@ class IndexedStore(Store):
         super().__init__(name, df, **options)
         self.indexes = dict(indexes)
 
-    def _with(self, df: DataFrame) -> IndexedStore:
-        return IndexedStore(self.name, df, self.indexes)
+    def _with(self, changes: dict) -> IndexedStore:
+        return IndexedStore(self.name, self.rows, self.indexes, ttl_ms=self.ttl_ms, written=self.written, now=self.now, changes=changes)
 
     def index(self, name: str) -> Column:
         try:
@@ -111,9 +134,8 @@ class IndexedStore(Store):
         return self.df.where(self.index(name) == F.lit(value))
 
     def dump(self, name: str) -> DataFrame:
-        """``index_key``, ``keys`` (sorted): the whole index. NULL index values aren't indexed."""
-        indexed = self.df.select(self.index(name).alias("index_key"), "key").where("index_key IS NOT NULL")
-        return indexed.groupBy("index_key").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+        """``index_key``, ``key``: the whole index, a row per entry. NULL index values aren't indexed."""
+        return self.df.select(self.index(name).alias("index_key"), "key").where("index_key IS NOT NULL")
 
 
 class Registry:

@@ -23,7 +23,7 @@ from dataclasses import dataclass, replace
 
 import pandas as pd
 from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,18 +241,19 @@ class KeyedStream:
         """A record per element of an array of values."""
         return self._next(self.df.withColumn("value", F.explode(column(values, returns))), "flat_map", name)
 
-    def peek(self, name: str = "peek", fails: Expr | None = None, effect: Callable[..., object] | None = None, **metrics: Column) -> KeyedStream:
-        """The same records; ``metrics`` (aggregates) are observed when the query runs.
+    def peek(self, name: str | Observation = "peek", fails: Expr | None = None, effect: Callable[..., object] | None = None, **metrics: Column) -> KeyedStream:
+        """The same records; ``metrics`` (aggregates) are observed under the name, or in the observation, when the query runs.
 
         ``effect`` is a Python function of the Series ``key`` and ``value``,
         called on the executors for what it does; records for which it raises
         are errors.  A task that is tried again calls it again.
         """
-        df, s = self._computed({}, fails, name) if fails is not None else (self.df, self)
+        stage = name if isinstance(name, str) else "peek"
+        df, s = self._computed({}, fails, stage) if fails is not None else (self.df, self)
         if effect is not None:
             marked = df.withColumn("_tm_effect", guarded(effect, None))
-            df, s = marked.where(~F.col("_tm_effect.failed")).drop("_tm_effect"), s._with_errors(marked.where("_tm_effect.failed"), name, F.lit("function failed"))
-        return s._next(df.observe(name, *(c.alias(m) for m, c in metrics.items())) if metrics else df, "process", name)
+            df, s = marked.where(~F.col("_tm_effect.failed")).drop("_tm_effect"), s._with_errors(marked.where("_tm_effect.failed"), stage, F.lit("function failed"))
+        return s._next(df.observe(name, *(c.alias(m) for m, c in metrics.items())) if metrics else df, "process", stage)
 
     def branch(self, predicates: dict[str, Expr], name: str = "branch") -> dict[str, KeyedStream]:
         """A stream per predicate. A record goes to the first that is true, or nowhere; NULL counts as false."""
@@ -311,8 +312,8 @@ class KeyedStream:
         return self._next(grouped.select("key", value.alias("value")), "window", name)
 
     def ordered(self, name: str = "ordered") -> KeyedStream:
-        """Records of each partition in the order of their offsets, for a sink that needs it (static streams)."""
-        return self._next(self.df.repartition("partition").sortWithinPartitions("partition", "offset"), "process", name)
+        """Records in the order of partition and offset, for a sink that needs it (static streams): each task has a range of both, so a large partition is several tasks."""
+        return self._next(self.df.repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset"), "process", name)
 
     def join_table(self, table: object, on: Expr | None = None, value: Expr | None = None, how: str = "inner", name: str = "join_table") -> KeyedStream:
         """See :func:`tidemark.operators.joins.join_table`."""

@@ -47,16 +47,17 @@ def latest(changes: DataFrame, key: str = "key", order: str = "offset", deleted:
     return last.where("NOT _tm_row._tm_gone").select(key, "_tm_row.row.*")
 
 
-def versioned(changes: DataFrame, version: Column, key: str = "key", order: str = "offset", deleted: Column | None = None) -> DataFrame:
+def versioned(changes: DataFrame, version: Column, key: str = "key", order: str = "offset", deleted: Column | None = None, or_equal: bool = False) -> DataFrame:
     """The row of each key under the version guard: ``key``, ``order`` and the row's ``version``.
 
     A tombstone always deletes and forgets the version; any version is taken
-    where there is no row, else only a greater one.  Rows that are neither
+    where there is no row, else only a greater one (with ``or_equal``, one
+    that isn't smaller).  Rows that are neither
     tombstones nor have a version are skipped, as are NULL keys.
     """
     gone = F.coalesce(deleted if deleted is not None else F.col("value").isNull(), F.lit(False))
     rows = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("order"), version.alias("version"), gone.alias("gone"), F.struct(F.col(order).alias("order"), version.alias("version")).alias("place"))
-    state = cdc.apply_patches(cdc.patches(rows, ["key"], "order", "version", "gone", "place"), ["key"])
+    state = cdc.apply_patches(cdc.patches(rows, ["key"], "order", "version", "gone", "place", or_equal=or_equal), ["key"])
     return state.select(F.col("key").alias(key), F.col("pos.order").alias(order), F.col("pos.version").alias("version"))
 
 
@@ -66,6 +67,8 @@ def compared(changes: DataFrame, version: Column, accept: Callable[[int, int], b
     Only an order-dependent fold can apply an arbitrary function, so a key's
     changes pass one task one after the other; they pass as a stream of
     (order, version) in sorted batches, so a hot key takes time, not memory.
+    A comparator that is a total order of versions doesn't need this: see
+    :func:`versioned`, also for equal versions that replace the row.
     """
     rows = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("order"), F.when(F.col("value").isNotNull(), version.cast("bigint")).alias("version"), F.col("value").isNull().alias("gone"))
     schema = T.StructType([rows.schema["key"], T.StructField("order", T.LongType()), T.StructField("version", T.LongType())])
@@ -102,6 +105,35 @@ def materialize(changes: DataFrame, key: str = "key", order: str = "offset", del
     return out.withColumn("value", write(F.col(version_column), F.col("value"))) if write else out
 
 
+def materialize_by(changes: DataFrame, extract: Callable[[object, object], int], write: Callable[[int, object], object], key: str = "key", order: str = "offset") -> DataFrame:
+    """``key``, ``order``, ``value``, ``version``: :func:`materialize` with the user's version extractor and writer.
+
+    ``extract(key, previous)`` gives the version of the value that is kept
+    under the key (None if there is none); the record's version is one more,
+    and ``write(version, value)`` the value to keep; None deletes.  What is
+    kept depends on what was kept before, so a key's changes pass one task
+    one after the other, as a stream of sorted batches.  NULL keys are left
+    out.
+    """
+    rows = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("order"), "value")
+    schema = T.StructType([*rows.schema, T.StructField("version", T.LongType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
+        for pdf in batches:
+            done = []
+            for k, at, value in pdf.itertuples(index=False):
+                if k != now:
+                    now, held = k, None
+                version = extract(k, held) + 1
+                held = write(version, None if value is None or value is pd.NaT or value != value else value)
+                done.append((k, at, held, version))
+            yield pd.DataFrame(done, columns=["key", "order", "value", "version"])
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "order")
+    return ordered.mapInPandas(fold, schema).select(F.col("key").alias(key), F.col("order").alias(order), "value", "version")
+
+
 def compact(changes: DataFrame, key: str = "key", order: str = "offset", deleted: Column | None = None) -> DataFrame:
     """A changelog reduced to the last record of each key that isn't deleted, in the records' order."""
     return latest(changes, key, order, deleted)

@@ -8,14 +8,20 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class StreamConfig:
-    """Settings of one stream. Retries are those of Spark's tasks; recovery is the checkpoint's."""
+    """Settings of one stream of an :class:`~tidemark.streaming.runtime.Application`.
 
-    retries: int = 4
+    ``retries``: how often its query is started again, ``retry_interval_ms``
+    after it failed (tasks are retried by Spark); it goes on from its
+    checkpoint.  ``dead_letters``: dropped records go to
+    ``dead_letter_topic`` (default: the sink's topic with ``_dead``).
+    ``most_per_trigger``: files of the source's topic in a micro-batch.
+    """
+
+    retries: int = 2
     retry_interval_ms: int = 100
     dead_letters: bool = False
     dead_letter_topic: str | None = None
     most_per_trigger: int | None = None
-    key_order: bool = True
 
     @staticmethod
     def from_mapping(values: Mapping[str, object]) -> StreamConfig:

@@ -97,8 +97,8 @@ def stream_through(spark, folder):
     base = scratch_path(spark, "topics")
     logs = TopicLogs(spark, base)
     plain = _events(spark, folder).map_values(F.concat_ws(":", "event_type", F.round(F.col("value"), 1).cast("decimal(18,1)").cast("string")))
-    sinks.to(plain, logs, "out", IntCodec(), StringCodec(), sinks.SinkOptions(tombstone="event_type = 'error'", prefix="app"), f"{base}/checkpoint").awaitTermination()
-    return logs.read("app_out").groupBy("topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    again = sinks.through(plain, logs, "out", IntCodec(), StringCodec(), sinks.SinkOptions(tombstone="event_type = 'error'", prefix="app"), f"{base}/checkpoint")
+    return again.df.groupBy("topic", F.col("key").cast("string").alias("key"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_periods(spark, folder):
@@ -117,10 +117,43 @@ def stream_periods(spark, folder):
     return open_and_closed(closer).select("account_no", "period_start", "n_on_time", "n_late", F.col("amount").cast("double").alias("amount"), "closed_in")
 
 
-NAMED = (stream_periods, stream_filter, stream_select_key, stream_branch, stream_join_table_inner, stream_join_table_left, stream_join_stream, stream_table_latest, stream_table_versioned, stream_deduplicate, stream_through)
+def _dead(spark, logs: TopicLogs) -> DataFrame:
+    letters = logs.read("dead").select(F.from_json(F.col("value").cast("string"), "stage string, offset bigint, reason string").alias("e"))
+    return letters.select("e.*")
+
+
+def stream_dead_letters(spark, folder):
+    """A running sink with functions and joins that fail: its records, and the dead letters that it writes beside them."""
+    base = scratch_path(spark, "topics")
+    logs = TopicLogs(spark, base)
+    failing = _events(spark, folder).map_values(F.when(F.col("key") % 10 == 3, "x").otherwise(F.col("key").cast("string")), "text").map_values("CAST(value AS bigint)", "cast")
+    named = failing.select_key(F.col("value") * 20, "wide").join_table(streams.customers(spark, folder), value=F.col("right.c_name"), name="customer")
+    sinks.to(named, logs, "out", IntCodec(), StringCodec(), checkpoint=f"{base}/checkpoint", errors="dead").awaitTermination()
+    sent = logs.read("out").groupBy(F.lit("sent").alias("stage"), F.lit(None).cast("string").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return sent.unionByName(_dead(spark, logs).groupBy("stage", "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+def stream_join_errors(spark, folder):
+    """What fails on either side of a running stream join, as dead letters."""
+    base = scratch_path(spark, "topics")
+    logs = TopicLogs(spark, base)
+    e = _events(spark, folder)
+    bad = F.when(F.col("key") % 10 == 3, "x").otherwise(F.col("value").cast("int").cast("string"))
+    left, right = (e.filter(f"event_type = '{kind}'").map_values(bad, "text").map_values("CAST(value AS int)", f"cast {kind}") for kind in ("click", "view"))
+    joined = left.join_stream(right, F.concat_ws(":", "left", "right"))
+    sinks.to(joined, logs, "out", IntCodec(), StringCodec(), checkpoint=f"{base}/checkpoint", errors="dead").awaitTermination()
+    return _dead(spark, logs).select("stage", "offset", "reason")
+
+
+NAMED = (stream_dead_letters, stream_join_errors, stream_periods, stream_filter, stream_select_key, stream_branch, stream_join_table_inner, stream_join_table_left, stream_join_stream, stream_table_latest, stream_table_versioned, stream_deduplicate, stream_through)
 QUERIES = {f.__name__: f for f in NAMED}
-_SAME = {"stream_branch": "branch_first_match", "stream_deduplicate": "process_peek"}
-SQL = {n: streams.SQL[_SAME.get(n, n.removeprefix("stream_"))] for n in QUERIES if n not in ("stream_through", "stream_periods")}
+_SAME = {"stream_branch": "branch_first_match"}
+_OWN = ("stream_through", "stream_periods", "stream_deduplicate", "stream_dead_letters", "stream_join_errors")
+SQL = {n: streams.SQL[_SAME.get(n, n.removeprefix("stream_"))] for n in QUERIES if n not in _OWN}
+SQL["stream_deduplicate"] = "SELECT user_id AS key, event_id AS \"offset\", value FROM events"
+SQL["stream_dead_letters"] = """SELECT stage, CASE stage WHEN 'cast' THEN 'function failed' WHEN 'customer' THEN 'no row under the key' END AS reason, count(*) AS n FROM (
+    SELECT CASE WHEN user_id % 10 = 3 THEN 'cast' WHEN c_custkey IS NULL THEN 'customer' ELSE 'sent' END AS stage FROM events LEFT JOIN customer ON c_custkey = user_id * 20) GROUP BY ALL"""
+SQL["stream_join_errors"] = "SELECT 'cast ' || event_type AS stage, event_id AS \"offset\", 'function failed' AS reason FROM events WHERE event_type IN ('click', 'view') AND user_id % 10 = 3"
 SQL["stream_periods"] = f"""WITH {corpus_core._FIRST}, {corpus_core._LOWS} SELECT account_no, period_start, count(*) FILTER (NOT late) AS n_on_time, count(*) FILTER (late) AS n_late, CAST(sum(coalesce(credit, debit)) AS DOUBLE) AS amount, any_value(closed_in) AS closed_in
     FROM ({corpus_core._MARKED}) WHERE NOT behind GROUP BY account_no, period_start"""
 SQL["stream_through"] = f"SELECT topic, key, value, count(*) AS n FROM ({streams.SQL['sink_tombstone']}) GROUP BY ALL"

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.records import canonical_uuid, header, record_id, utc_instant
 from tidemark.functions.serdes import IntCodec, JsonCodec, StringCodec, UnionCodec, http_time
 from tidemark.operators import sinks, tables
 from tidemark.operators.joins import join_tables, star_join
-from tidemark.operators.stores import IndexedStore, Store
+from tidemark.operators.stores import IndexedStore, Registry, Store
 from tidemark.operators.stream import KeyedStream, decoded
 from tidemark.operators.tables import Table
 from tidemark.plans.topology import Node
-from tidemark.session import table
+from tidemark.session import scratch_path, table, written
+from tidemark.sources.topiclog import MANUAL, TopicLogs
 
 PARTITIONS = 8
 
@@ -96,15 +97,41 @@ def multi_topic(spark, folder):
     return first.union(*others).df.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"))
 
 
+def _topic(spark, df: DataFrame, partitions: int = PARTITIONS) -> tuple[TopicLogs, str]:
+    """Records appended to a topic of their own in two batches, each record in its partition and in the order of its offset."""
+    logs = TopicLogs(spark, scratch_path(spark, "topics"))
+    logs.create("events", partitions)
+    rows = written(df, "records")
+    half = (rows.agg(F.max("offset").alias("m")).first()["m"] or 0) // 2
+    for part in (F.col("offset") <= half, F.col("offset") > half):
+        logs.append("events", rows.where(part), MANUAL, F.col("offset"), uuid=F.col("uuid") if "uuid" in rows.columns else None)
+    return logs, "events"
+
+
+def _encoded_events(spark, folder) -> DataFrame:
+    r = records(spark, folder)
+    return r.select(F.col("key").cast("string").cast("binary").alias("key"), F.col("value").cast("string").cast("binary").alias("value"), "partition", "offset", "timestamp")
+
+
 def topic_offsets(spark, folder):
-    return records(spark, folder).groupBy("partition").agg(F.min("offset").alias("oldest"), F.max("offset").alias("latest"), F.count(F.lit(1)).alias("records"))
+    """The offsets of a topic that was written in two appends: each partition's go from 0 on."""
+    logs, topic = _topic(spark, _encoded_events(spark, folder))
+    return logs.offsets(topic)
+
+
+def topic_uuids(spark, folder):
+    """Records whose uuid is computed when they are appended."""
+    named = _encoded_events(spark, folder).withColumn("uuid", F.concat_ws("_", F.lit("e"), "offset"))
+    logs, topic = _topic(spark, named)
+    return logs.read(topic).select("uuid", F.col("key").cast("string").cast("bigint").alias("key"))
 
 
 def table_offset_latest(spark, folder):
-    """What a table holds that starts at an offset: keys of later records only."""
-    r = records(spark, folder)
-    start = r.agg(F.max("offset").alias("m")).scalar() * 9 / 10
-    return tables.latest(r.where(F.col("offset") >= start)).select("key", "offset", "value")
+    """What a table holds that reads its topic from an offset on, in each of the partitions."""
+    logs, topic = _topic(spark, _encoded_events(spark, folder))
+    start = {r["partition"]: r["latest"] * 9 // 10 for r in logs.offsets(topic).collect()}  # a row per partition
+    later = logs.read(topic, start)
+    return tables.latest(later.select(F.col("key").cast("string").cast("bigint").alias("key"), F.col("value").cast("string").cast("double").alias("value"), "partition", "offset")).select("key", "partition", "offset", "value")
 
 
 # --- projections, filters, branches
@@ -139,7 +166,37 @@ def select_key(spark, folder):
 
 
 def process_peek(spark, folder):
-    return events(spark, folder).peek("seen", n=F.count(F.lit(1)), top=F.max("value")).df.select("key", "offset", "value")
+    """The metrics that are observed while records pass."""
+    seen = Observation("seen")
+    events(spark, folder).peek(seen, n=F.count(F.lit(1)), top=F.max("value")).df.write.format("noop").mode("overwrite").save()
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in seen.get.items()))
+
+
+def process_effect(spark, folder):
+    """Records pass a function that is called for its effect; those for which it raises are errors."""
+
+    def effect(key, value):
+        if (value > 90).any():
+            raise ValueError("too large")
+
+    s = events(spark, folder).peek("effect", effect=effect)
+    good = s.df.select(F.lit("passed").alias("what"), "offset")
+    return good.unionByName(s.errors.select(F.col("reason").alias("what"), "offset"))
+
+
+def function_errors(spark, folder):
+    """A cast that can't be done, a division by zero and a Python function that raises: error rows, and the others go on."""
+    text = events(spark, folder).map_values(F.when(F.col("key") % 10 == 3, F.concat(F.lit("x"), "event_type")).otherwise((F.col("key") % 5).cast("string")), "text")
+    number = text.map_values("CAST(value AS bigint)", "cast").map_values(F.lit(12) / F.col("value"), "divide")
+
+    def picky(key, value):
+        if (value == 4).any():
+            raise ValueError("four")
+        return value * 2
+
+    done = number.map_values(picky, "python", returns="double")
+    good = done.df.select(F.lit("done").alias("stage"), "offset", "value")
+    return good.unionByName(done.errors.select("stage", "offset", F.lit(None).cast("double").alias("value")))
 
 
 def branch_first_match(spark, folder):
@@ -222,6 +279,12 @@ def join_table_star(spark, folder):
     return s.df.select("offset", "value.value", "value.customer.c_name", "value.nation.n_name")
 
 
+def join_table_star_inner(spark, folder):
+    """Two tables, both needed: the records and what missed either."""
+    s = star_join(_wide(spark, folder), {"customer": (customers(spark, folder), F.col("key")), "nation": (nations(spark, folder), F.col("offset") % 30)}, "inner")
+    return s.df.select("offset", F.lit("joined").alias("stage")).unionByName(s.errors.select("offset", "stage"))
+
+
 def join_table_table(spark, folder):
     t = join_tables(customers(spark, folder), nations(spark, folder), "value.c_nationkey", F.struct("value.c_name", "right.n_name"))
     return t.df.select("key", "value.c_name", "value.n_name")
@@ -271,6 +334,27 @@ def table_compared(spark, folder):
     return tables.compared(_tombstoned(spark, folder).withColumn("version", F.floor("value")), F.col("version"), lambda new, current: new >= current).select("key", "offset", "version")
 
 
+def table_versioned_equal(spark, folder):
+    """Equal versions replace the row: a total order, by patches."""
+    return tables.versioned(_tombstoned(spark, folder), F.floor("value"), or_equal=True).select("key", "offset", "version")
+
+
+def materialize_by_value(spark, folder):
+    """Versions that the user's extractor reads from the value before, and the writer puts into the new one."""
+    rows = _tombstoned(spark, folder).withColumn("value", F.when(F.col("value").isNotNull(), F.col("event_type")))
+    out = tables.materialize_by(rows, lambda key, held: 0 if held is None else int(held.split("#")[1]), lambda version, value: None if value is None else f"{value}#{version}")
+    return out.select("key", "offset", "value", "version")
+
+
+def materialize_topic(spark, folder):
+    """Versioned values in a topic, and the newest of each key in a store."""
+    logs, registry = TopicLogs(spark, scratch_path(spark, "topics")), Registry()
+    stream = KeyedStream.source(_tombstoned(spark, folder).select("key", F.when(F.col("value").isNotNull(), F.col("event_type")).alias("value"), "offset"))
+    sinks.materialize_to(stream, logs, "versions", "newest", registry, IntCodec(), StringCodec(), write=lambda n, v: F.when(v.isNotNull(), F.concat_ws("#", v, n)))
+    topic = logs.read("versions").groupBy(F.lit("topic").alias("place"), F.col("value").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return topic.unionByName(registry.store("newest").df.groupBy(F.lit("store").alias("place"), "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def materialize_versions(spark, folder):
     return tables.materialize(_tombstoned(spark, folder)).select("key", "offset", "version")
 
@@ -315,14 +399,25 @@ def index_lookup(spark, folder):
 
 
 def index_dump(spark, folder):
-    d = _by_nation(spark, folder).dump("nation")
-    return d.select("index_key", F.size("keys").alias("n"), F.array_join("keys", ",").alias("keys"))
+    return _by_nation(spark, folder).dump("nation")
 
 
 def index_after_update(spark, folder):
-    """An index on the value of a table: a key is found under its newest value only."""
-    s = IndexedStore("last", tables.latest(_tombstoned(spark, folder)).select("key", "value", "event_type"), {"kind": "event_type"})
-    return s.dump("kind").select("index_key", F.size("keys").alias("n"), F.array_join("keys", ",").alias("keys"))
+    """Rows set, set anew and deleted in an indexed store: each is found under its newest value only."""
+    s = IndexedStore("last", tables.latest(_tombstoned(spark, folder)).select("key", F.col("event_type").alias("value")), {"kind": "value"})
+    return s.put(1, "changed").put(2, "first").put(2, "second").delete(3).put(-5, "new").dump("kind")
+
+
+def store_expiry(spark, folder):
+    """Rows with a time to live of their own: judged a second and an hour after they were set."""
+    s = _store(spark, folder)
+    out = None
+    for hours in (0, 1):
+        now = F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hours))
+        stored = Store("last", s.rows.select("key", "value").withColumn("expires", F.when(F.col("key") % 2 == 0, F.timestamp_seconds(F.lit(1_700_000_000 + 60)))), now=now)
+        d = stored.put(-1, 5.0, expiry_ms=1000).df.select(F.lit(hours).alias("hours"), "key")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 # --- sinks
@@ -348,9 +443,17 @@ def sink_rewrite(spark, folder):
 
 
 def uuid_dedup(spark, folder):
-    """Records that came twice, once."""
-    e = events(spark, folder)
-    return e.union(e).deduplicate("offset").df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """Deliveries of the transaction log, one of each message: by the UUID in any spelling, else by place."""
+    log = KeyedStream.source(table(spark, folder, "transaction_records").select("key", "value", "topic", "partition", "offset", "uuid"))
+    one = log.deduplicate().df
+    return one.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.count(canonical_uuid(F.col("uuid"))).alias("with_uuid"))
+
+
+def sink_through(spark, folder):
+    """Into a topic and on from there, with the topic's own positions."""
+    logs = TopicLogs(spark, scratch_path(spark, "topics"))
+    again = sinks.through(_plain(spark, folder), logs, "out", IntCodec(), StringCodec(), sinks.SinkOptions(tombstone="event_type = 'error'", prefix="app"))
+    return again.df.select("topic", "offset", "key", "value")
 
 
 def windowed_counts(spark, folder):
@@ -365,7 +468,7 @@ def uuid_messages(spark, folder):
 
 
 NAMED = (
-    source_scan, json_decode, decode_errors, record_headers, tagged_union, multi_topic, topic_offsets, table_offset_latest,
+    source_scan, json_decode, decode_errors, record_headers, tagged_union, multi_topic, topic_offsets, topic_uuids, function_errors, process_effect, join_table_star_inner, table_versioned_equal, materialize_by_value, materialize_topic, store_expiry, sink_through, table_offset_latest,
     filter_event_age, transform_value, transform, transform_python, select_key, process_peek, branch_first_match, branch_strict_siblings, flat_map, scalar_functions, union_sinks,
     join_table_inner, join_table_left, join_table_miss, join_table_chain, join_table_star, join_table_table, join_table_keyed, join_stream, join_stream_chain, join_stream_rekeyed,
     table_latest, table_versioned, table_compared, materialize_versions, changelog_compact, ttl_expired,
@@ -399,15 +502,21 @@ SQL = {
     "tagged_union": f"""SELECT coalesce(CASE WHEN kind IN ('account_credited', 'account_debited') THEN kind END, 'undecodable value') AS kind, count(*) AS n FROM (
         SELECT CASE WHEN json_type({_TXT}) = 'OBJECT' THEN json_extract_string({_TXT}, '$.type') END AS kind FROM transaction_records WHERE value IS NOT NULL) GROUP BY ALL""",
     "multi_topic": "SELECT topic, partition, count(*) AS n, count(value) AS n_values FROM (SELECT topic, partition, value FROM transaction_records UNION ALL SELECT topic, partition, value FROM account_detail_records UNION ALL SELECT topic, partition, value FROM customer_profile_records) GROUP BY ALL",
-    "topic_offsets": "SELECT CAST(user_id % 8 AS INT) AS partition, min(event_id) AS oldest, max(event_id) AS latest, count(*) AS records FROM events GROUP BY ALL",
-    "table_offset_latest": "SELECT user_id AS key, event_id AS \"offset\", value FROM events WHERE event_id >= (SELECT max(event_id) FROM events) * 9 / 10 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "topic_offsets": "SELECT CAST(user_id % 8 AS INT) AS partition, CAST(0 AS BIGINT) AS oldest, count(*) - 1 AS latest, count(*) AS records FROM events GROUP BY ALL",
+    "topic_uuids": "SELECT 'e_' || event_id AS uuid, user_id AS key FROM events",
+    "function_errors": """WITH t AS (SELECT event_id, user_id % 10 = 3 AS bad, user_id % 5 AS n FROM events)
+        SELECT CASE WHEN bad THEN 'cast' WHEN n = 0 THEN 'divide' WHEN 12.0 / n = 4 THEN 'python' ELSE 'done' END AS stage, event_id AS "offset", CASE WHEN NOT bad AND n <> 0 AND 12.0 / n <> 4 THEN 24.0 / n END AS value FROM t""",
+    "process_effect": "SELECT CASE WHEN value > 90 THEN 'function failed' ELSE 'passed' END AS what, event_id AS \"offset\" FROM events",
+    "join_table_star_inner": "SELECT event_id AS \"offset\", CASE WHEN c_custkey IS NULL THEN 'customer' WHEN n_nationkey IS NULL THEN 'nation' ELSE 'joined' END AS stage FROM events LEFT JOIN customer ON c_custkey = user_id * 20 LEFT JOIN nation ON n_nationkey = event_id % 30",
+    "table_offset_latest": """WITH r AS (SELECT user_id AS key, CAST(user_id % 8 AS INT) AS partition, value, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS o FROM events),
+        e AS (SELECT partition, max(o) * 9 // 10 AS s FROM r GROUP BY ALL) SELECT key, partition, o AS "offset", value FROM r JOIN e USING (partition) WHERE o >= s QUALIFY row_number() OVER (PARTITION BY key ORDER BY o DESC) = 1""",
     "filter": "SELECT user_id AS key, event_id AS \"offset\", value FROM events WHERE event_type = 'click' AND value > 10",
     "filter_event_age": "SELECT user_id AS key, event_id AS \"offset\" FROM events WHERE (SELECT max(epoch_us(ts)) FROM events) - epoch_us(ts) <= 7 * 86400000000",
     "transform_value": "SELECT user_id AS key, event_id AS \"offset\", value * 2 AS doubled, upper(event_type) AS kind FROM events",
     "transform": "SELECT event_type AS key, concat_ws('-', event_type, CAST(user_id AS VARCHAR)) AS value, event_id AS \"offset\" FROM events",
     "transform_python": "SELECT user_id AS key, value * 3 + user_id AS value, event_id AS \"offset\" FROM events",
     "select_key": f"SELECT {_K} AS key, event_id AS \"offset\", value FROM events",
-    "process_peek": "SELECT user_id AS key, event_id AS \"offset\", value FROM events",
+    "process_peek": "SELECT count(*) AS n, max(value) AS top FROM events",
     "branch_first_match": "SELECT * FROM (SELECT CASE WHEN value > 60 THEN 'large' WHEN event_type = 'click' THEN 'click' WHEN value < 20 THEN 'small' END AS branch, user_id AS key, event_id AS \"offset\" FROM events) WHERE branch IS NOT NULL",
     "branch_strict_siblings": """SELECT 'first' AS sibling, event_type, count(*) AS n FROM events WHERE value > 20 GROUP BY ALL UNION ALL SELECT 'second', event_type, count(*) FROM events WHERE value > 20 AND event_type <> 'error' GROUP BY ALL
         UNION ALL SELECT 'third', event_type, count(*) FROM events WHERE value > 20 AND event_type <> 'error' AND user_id % 2 = 0 GROUP BY ALL""",
@@ -431,6 +540,13 @@ SQL = {
         t AS (SELECT *, max(CASE WHEN version IS NULL THEN "offset" END) OVER (PARTITION BY key) AS d FROM e) SELECT key, "offset", version FROM t WHERE d IS NULL OR "offset" > d QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, "offset") = 1""",
     "table_compared": """WITH e AS (SELECT user_id AS key, event_id AS "offset", CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) END AS version FROM events),
         t AS (SELECT *, max(CASE WHEN version IS NULL THEN "offset" END) OVER (PARTITION BY key) AS d FROM e) SELECT key, "offset", version FROM t WHERE d IS NULL OR "offset" > d QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, "offset" DESC) = 1""",
+    "table_versioned_equal": """WITH e AS (SELECT user_id AS key, event_id AS "offset", CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) END AS version FROM events),
+        t AS (SELECT *, max(CASE WHEN version IS NULL THEN "offset" END) OVER (PARTITION BY key) AS d FROM e) SELECT key, "offset", version FROM t WHERE d IS NULL OR "offset" > d QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, "offset" DESC) = 1""",
+    "materialize_by_value": """SELECT key, "offset", CASE WHEN event_type <> 'error' THEN event_type || '#' || version END AS value, version FROM (SELECT key, "offset", event_type, row_number() OVER (PARTITION BY key, seg ORDER BY "offset") AS version FROM (SELECT user_id AS key, event_id AS "offset", event_type,
+        coalesce(count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM events))""",
+    "materialize_topic": """WITH v AS (SELECT key, "offset", CASE WHEN event_type <> 'error' THEN event_type || '#' || version END AS value FROM (SELECT key, "offset", event_type, row_number() OVER (PARTITION BY key, seg ORDER BY "offset") AS version FROM (SELECT user_id AS key, event_id AS "offset", event_type,
+        coalesce(count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM events)))
+        SELECT 'topic' AS place, value, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'store', value, count(*) FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY "offset" DESC) = 1) WHERE value IS NOT NULL GROUP BY ALL""",
     "materialize_versions": """SELECT key, "offset", row_number() OVER (PARTITION BY key, seg ORDER BY "offset") AS version FROM (SELECT user_id AS key, event_id AS "offset",
         coalesce(count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM events)""",
     "changelog_compact": f"SELECT key, \"offset\", event_type FROM ({_LIVE})",
@@ -439,12 +555,15 @@ SQL = {
     "store_range": f"SELECT key, value FROM ({_LIVE}) WHERE key BETWEEN 10 AND 50",
     "store_scan": f"SELECT key, value FROM ({_LIVE}) WHERE key >= 5",
     "index_lookup": "SELECT c_custkey AS key, c_name FROM customer WHERE c_nationkey = 7",
-    "index_dump": "SELECT c_nationkey AS index_key, CAST(count(*) AS INT) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS keys FROM customer GROUP BY ALL",
-    "index_after_update": f"SELECT event_type AS index_key, CAST(count(*) AS INT) AS n, string_agg(CAST(key AS VARCHAR), ',' ORDER BY key) AS keys FROM ({_LIVE}) GROUP BY ALL",
+    "index_dump": "SELECT c_nationkey AS index_key, c_custkey AS key FROM customer",
+    "index_after_update": f"""SELECT index_key, key FROM (SELECT event_type AS index_key, key FROM ({_LIVE}) WHERE key NOT IN (1, 2, 3) UNION ALL VALUES ('changed', 1), ('second', 2), ('new', -5))""",
+    "store_expiry": f"SELECT 0 AS hours, key FROM ({_LIVE}) UNION ALL SELECT 1, key FROM ({_LIVE}) WHERE key % 2 <> 0 UNION ALL SELECT h, -1 FROM (VALUES (0), (1)) t(h)",
+    "sink_through": f"""SELECT 'app_out' AS topic, row_number() OVER (ORDER BY event_id) - 1 AS "offset", user_id AS key, CASE WHEN event_type <> 'error' THEN {_PLAIN_V} END AS value FROM events""",
     "sink_tombstone": f"SELECT 'app_out' AS topic, event_id AS \"offset\", CAST(user_id AS VARCHAR) AS key, CASE WHEN event_type <> 'error' THEN {_PLAIN_V} END AS value FROM events",
     "sink_headers": "SELECT event_id AS \"offset\", event_type AS kind, CAST(2 AS INT) AS n, CAST(NULL AS VARCHAR) AS missing FROM events",
     "sink_rewrite": f"SELECT event_id AS \"offset\", CAST(user_id + 1000 AS VARCHAR) AS key, upper({_PLAIN_V}) AS value FROM events",
-    "uuid_dedup": "SELECT user_id AS key, count(*) AS n FROM events GROUP BY ALL",
+    "uuid_dedup": """WITH r AS (SELECT topic, CASE WHEN length(u) = 32 AND u <> repeat('0', 32) THEN u END AS u, partition, "offset" AS o FROM (SELECT *, replace(replace(replace(replace(lower(trim(uuid)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '') AS u FROM transaction_records))
+        SELECT topic, count(DISTINCT coalesce(u, concat_ws('|', topic, CAST(partition AS VARCHAR), CAST(o AS VARCHAR)))) AS messages, count(DISTINCT u) AS with_uuid FROM r GROUP BY topic""",
     "windowed_counts": "SELECT user_id AS key, epoch_ms(date_trunc('hour', ts)) AS start_ms, count(*) AS n, max(value) AS top FROM events GROUP BY ALL",
     "uuid_messages": """SELECT count(DISTINCT u) AS messages, count(*) FILTER (u IS NULL) AS without FROM (SELECT CASE WHEN u <> repeat('0', 32) THEN u END AS u FROM (
         SELECT replace(replace(replace(replace(lower(trim(uuid)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '') AS u FROM transaction_records))""",

@@ -4,7 +4,8 @@
     GET /indexes                                names of all indexes
     GET /stores/{store}                         [{key, value}], at most ``limit`` rows a page (after=key for the next)
     GET /stores/{store}/indexes                 names
-    GET /stores/{store}/indexes/{index}         {index value: [keys]}, the same way in pages (after=index value)
+    GET /stores/{store}/indexes/{index}         {index value: [keys]}, at most ``limit`` entries a page, in their order (after=index value
+                                                and, to go on within a value, after_key=key)
     GET /stores/{store}/indexes/{index}/{key}   [{key, value}] under an index value, the same way in pages (after=key)
     GET /stores/{store}/{key}                   {key, value}; a missing value is null
 """
@@ -53,8 +54,14 @@ def answer(registry: Registry, path: str) -> tuple[int, object]:
             case ["stores", name, "indexes"]:
                 return 200, registry.indexes(name)
             case ["stores", name, "indexes", index]:
-                d = _after(_indexed(registry, name).dump(index), "index_key", after)
-                return 200, {str(_plain(r["index_key"])): _plain(r["keys"]) for r in d.orderBy("index_key").limit(limit).collect()}
+                d, key = _indexed(registry, name).dump(index), q.get("after_key", [None])[0]
+                rest = _after(d, "index_key", after)
+                if after is not None and key is not None:
+                    rest = rest.unionByName(_after(d.where(F.col("index_key") == F.lit(after).cast(d.schema["index_key"].dataType)), "key", key))
+                page: dict[str, list] = {}
+                for r in rest.orderBy("index_key", "key").limit(limit).collect():
+                    page.setdefault(str(_plain(r["index_key"])), []).append(_plain(r["key"]))
+                return 200, page
             case ["stores", name, "indexes", index, key]:
                 s = _indexed(registry, name)
                 hit = _after(s.df.where(s.index(index).cast("string") == key), "key", after)

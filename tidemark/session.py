@@ -65,7 +65,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what is read several times is computed once, and later reads are pruned.
 
-    The folder's owner removes it with the other intermediate tables.
+    It goes with the other intermediate tables (:func:`scratch_path`).
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -73,8 +73,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the application's own folder in the shared one, which is deleted when the application ends."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    root = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_tidemark_scratch", None) != root:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        spark.sparkContext._tidemark_scratch = root
+    return root
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables now: when the results that were read from them are no longer needed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark.sparkContext._tidemark_scratch = None
 
 
 def columns(df: DataFrame) -> list[Column]:

@@ -56,6 +56,10 @@ class Files:
         """The whole paths of the files in a folder whose names end so."""
         return [s.getPath().toString() for s in self._fs.listStatus(self._path(name)) if s.getPath().getName().endswith(suffix)]
 
+    def size(self, path: str) -> int:
+        """The length of a file, by its whole path."""
+        return self._fs.getFileStatus(self._jvm.org.apache.hadoop.fs.Path(path)).getLen()
+
     def rename(self, name: str, other: str) -> None:
         if not self._fs.rename(self._path(name), self._path(other)):
             raise OSError(f"{name} can't be renamed")

@@ -94,6 +94,17 @@ class VersionedTable:
         self._create(f"{VERSIONS}/{old.version + 1:012d}.json", json.dumps({"files": files, "processed": old.processed | (processed or {}), "details": old.details | (details or {})}))
         return old.version + 1
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the data files that none of the last ``keep`` versions has but the version before them had; how many."""
+        newest = self.latest()
+        if newest <= keep:
+            return 0
+        used = {f for v in range(newest - keep + 1, newest + 1) for f in self.manifest(v).files}
+        gone = [f for f in self.manifest(newest - keep).files if f not in used]
+        for f in gone:
+            self.files.delete(f"data/{f.rpartition('/data/')[2]}")
+        return len(gone)
+
     def append(self, df: DataFrame, processed: dict[str, int] | None = None) -> int:
         return self.commit(add=self.write_files(df), processed=processed)
 

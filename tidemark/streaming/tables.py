@@ -15,7 +15,9 @@ from tidemark.operators.tables import Table
 from tidemark.plans.topology import Node
 from tidemark.sources.versioned import VersionedTable
 
-BUCKETS = 64
+#: Buckets of a new table, and the bytes of a bucket at which their number is doubled.
+BUCKETS = 4
+BUCKET_BYTES = 128 << 20
 
 
 class LiveTable:
@@ -23,27 +25,42 @@ class LiveTable:
 
     A micro-batch rewrites only the buckets (hash of the key) that it
     touches, and commits them together with its number in one manifest, so
-    that a repeated micro-batch changes nothing.  Rules as for
+    that a repeated micro-batch changes nothing.  The number of buckets
+    follows the table: when those that a micro-batch wrote have grown beyond
+    ``bucket_bytes`` each, the next one doubles it.  Files that only older
+    versions than the last two have are deleted.  Rules as for
     :func:`tidemark.operators.tables.latest` and, with ``version``,
-    ``versioned``; the row's whole record is kept.  ``prepare`` is the user's
-    writer: what it makes of a micro-batch's changes is applied.
+    ``versioned``; the row's whole record is kept.
+
+    ``prepare`` is given a micro-batch's changes, and what it makes of them is
+    applied.  ``write`` is the user's writer: it is called with this table,
+    the changes and the micro-batch's number instead of :meth:`apply`, and
+    calls that (or not) with what it wants to be there.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, version: Column | None = None, buckets: int = BUCKETS, prepare: Callable[[DataFrame], DataFrame] | None = None):
-        self.prepare = prepare
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, version: Column | None = None, buckets: int = BUCKETS, prepare: Callable[[DataFrame], DataFrame] | None = None, write: Callable[[LiveTable, DataFrame, int], None] | None = None, bucket_bytes: int = BUCKET_BYTES):
+        self.prepare, self.write, self.bucket_bytes = prepare, write, bucket_bytes
         self.version, self.buckets, self.record = version, buckets, schema
         state = T.StructType([T.StructField("key", schema["key"].dataType), T.StructField("ver", T.DoubleType()), T.StructField("pos", T.StructType(schema.fields)), T.StructField("bucket", T.IntegerType())])
         self.store = VersionedTable(spark, path, state)
 
     def upsert(self, changes: DataFrame, number: int) -> None:
-        """Apply a micro-batch, once for each number."""
+        """Pass a micro-batch on to the user's writer or to :meth:`apply`."""
+        (self.write or LiveTable.apply)(self, self.prepare(changes) if self.prepare else changes, number)
+
+    def apply(self, changes: DataFrame, number: int) -> None:
+        """Apply a micro-batch's changes, once for each number."""
         done = self.store.manifest()
         if done.processed.get("micro-batch", -1) >= number:
             return
-        changes = (self.prepare(changes) if self.prepare else changes).where(F.col("key").isNotNull())
-        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in changes.select(bucket).distinct().collect()]  # numbers below BUCKETS
-        old = {f: v for f, v in done.files.items() if any(f"/bucket={b}/" in f for b in touched)}
+        changes = changes.where(F.col("key").isNotNull())
+        buckets = int(done.details.get("buckets", self.buckets))
+        grow = done.details.get("grow") == "yes"
+        if grow:
+            buckets *= 2
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+        touched = {r[0] for r in changes.select(bucket).distinct().collect()}  # numbers of buckets
+        old = {f: v for f, v in done.files.items() if grow or int(f.rpartition("/bucket=")[2].partition("/")[0]) in touched}
         base = self.store._scan(old).drop("bucket")
         # without a version every change is newer: versions are the offsets
         ver = self.version if self.version is not None else F.col("offset")
@@ -54,7 +71,10 @@ class LiveTable:
         folder = f"data/{uuid.uuid4().hex}"
         kept = state.withColumn("bucket", bucket)
         kept.withColumn("b", F.col("bucket")).repartition("b").write.partitionBy("b").parquet(f"{self.store.path}/{folder}")
-        self.store.commit(add=self._files(folder), remove=list(old), processed={"micro-batch": number}, base=done.version)
+        files = self._files(folder)
+        large = sum(self.store.files.size(f) for f in files) > self.bucket_bytes * max(1, len({f.rpartition("/bucket=")[2].partition("/")[0] for f in files}))
+        self.store.commit(add=files, remove=list(old), processed={"micro-batch": number}, base=done.version, details={"buckets": str(buckets), "grow": "yes" if large else "no"})
+        self.store.vacuum()
 
     def _files(self, folder: str) -> list[str]:
         """Files of the folder ``b=<n>`` are moved to ``bucket=<n>``, so that the column in the file isn't one of the path."""
