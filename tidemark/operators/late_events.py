@@ -21,7 +21,7 @@ per source and batch, then over one row per batch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +39,21 @@ _LONG_MIN = -(1 << 63)
 
 @dataclass(frozen=True)
 class Periods:
-    """``aggregates``: a row per key and period; ``diverted``: the records left out, with ``reason``; ``closings``: a row per period with ``closed_in`` (NULL: still open)."""
+    """``aggregates``: a row per key and period; ``diverted``: the records left out, with ``reason``; ``closings``: a row per period with ``closed_in`` (NULL: still open). Each is planned when it is asked for."""
 
-    aggregates: DataFrame
-    diverted: DataFrame
-    closings: DataFrame
+    _plans: dict[str, Callable[[], DataFrame]]
+
+    @property
+    def aggregates(self) -> DataFrame:
+        return self._plans["aggregates"]()
+
+    @property
+    def diverted(self) -> DataFrame:
+        return self._plans["diverted"]()
+
+    @property
+    def closings(self) -> DataFrame:
+        return self._plans["closings"]()
 
 
 @dataclass(frozen=True)
@@ -150,27 +160,35 @@ def close_periods(records: DataFrame, keys: Sequence[str], measures: dict[str, C
     in_time = rule.in_time(arrival, at)
     lows = low_watermarks(shown(records, punctuations), rule)
     marks = lows.select(F.col("batch").alias("_tm_batch"), F.col("before").alias("_tm_before"))
-    cells = (
-        timed.where(known & in_time)
-        .groupBy(*keys, "period_start", F.col("batch").cast("bigint").alias("_tm_in"), rule.late(arrival, at).alias("_tm_late"))
-        .agg(F.count(F.lit(1)).alias("_tm_n"), *(F.sum(c).alias(f"_tm_sum_{m}") for m, c in measures.items()))
-    )
-    # every batch of a record with an arrival has a mark
-    cells = cells.join(marks, F.col("_tm_in") == F.col("_tm_batch"), "left")
-    behind, late, n = rule.reached(F.col("_tm_before"), at), F.col("_tm_late"), F.col("_tm_n")
-    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
-    aggregates = cells.groupBy(*keys, "period_start").agg(
-        total(~late & ~behind).alias("n_on_time"),
-        total(late & ~behind).alias("n_late"),
-        total(~behind).alias("n_total"),
-        *(F.sum(F.when(~late & ~behind, F.col(f"_tm_sum_{m}"))).alias(f"{m}_on_time") for m in measures),
-        *(F.sum(F.when(~behind, F.col(f"_tm_sum_{m}"))).alias(f"{m}_total") for m in measures),
-        F.count_if(late & ~behind).alias("n_revisions"),
-        total(behind).alias("n_after_close"),
-        total(behind & late).alias("n_late_after_close"),
-    )
-    reason = F.when(~known, "no_time").when(~in_time, "past_cut_off").when(rule.reached(F.col("_tm_before"), at), "after_close")
-    diverted = timed.join(marks, F.col("batch").cast("bigint") == F.col("_tm_batch"), "left").withColumn("reason", reason).where("reason IS NOT NULL").drop("_tm_batch", "_tm_before")
-    last = records.where("arrival_ms IS NOT NULL").agg(F.max(F.col("batch").cast("bigint"))).scalar()
-    closings = closing_batches(timed.where(known & in_time).select("period_start").distinct(), lows, last, rule)
-    return Periods(aggregates, diverted, closings)
+    behind = rule.reached(F.col("_tm_before"), at)
+
+    def aggregates() -> DataFrame:
+        cells = (
+            timed.where(known & in_time)
+            .groupBy(*keys, "period_start", F.col("batch").cast("bigint").alias("_tm_in"), rule.late(arrival, at).alias("_tm_late"))
+            .agg(F.count(F.lit(1)).alias("_tm_n"), *(F.sum(c).alias(f"_tm_sum_{m}") for m, c in measures.items()))
+        )
+        # every batch of a record with an arrival has a mark
+        cells = cells.join(marks, F.col("_tm_in") == F.col("_tm_batch"), "left")
+        late, n = F.col("_tm_late"), F.col("_tm_n")
+        total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+        return cells.groupBy(*keys, "period_start").agg(
+            total(~late & ~behind).alias("n_on_time"),
+            total(late & ~behind).alias("n_late"),
+            total(~behind).alias("n_total"),
+            *(F.sum(F.when(~late & ~behind, F.col(f"_tm_sum_{m}"))).alias(f"{m}_on_time") for m in measures),
+            *(F.sum(F.when(~behind, F.col(f"_tm_sum_{m}"))).alias(f"{m}_total") for m in measures),
+            F.count_if(late & ~behind).alias("n_revisions"),
+            total(behind).alias("n_after_close"),
+            total(behind & late).alias("n_late_after_close"),
+        )
+
+    def diverted() -> DataFrame:
+        reason = F.when(~known, "no_time").when(~in_time, "past_cut_off").when(behind, "after_close")
+        return timed.join(marks, F.col("batch").cast("bigint") == F.col("_tm_batch"), "left").withColumn("reason", reason).where("reason IS NOT NULL").drop("_tm_batch", "_tm_before")
+
+    def closings() -> DataFrame:
+        last = records.where("arrival_ms IS NOT NULL").agg(F.max(F.col("batch").cast("bigint"))).scalar()
+        return closing_batches(timed.where(known & in_time).select("period_start").distinct(), lows, last, rule)
+
+    return Periods({"aggregates": aggregates, "diverted": diverted, "closings": closings})

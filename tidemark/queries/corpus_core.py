@@ -24,12 +24,12 @@ TRANSACTION = "type string, body struct<amount: decimal(18,2)>, timestamp double
 # --- 1: late and out-of-order events
 
 
-def first_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """First deliveries in the transaction log with a readable key, as narrow rows for :func:`late_events.close_periods`.
+def first_transactions(spark: SparkSession, folder: str, amounts: bool = True) -> DataFrame:
+    """First deliveries in the transaction log with a readable key, as narrow rows for :func:`late_events.close_periods`, with or without their amounts.
 
     All columns are fixed-width, so copies are aggregated by hash before the shuffle.
     """
-    payload = strict_json(F.col("value"), TRANSACTION)
+    payload = strict_json(F.col("value"), TRANSACTION if amounts else "timestamp double")
     rows = table(spark, folder, "transaction_records").select(*message_identity("transaction"), "delivery_id", "key", "partition", "batch_id", "timestamp", "block_timestamp", payload.alias("p"))
     read = F.col("p.timestamp").isNotNull()
     rows = rows.select(
@@ -40,10 +40,9 @@ def first_transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("batch_id").alias("batch"),
         F.when(read, payload_ms(F.col("p.timestamp"))).otherwise(F.unix_millis("timestamp")).alias("event_ms"),
         F.coalesce(F.unix_millis("block_timestamp"), F.unix_millis("timestamp")).alias("arrival_ms"),
-        F.when(read & F.col("p.type").isin("account_credited", "account_debited"), F.col("p.body.amount")).alias("amount"),
-        F.when(read, F.col("p.type") == "account_credited").alias("is_credit"),
+        *([F.when(read & F.col("p.type").isin("account_credited", "account_debited"), F.col("p.body.amount")).alias("amount"), F.when(read, F.col("p.type") == "account_credited").alias("is_credit")] if amounts else []),
     )
-    carried = ["account_no", "source", "batch", "event_ms", "arrival_ms", "amount", "is_credit"]
+    carried = ["account_no", "source", "batch", "event_ms", "arrival_ms", *(["amount", "is_credit"] if amounts else [])]
     first = rows.groupBy(*IDENTITY).agg(*(F.min_by(c, "delivery_id").alias(c) for c in carried))
     return first.where("account_no IS NOT NULL").select(*carried)
 
@@ -52,20 +51,20 @@ def first_transactions(spark: SparkSession, folder: str) -> DataFrame:
 CLOSING = late_events.Rule(slack_ms=6 * late_events.HOUR_MS, by_batch=True)
 
 
-def _periods(spark: SparkSession, folder: str) -> late_events.Periods:
+def _periods(spark: SparkSession, folder: str, amounts: bool = True) -> late_events.Periods:
     credited = F.col("is_credit")
     return late_events.close_periods(
         # two passes: over the watermarks and over the periods
-        written(first_transactions(spark, folder), "first"),
+        written(first_transactions(spark, folder, amounts), "first"),
         ["account_no"],
-        {"credits": F.when(credited, F.col("amount")), "debits": F.when(~credited, F.col("amount"))},
+        {"credits": F.when(credited, F.col("amount")), "debits": F.when(~credited, F.col("amount"))} if amounts else {},
         CLOSING,
     )
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Accounts and hours with messages that arrived late but in time: corrections, and what was delivered after the hour was closed."""
-    return _periods(spark, folder).aggregates.where("n_late + n_late_after_close > 0").select("account_no", "period_start")
+    return _periods(spark, folder, amounts=False).aggregates.where("n_late + n_late_after_close > 0").select("account_no", "period_start")
 
 
 def p1_periods(spark: SparkSession, folder: str) -> DataFrame:
