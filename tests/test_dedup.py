@@ -1,11 +1,14 @@
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.functions.records import IDENTITY, canonical_uuid, message_identity
+from tidemark.operators import dedup
 from tidemark.operators.dedup import FILES_A_FOLDER, apply_vectors, deletion_vectors, deletions, positions, read_without, store_vectors
 from tidemark.queries import corpus_core
 from tidemark.queries.corpus_core import LOGS
@@ -113,6 +116,26 @@ def test_found_comes_by_vectors(spark, monkeypatch):
     assert rows(got) == rows(lost) != []
 
 
+def test_a_folder_that_python_cannot_open(spark, log, monkeypatch):
+    data, path = log
+    lost = deletions(positions(spark.read.parquet(path), message_identity("log"), F.col("delivery_id")), IDENTITY, True)
+    stored = store_vectors(spark, deletion_vectors(lost), 5)
+    monkeypatch.setattr(dedup, "_file_system", lambda path: (_ for _ in ()).throw(OSError("no such kind")))
+    schema, files = spark.read.parquet(path).schema, spark.read.parquet(path).inputFiles()
+    kept, gone = (sorted(r["delivery_id"] for r in apply_vectors(spark, schema, files, stored, d).collect()) for d in (False, True))
+    assert kept == sorted(brute(data)) and sorted(kept + gone) == sorted(r[4] for r in data)
+
+
+def test_a_folder_that_is_not_shared(spark, log):
+    """Vectors that a task can't see are an error, not rows that were never deleted."""
+    _, path = log
+    lost = deletions(positions(spark.read.parquet(path), message_identity("log"), F.col("delivery_id")), IDENTITY, True)
+    stored = store_vectors(spark, deletion_vectors(lost), 5)
+    shutil.rmtree(stored.path.removeprefix("file:"))
+    with pytest.raises(PythonException, match="isn't shared"):
+        apply_vectors(spark, spark.read.parquet(path).schema, spark.read.parquet(path).inputFiles(), stored).collect()
+
+
 def test_names_with_escapes(spark, tmp_path):
     """Paths with blanks, signs and characters that a URI escapes."""
     path = str(tmp_path / "a b=c%20d+é")

@@ -17,6 +17,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,7 +96,9 @@ class Stored:
 
 def store_vectors(spark: SparkSession, vectors: DataFrame, n_files: int, path: str | None = None) -> Stored:
     """Write the vectors of a table of ``n_files`` files; small row groups, so that one file's words are read alone."""
-    stored = Stored(path or scratch_path(spark, "vectors"), max(1, -(-n_files // FILES_A_FOLDER)))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path or scratch_path(spark, "vectors"))
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    stored = Stored(whole, max(1, -(-n_files // FILES_A_FOLDER)))
     placed = vectors.withColumn("b", F.pmod("_tm_h", F.lit(stored.folders)))
     placed.repartition("b").sortWithinPartitions("b", *FILE, "_tm_word").write.partitionBy("b").option("parquet.block.size", 1 << 20).parquet(stored.path)
     return stored
@@ -109,6 +112,9 @@ def plain_name(uri: str) -> str:
 
 @cache
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path, for Python, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path)
 
 
@@ -122,6 +128,8 @@ def _words(stored: Stored, h: int, g: int) -> tuple[np.ndarray, np.ndarray]:
         system, root = _file_system(stored.path)
         folder = f"{root}/b={h % stored.folders}"
         names = [i.path for i in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.path.endswith(".parquet")]
+        if not names and system.get_file_info(root).type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"{stored.path} isn't shared with this executor")
         found = [pq.read_table(n, filesystem=system, columns=["_tm_word", "_tm_mask"], filters=[("_tm_h", "=", h), ("_tm_g", "=", g)], partitioning=None) for n in names]
         word, mask = (np.concatenate([np.zeros(0, np.int64), *(t[c].to_numpy() for t in found)]) for c in ("_tm_word", "_tm_mask"))
         order = np.argsort(word)
@@ -163,11 +171,25 @@ def apply_vectors(spark: SparkSession, schema: T.StructType, files: list[str], v
     which Python workers must be able to open by its URI.  The plan is one
     scan and one filter, of the same size however many files and vectors
     there are; nothing is broadcast, and no payload is shuffled or sent to
-    Python.  Files without vectors are left as they are; no files give no rows.
+    Python.  Only where the shared folder is of a kind that Python can't open
+    the rows are joined with the vectors.  Files without vectors are left as
+    they are; no files give no rows.
     """
     if not files:
         return spark.createDataFrame([], schema)
     stored = vectors if isinstance(vectors, Stored) else store_vectors(spark, vectors, len(files))
     scan = spark.read.schema(schema).parquet(*map(unquote, files)).select("*", *file_name(), row_index())
+    try:
+        _file_system(stored.path)
+    except (pa.ArrowException, OSError, ImportError):
+        return _joined(scan, stored, deleted)
     gone = _deleted(stored)
     return scan.where(gone if deleted else ~gone).drop(*FILE, "_tm_row")
+
+
+def _joined(scan: DataFrame, stored: Stored, deleted: bool) -> DataFrame:
+    """The same by a join of the rows with the vectors' words."""
+    words = scan.sparkSession.read.schema(VECTORS).parquet(stored.path).select(*FILE, "_tm_word", "_tm_mask")
+    joined = scan.withColumn("_tm_word", F.expr(f"_tm_row div {WORD}")).join(words, [*FILE, "_tm_word"], "inner" if deleted else "left")
+    gone = F.coalesce(F.expr(f"(shiftrightunsigned(_tm_mask, CAST(_tm_row % {WORD} AS INT)) & 1L) = 1L"), F.lit(False))
+    return joined.where(gone if deleted else ~gone).drop(*FILE, "_tm_row", "_tm_word", "_tm_mask")
