@@ -51,7 +51,9 @@ def p7_verified(spark: SparkSession, folder: str) -> DataFrame:
     )
     boxes = placed.groupBy("container").agg(F.sum("size").alias("s")).agg(F.count_if(F.col("s") > CAPACITY).alias("over_capacity"), F.count(F.lit(1)).alias("n"))
     wrong = boxes.select("over_capacity", F.lit(packing.containers).alias("said"), "n").select("over_capacity", (F.col("said") - F.col("n")).alias("miscounted"), F.greatest(F.lit(packing.lower_bound) - F.col("n"), F.lit(0).cast("bigint")).alias("below_bound"))
-    return docs.join(wrong)
+    every = [*docs.columns, *wrong.columns]
+    rows = [x.select(*((F.col(c) if c in x.columns else F.lit(0)).cast("bigint").alias(c) for c in every)) for x in (docs, wrong)]
+    return rows[0].unionByName(rows[1]).agg(*(F.sum(c).alias(c) for c in every))
 
 
 def p8_verified(spark: SparkSession, folder: str) -> DataFrame:
