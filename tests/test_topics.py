@@ -254,10 +254,10 @@ def test_an_application_starts_a_stream_again(spark, logs, tmp_path):
     app.await_end()
     with urllib.request.urlopen(f"http://127.0.0.1:{app.server.server_port}/stores") as f:
         assert json.load(f) == []
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
     app.stop()
+    assert not spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
     assert tries == [0, 0, 0] and logs.read("out").count() == 1 and logs.read("out_dead").count() == 1
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     failing = Application(spark, EngineConfig("failing", str(tmp_path / "cp"), shuffle_partitions=4))
     failing.add_stream("never", s, lambda df, n: 1 / 0, StreamConfig(retries=1, retry_interval_ms=1))
     failing.start(once=True)

@@ -99,7 +99,7 @@ class TopicLogs:
 
         ``hash``: equal keys share a partition, NULL keys are partition 0;
         ``manual``: the column ``partition``; ``random``: any; or an expression
-        of the key and value.  Offsets go on
+        of the key and value; where these give NULL it is partition 0.  Offsets go on
         from the partition's last, in the order of ``order`` (bigint) or as the
         rows come; they are counted split by split, so a partition with a
         third of all rows isn't numbered by one task.  Where they go on is
@@ -124,7 +124,7 @@ class TopicLogs:
             (F.col("timestamp") if "timestamp" in have else F.current_timestamp()).alias("timestamp"),
             (F.col("headers") if "headers" in have else F.array()).cast(HEADERS).alias("headers"),
             (uuid if uuid is not None else F.expr("uuid()")).alias("uuid"),
-            place.cast("int").alias("partition"),
+            F.coalesce(place.cast("int"), F.lit(0)).alias("partition"),
             (order if order is not None else F.monotonically_increasing_id()).alias("_order"),
         )
         batch = self._next_batch(topic)

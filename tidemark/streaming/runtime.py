@@ -76,6 +76,7 @@ class Application:
     _settings: dict[str, StreamConfig] = field(default_factory=dict)
     _left: dict[str, int] = field(default_factory=dict)
     _named: dict[str, StreamingQuery] = field(default_factory=dict)
+    _before: dict[str, str | None] = field(default_factory=dict)
     server: object = None
     queries: list[StreamingQuery] = field(default_factory=list)
     metrics: Metrics = field(default_factory=Metrics)
@@ -126,6 +127,7 @@ class Application:
     def start(self, once: bool = False) -> list[StreamingQuery]:
         """Run; with ``once`` the streams end when they have processed what there is."""
         for setting, v in self.config.spark_settings().items():
+            self._before[setting] = self.spark.conf.get(setting, None)
             self.spark.conf.set(setting, v)
         self.spark.streams.addListener(self.metrics)
         self.bootstrap()
@@ -162,9 +164,12 @@ class Application:
                 waiting.append(again)
 
     def stop(self) -> None:
-        """Stop the streams, then the tables' queries; what was committed stays."""
+        """Stop the streams, then the tables' queries; what was committed stays, and the session's settings are as before."""
         for q in reversed(self.queries):
             q.stop()
+        for setting, v in self._before.items():
+            self.spark.conf.unset(setting) if v is None else self.spark.conf.set(setting, v)
+        self._before.clear()
         self.queries.clear()
         if self.server is not None:
             self.server.shutdown()
