@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.records import IDENTITY, LONG_MAX, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, payload_time, strict_json, uuid_key_text
+from tidemark.functions.records import IDENTITY, account_key_text, account_number, canonical_uuid, message_identity, payload_ms, payload_time, strict_json, uuid_key_text
 from tidemark.operators import cdc, dedup, hot_keys, incremental, late_events
 from tidemark.operators.stream import KeyedStream
 from tidemark.operators.tables import Table
@@ -223,21 +223,22 @@ def _changes(spark: SparkSession, folder: str, placed: bool = False) -> DataFram
     Ties of the offset go to the earliest delivery.  ``place``: the offset,
     the delivery and, with ``placed``, where the row is in its file.
     """
-    out = None
+    out, where = None, ["_tm_h", "_tm_g", "_tm_row"] if placed else []
     for log, key in zip(FEEDS, (account_key_text, uuid_key_text), strict=True):
-        rows = table(spark, folder, log)
-        own = rows.select(
-            *message_identity(log),
-            "topic",
+        own = table(spark, folder, log).select(
+            *message_identity(log.removesuffix("_records")),
             key(F.col("key")).alias("key"),
-            F.struct("offset", "delivery_id", *([*dedup.file_name(), dedup.row_index()] if placed else [])).alias("place"),
+            "offset",
+            "delivery_id",
+            *([*dedup.file_name(), dedup.row_index()] if placed else []),
             F.col("value").isNull().alias("is_delete"),
             payload_time(strict_json(F.col("value"), "timestamp double")["timestamp"]).alias("version"),
         )
         out = own if out is None else out.unionByName(own)
-    row = F.struct(F.coalesce("place.offset", F.lit(LONG_MAX)).alias("o"), F.col("place.delivery_id").alias("d"), "place", "topic", "key", "is_delete", "version")
-    first = out.groupBy(*IDENTITY).agg(F.min(row).alias("r")).select("r.*")
-    return first.where("key IS NOT NULL AND (is_delete OR version IS NOT NULL)").select("topic", "key", "place", "place.offset", "place.delivery_id", "is_delete", "version")
+    # rows without offset come last
+    row = F.struct(F.col("offset").isNull().alias("none"), "offset", "delivery_id", "key", "is_delete", "version", *where)
+    first = out.groupBy(*IDENTITY).agg(F.min(row).alias("r")).select(F.col("m_log").alias("topic"), "r.*")
+    return first.where("key IS NOT NULL AND (is_delete OR version IS NOT NULL)").select("topic", "key", F.struct("offset", "delivery_id", *where).alias("place"), "offset", "delivery_id", "is_delete", "version")
 
 
 def _patches(spark: SparkSession, folder: str, changes: DataFrame) -> DataFrame:
