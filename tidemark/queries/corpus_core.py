@@ -226,7 +226,8 @@ def _changes(spark: SparkSession, folder: str, placed: bool = False) -> DataFram
     out, where = None, ["_tm_h", "_tm_g", "_tm_row"] if placed else []
     for log, key in zip(FEEDS, (account_key_text, uuid_key_text), strict=True):
         own = table(spark, folder, log).select(
-            *message_identity(log.removesuffix("_records")),
+            *message_identity(log),
+            "topic",
             key(F.col("key")).alias("key"),
             "offset",
             "delivery_id",
@@ -236,8 +237,8 @@ def _changes(spark: SparkSession, folder: str, placed: bool = False) -> DataFram
         )
         out = own if out is None else out.unionByName(own)
     # rows without offset come last
-    row = F.struct(F.col("offset").isNull().alias("none"), "offset", "delivery_id", "key", "is_delete", "version", *where)
-    first = out.groupBy(*IDENTITY).agg(F.min(row).alias("r")).select(F.col("m_log").alias("topic"), "r.*")
+    row = F.struct(F.col("offset").isNull().alias("none"), "offset", "delivery_id", "topic", "key", "is_delete", "version", *where)
+    first = out.groupBy(*IDENTITY).agg(F.min(row).alias("r")).select("r.*")
     return first.where("key IS NOT NULL AND (is_delete OR version IS NOT NULL)").select("topic", "key", F.struct("offset", "delivery_id", *where).alias("place"), "offset", "delivery_id", "is_delete", "version")
 
 
