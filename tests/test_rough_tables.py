@@ -84,6 +84,8 @@ def plain(x):
 def test_query(spark, folders, kind, name):
     df = corpus_core.QUERIES[name](spark, str(folders / kind))
     got = sorted([tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()], key=repr)
+    if name not in corpus_core.SQL:  # whole records: tests/test_dedup.py
+        return
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for t in [*NAMES, "run_ledger"]:
