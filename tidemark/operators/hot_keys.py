@@ -48,8 +48,11 @@ def _encode(keys: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _merged(tables: list[pa.Table], n_measures: int) -> pa.Table:
-    """Rows of equal key added up: key, hash, n, m0, m1, ..."""
-    whole = pa.concat_tables(tables)
+    """Rows of equal key added up: key, hash, n, m0, m1, ...
+
+    Columns of the plan may be declared not NULL, those of sums aren't; promotion takes both together.
+    """
+    whole = pa.concat_tables(tables, promote_options="default")
     entries, codes = _encode(whole["key"])
     size = len(entries)
     hashes = np.zeros(size, np.int64)
